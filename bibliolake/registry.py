@@ -19,7 +19,7 @@ _shipped: set[str] = set()
 def ship(spark: SparkSession) -> None:
     """Send this package to executors that may not have it on their path (once per application)."""
     sc = spark.sparkContext
-    if sc.master.startswith("local[") or sc.applicationId in _shipped:
+    if sc.applicationId in _shipped:
         return
     _shipped.add(sc.applicationId)
     root = os.path.dirname(os.path.abspath(__file__))
