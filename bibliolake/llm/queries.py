@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bibliolake.common import table
-from bibliolake.llm import copies, topn, unify
+from bibliolake.llm import copies, reflist, topn, unify
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +25,21 @@ def p2_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unify.changed_values(table(spark, sf_dir, "papers"), "paper_id", papers)
 
 
+def _mapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    papers = table(spark, sf_dir, "papers").filter(~F.coalesce(F.col("journal_match_status") == "matched", F.lit(False)))
+    return reflist.map_to_list(papers, "paper_id", "journal_raw", table(spark, sf_dir, "journals"), "journal_id", "formal_title", "aliases")
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The journal that each unmatched paper's free-typed journal means, or none."""
+    return _mapped(spark, sf_dir).select("paper_id", F.col("entry").alias("journal_id"))
+
+
+def p4_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values without an entry and how often each was typed."""
+    return _mapped(spark, sf_dir).filter(F.col("entry") == reflist.NONE).groupBy("journal_raw").agg(F.count(F.lit(1)).alias("papers"))
+
+
 P6_TEXTS, P6_NAMES = ["title", "journal_raw", "publication_date"], ["authors"]
 
 
@@ -59,5 +74,5 @@ SELECT search_query, paper_id FROM (
   FROM papers WHERE search_query IS NOT NULL) WHERE n <= 10
 """
 
-QUERIES = {"p2_found": p2_found, "p2_unified": p2_unified, "p6_found": p6_found, "p6_counts": p6_counts, "p7_found": p7_found}
+QUERIES = {"p2_found": p2_found, "p2_unified": p2_unified, "p4_found": p4_found, "p4_unmatched": p4_unmatched, "p6_found": p6_found, "p6_counts": p6_counts, "p7_found": p7_found}
 ORACLE = {"p7_found": P7_SQL}
