@@ -6,7 +6,38 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bibliolake.common import table
-from bibliolake.llm import copies, reflist, topn, unify
+from bibliolake.llm import copies, fusion, reflist, topn, unify
+
+
+def _fused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    channel = F.concat_ws("|", F.coalesce("topic_match_field", F.lit("-")), F.coalesce("journal_match_status", F.lit("-")), F.col("manual_review_required").cast("string"))
+    return fusion.fuse(
+        fusion.claims_of(
+            table(spark, sf_dir, "merge_groups"),
+            table(spark, sf_dir, "papers"),
+            group="group_id",
+            key="paper_id",
+            counts=["citations", "downloads"],
+            lists=["matched_topic_fields", "matched_search_groups"],
+            seen="retrieved_at",
+            doubtful="manual_review_required",
+            source=channel,
+        )
+    )
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The surviving record of each group and field, where one record alone is latest, sure and complete."""
+    found = _fused(spark, sf_dir).filter(F.col("is_full") & (F.col("full_records") == 1))
+    return found.select(F.col("g").alias("group_id"), "field", F.col("record").alias("paper_id"))
+
+
+def p1_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The record built for each group, one column a field, with its least sure posterior."""
+    fields = ["citations", "downloads", "matched_topic_fields", "matched_search_groups"]
+    one = _fused(spark, sf_dir).groupBy(F.col("g").alias("group_id"))
+    picks = [F.max(F.when(F.col("field") == f, F.translate("value", "\x1f", ","))).alias(f) for f in fields]
+    return one.agg(*picks, F.round(F.min("posterior"), 6).alias("least_posterior"))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,5 +105,28 @@ SELECT search_query, paper_id FROM (
   FROM papers WHERE search_query IS NOT NULL) WHERE n <= 10
 """
 
-QUERIES = {"p2_found": p2_found, "p2_unified": p2_unified, "p4_found": p4_found, "p4_unmatched": p4_unmatched, "p6_found": p6_found, "p6_counts": p6_counts, "p7_found": p7_found}
-ORACLE = {"p7_found": P7_SQL}
+QUERIES = {"p1_found": p1_found, "p1_records": p1_records, "p2_found": p2_found, "p2_unified": p2_unified, "p4_found": p4_found, "p4_unmatched": p4_unmatched, "p6_found": p6_found, "p6_counts": p6_counts, "p7_found": p7_found}
+P1_SQL = """
+WITH c AS (
+  SELECT DISTINCT g.group_id, p.paper_id, p.retrieved_at AS seen, p.manual_review_required AS doubt, f.field, f.value, f.entries
+  FROM (SELECT DISTINCT group_id, paper_id FROM merge_groups WHERE group_id IS NOT NULL) g
+  JOIN (SELECT *,
+    list_sort(list_distinct(list_filter(list_transform(matched_topic_fields, lambda x: trim(x)), lambda x: x <> ''))) AS tf,
+    list_sort(list_distinct(list_filter(list_transform(matched_search_groups, lambda x: trim(x)), lambda x: x <> ''))) AS sg
+    FROM papers) p USING (paper_id),
+  LATERAL (VALUES
+    ('citations', CASE WHEN p.citations >= 0 THEN CAST(p.citations AS VARCHAR) END, CAST(NULL AS VARCHAR[])),
+    ('downloads', CASE WHEN p.downloads >= 0 THEN CAST(p.downloads AS VARCHAR) END, CAST(NULL AS VARCHAR[])),
+    ('matched_topic_fields', CASE WHEN len(p.tf) > 0 THEN array_to_string(p.tf, '|') END, p.tf),
+    ('matched_search_groups', CASE WHEN len(p.sg) > 0 THEN array_to_string(p.sg, '|') END, p.sg)) AS f(field, value, entries)
+  WHERE f.value IS NOT NULL),
+w AS (SELECT group_id, field, max(seen) AS seen, bool_or(NOT doubt) AS sure FROM c GROUP BY ALL),
+u AS (SELECT group_id, field, count(DISTINCT e) AS n FROM (SELECT group_id, field, unnest(entries) AS e FROM c WHERE entries IS NOT NULL) GROUP BY ALL),
+full_ones AS (
+  SELECT c.group_id, c.field, c.paper_id, count(*) OVER (PARTITION BY c.group_id, c.field) AS n
+  FROM c JOIN w USING (group_id, field) LEFT JOIN u USING (group_id, field)
+  WHERE c.seen = w.seen AND (NOT c.doubt OR NOT w.sure) AND (c.entries IS NULL OR len(c.entries) = u.n))
+SELECT group_id, field, paper_id FROM full_ones WHERE n = 1
+"""
+
+ORACLE = {"p1_found": P1_SQL, "p7_found": P7_SQL}
