@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bibliolake.common import table
-from bibliolake.llm import copies, fusion, reflist, topn, unify
+from bibliolake.llm import abuse, copies, encode, fusion, mixing, reflist, topn, unify
 
 
 def _fused(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,14 +98,6 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topn.top_n(papers, "search_query", score, ["paper_id"], 10, ["paper_id"]).select("search_query", "paper_id")
 
 
-P7_SQL = """
-SELECT search_query, paper_id FROM (
-  SELECT search_query, paper_id, row_number() OVER (PARTITION BY search_query ORDER BY
-    coalesce(nullif(priority_level, 0), 1073741824), coalesce(nullif(result_rank, 0), 1073741824), paper_id) AS n
-  FROM papers WHERE search_query IS NOT NULL) WHERE n <= 10
-"""
-
-QUERIES = {"p1_found": p1_found, "p1_records": p1_records, "p2_found": p2_found, "p2_unified": p2_unified, "p4_found": p4_found, "p4_unmatched": p4_unmatched, "p6_found": p6_found, "p6_counts": p6_counts, "p7_found": p7_found}
 P1_SQL = """
 WITH c AS (
   SELECT DISTINCT g.group_id, p.paper_id, p.retrieved_at AS seen, p.manual_review_required AS doubt, f.field, f.value, f.entries
@@ -129,4 +121,79 @@ full_ones AS (
 SELECT group_id, field, paper_id FROM full_ones WHERE n = 1
 """
 
+P7_SQL = """
+SELECT search_query, paper_id FROM (
+  SELECT search_query, paper_id, row_number() OVER (PARTITION BY search_query ORDER BY
+    coalesce(nullif(priority_level, 0), 1073741824), coalesce(nullif(result_rank, 0), 1073741824), paper_id) AS n
+  FROM papers WHERE search_query IS NOT NULL) WHERE n <= 10
+"""
+
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The token ids of every document."""
+    return encode.encode_documents(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def p8_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many documents of each language decode to what they were, and their numbers of ids."""
+    docs = table(spark, sf_dir, "documents").select("lang", "text", encode.encoder(spark)("text").alias("ids"))
+    back = docs.withColumn("same", (encode.decoder(spark)("ids") == F.coalesce("text", F.lit(""))).cast("int"))
+    return back.groupBy("lang").agg(F.count(F.lit(1)).alias("docs"), F.sum("same").alias("same"), F.sum(F.size("ids")).alias("ids"))
+
+
+def _mixed(spark: SparkSession, sf_dir: str, keep: list[str]) -> tuple[DataFrame, DataFrame]:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", *keep, encode.counter(spark)("text").alias("tokens"))
+    targets = table(spark, sf_dir, "mix_targets")
+    return mixing.mix(docs, targets, key="doc_id", source="source", size="tokens", weight="target_weight", cap="max_repeats", keep=keep)
+
+
+def p9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mixture of sources, one row for each copy of a document, globally shuffled."""
+    return _mixed(spark, sf_dir, ["text"])[0]
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each source's target and actual share of the mixture."""
+    return _mixed(spark, sf_dir, [])[1]
+
+
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "review_labels")
+    return abuse.score_documents(docs, labels, key="doc_id", text="text", label="abusive", keep=["source"])
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that themselves contain abusive, hateful or sexually explicit language."""
+    return _scored(spark, sf_dir).filter(F.col("score") >= abuse.THRESHOLD).select("doc_id")
+
+
+def p10_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The score of every document."""
+    return _scored(spark, sf_dir).select("doc_id", F.round("score", 6).alias("score"))
+
+
+def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rate of abusive documents of each source."""
+    bad = (F.col("score") >= abuse.THRESHOLD).cast("int")
+    return _scored(spark, sf_dir).groupBy("source").agg(F.count(F.lit(1)).alias("docs"), F.sum(bad).alias("abusive"), F.avg(bad).alias("rate"))
+
+
+QUERIES = {
+    "p1_found": p1_found,
+    "p1_records": p1_records,
+    "p2_found": p2_found,
+    "p2_unified": p2_unified,
+    "p4_found": p4_found,
+    "p4_unmatched": p4_unmatched,
+    "p6_found": p6_found,
+    "p6_counts": p6_counts,
+    "p7_found": p7_found,
+    "p8_ids": p8_ids,
+    "p8_round_trip": p8_round_trip,
+    "p9_mixture": p9_mixture,
+    "p9_shares": p9_shares,
+    "p10_found": p10_found,
+    "p10_scores": p10_scores,
+    "p10_rates": p10_rates,
+}
+
 ORACLE = {"p1_found": P1_SQL, "p7_found": P7_SQL}

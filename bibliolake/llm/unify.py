@@ -102,6 +102,7 @@ def _single(c: str) -> str:
 
 
 _WORD = re.compile(r"[^\W\d_⺀-﫿]+")
+_GREEK_RUN = re.compile(r"(?<![A-Za-z])[\u0370-\u03ff]{2,}(?![A-Za-z])")
 _CYR = re.compile(r"[Ѐ-ԯ]")
 _SCRIPT = re.compile(r"[Ͱ-ϿЀ-ԯἀ-῿]")
 
@@ -112,10 +113,8 @@ def _own_cyrillic(text: str) -> bool:
 
 
 def _own_greek_word(text: str) -> bool:
-    return any(
-        len(w) > 1 and sum(c not in GREEK_LIKE_LATIN and "Ͱ" <= c <= "Ͽ" for c in w) > 0 and not any(c.isascii() for c in w)
-        for w in _WORD.findall(text)
-    )
+    """Whether text has a word of several Greek letters, one of which no Latin letter looks like."""
+    return any(c not in GREEK_LIKE_LATIN for w in _GREEK_RUN.findall(text) for c in w)
 
 
 def _one_script(word: str, cyrillic_text: bool, greek_text: bool) -> str:
