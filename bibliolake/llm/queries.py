@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bibliolake.common import table
-from bibliolake.llm import abuse, copies, encode, fusion, mixing, reflist, topn, unify
+from bibliolake.llm import abuse, copies, encode, fusion, linkage, mixing, reflist, topn, unify
 
 
 def _fused(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,6 +71,17 @@ def p4_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mapped(spark, sf_dir).filter(F.col("entry") == reflist.NONE).groupBy("journal_raw").agg(F.count(F.lit(1)).alias("papers"))
 
 
+def p5_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of records of one journal from different indexes with their confidence."""
+    fields = {f: f for f in ("title", "formal_title", "aliases", "issn", "eissn", "publisher")} | {"title": "source_title"}
+    return linkage.link_records(table(spark, sf_dir, "source_records"), key="source_record_id", source="index_name", **fields)
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of records of one journal from different indexes."""
+    return p5_links(spark, sf_dir).select(F.col("left").alias("left_record_id"), F.col("right").alias("right_record_id"))
+
+
 P6_TEXTS, P6_NAMES = ["title", "journal_raw", "publication_date"], ["authors"]
 
 
@@ -184,6 +195,8 @@ QUERIES = {
     "p2_unified": p2_unified,
     "p4_found": p4_found,
     "p4_unmatched": p4_unmatched,
+    "p5_found": p5_found,
+    "p5_links": p5_links,
     "p6_found": p6_found,
     "p6_counts": p6_counts,
     "p7_found": p7_found,
