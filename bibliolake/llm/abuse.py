@@ -34,7 +34,7 @@ MOST_LABELLED = 20_000
 #: FTRL: learning rate, its offset, L1, L2; passes over the data in a round; rounds.
 ALPHA, BETA, L1, L2, PASSES, ROUNDS = 0.3, 1.0, 0.6, 0.5, 3, 4
 #: A document is abusive from this score on.
-THRESHOLD = 0.5
+THRESHOLD = 0.3
 #: A feature may have a positive weight if at least so many positive documents have it and it is at
 #: least so many times as frequent in positive documents as in the corpus.
 LEAST_POSITIVE, LEAST_LIFT = 2, 15.0
