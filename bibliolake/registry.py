@@ -8,10 +8,10 @@ import zipfile
 
 from pyspark.sql import SparkSession
 
-from bibliolake.operators import packed_queries
+from bibliolake.operators import packed_queries, queries
 
-QUERIES = {**packed_queries.QUERIES}
-ORACLE = {**packed_queries.ORACLE}
+QUERIES = {**queries.QUERIES, **packed_queries.QUERIES}
+ORACLE = {**queries.ORACLE, **packed_queries.ORACLE}
 
 _shipped: set[str] = set()
 
