@@ -15,6 +15,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+# Fixed value: Latin ligatures, in whose place case folding puts their letters.
+LIGATURES = "ﬀﬁﬂﬃﬄﬅﬆ"
+
+
 @lru_cache(None)
 def _stable_class() -> str:
     """A character class of the commonest characters that NFKC never changes, as ranges, by rule."""
@@ -39,8 +43,12 @@ def nfkc(c: Column) -> Column:
 
 
 def casefold(c: Column) -> Column:
-    """Case folding: lower case and ss for sharp s."""
-    return F.replace(F.lower(c), F.lit("ß"), F.lit("ss"))
+    """Case folding: lower case, ss for sharp s, and the letters of Latin ligatures."""
+    low = F.replace(F.lower(c), F.lit("ß"), F.lit("ss"))
+    apart = low
+    for ligature in LIGATURES:
+        apart = F.replace(apart, F.lit(ligature), F.lit(ligature.casefold()))
+    return F.when(low.rlike(f"[{LIGATURES}]"), apart).otherwise(low)
 
 
 def folded(c: Column) -> Column:
@@ -80,7 +88,7 @@ def _sql_single() -> tuple[str, str]:
 def sql_nfkc(x: str) -> str:
     """SQL for the compatibility form: single characters, Latin ligatures and composition."""
     a, b = (s.replace("'", "''") for s in _sql_single())
-    for ligature in "ﬀﬁﬂﬃﬄ":
+    for ligature in LIGATURES:
         x = f"replace({x}, '{ligature}', '{unicodedata.normalize('NFKC', ligature)}')"
     return f"nfc_normalize(translate({x}, '{a}', '{b}'))"
 
@@ -89,6 +97,12 @@ def sql_folded(x: str) -> str:
     return f"replace(lower({sql_nfkc(x)}), 'ß', 'ss')"
 
 
+def sql_casefold(x: str) -> str:
+    for ligature in LIGATURES:
+        x = f"replace({x}, '{ligature}', '{ligature.casefold()}')"
+    return f"replace(lower({x}), 'ß', 'ss')"
+
+
 SQL_SPACE = "[\\s\\x0b\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
 
 

@@ -451,7 +451,7 @@ def page_cap(spark: SparkSession, sf: str) -> DataFrame:
 
 # duplicate records
 
-_SQL_WORKS = f"""w AS (SELECT paper_id, concat_ws(chr(31), replace(lower({text.sql_collapsed("coalesce(title, '')")}), 'ß', 'ss'), coalesce(CAST(publication_year AS VARCHAR), '')) AS work, coalesce({_SQL_PEOPLE}, []) AS people, * EXCLUDE (paper_id) FROM papers),
+_SQL_WORKS = f"""w AS (SELECT paper_id, concat_ws(chr(31), {text.sql_casefold(text.sql_collapsed("coalesce(title, '')"))}, coalesce(CAST(publication_year AS VARCHAR), '')) AS work, coalesce({_SQL_PEOPLE}, []) AS people, * EXCLUDE (paper_id) FROM papers),
 e AS (SELECT work, paper_id, unnest(people) AS a FROM w),
 links AS (SELECT DISTINCT x.work, x.paper_id AS u, y.paper_id AS v FROM e x JOIN e y ON x.work = y.work AND x.a = y.a),
 reach(u, v) AS (SELECT u, v FROM links UNION SELECT r.u, l.v FROM reach r JOIN links l ON r.v = l.u),

@@ -51,7 +51,7 @@ def read_index_csv(spark: SparkSession, path: str, index_name: str, titles: Data
         F.trim("Journal title").alias("source_title"),
         F.filter(F.array(F.trim("ISSN")), lambda x: x != "").alias("issn"),
         F.filter(F.array(F.trim("eISSN")), lambda x: x != "").alias("eissn"),
-        F.filter(F.transform(F.split("`Web of Science Categories`", r"\|"), F.trim), lambda x: x != "").alias("subject_categories"),
+        F.filter(F.transform(F.split("`Web of Science Categories`", r"\|"), lambda x: F.trim(x)), lambda x: x != "").alias("subject_categories"),
     )
     if titles is None:
         return out.withColumn("formal_title", F.col("source_title"))
