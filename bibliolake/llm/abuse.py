@@ -35,9 +35,10 @@ MOST_LABELLED = 20_000
 ALPHA, BETA, L1, L2, PASSES, ROUNDS = 0.3, 1.0, 0.6, 0.5, 3, 4
 #: A document is abusive from this score on.
 THRESHOLD = 0.3
-#: A feature may have a positive weight if at least so many positive documents have it and it is at
-#: least so many times as frequent in positive documents as in the corpus.
-LEAST_POSITIVE, LEAST_LIFT = 2, 15.0
+#: A feature may have a positive weight if at least so many positive documents have it and its lift,
+#: how many times as frequent it is in positive documents as in the corpus, is at least this power of
+#: the greatest lifts (their 99th percentile, about one by the rate of abuse), and at least 1.5.
+LEAST_POSITIVE, LIFT_POWER, LEAST_LIFT = 2, 0.66, 1.5
 #: Word distances of a feature: n-grams of one to four words, pairs that skip one or two.
 SHAPES = ((0,), (0, 1), (0, 1, 2), (0, 1, 2, 3), (0, 2), (0, 3))
 
@@ -48,7 +49,7 @@ _PRIMES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9,
 SIGNS = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "€": "e"})
 
 _SENTENCE = re.compile(r"(?<=[。！？；])|(?<=[.?!…])\s+(?=\S)|(?<=[:;]-[()])\s+|(?<=[:;][()])\s+|[\r\n]+")
-_SPACED = re.compile(r"(?<![^\W\d_])[^\W\d_](?:([ \-.*_])[^\W\d_])(?:\1[^\W\d_])+(?![^\W\d_])")
+_SPACED = re.compile(r"(?<!\w)[^\W\d_](?:([ \-.*])[^\W\d_])(?:\1[^\W\d_])+(?!\w)")
 _BANG = re.compile(r"(?<=[^\W\d_])!(?=[^\W\d_])")
 _SIGNED = re.compile(r"[\w@$€]*[^\W\d_][@$€013457][\w@$€]*|[@$€013457]+[^\W\d_]{2,}[\w@$€]*")
 _MASKED = re.compile(r"([^\W\d_])(?:[#*%]+|_{2,})(?=[^\W\d_])")
@@ -180,7 +181,9 @@ def fit(texts: list[str | None], labels: list[float], corpus: dict[int, int], co
     gain = np.zeros(2**BITS, dtype=np.float32)
     gain[at] = np.maximum(lift, 0)
     allowed = np.zeros(2**BITS, dtype=bool)
-    allowed[at[lift >= np.log(LEAST_LIFT)]] = True
+    often = lift[n >= 3]
+    least = max(np.log(LEAST_LIFT), LIFT_POWER * np.quantile(often, 0.99)) if len(often) else np.log(LEAST_LIFT)
+    allowed[at[lift >= least]] = True
 
     def first(part: np.ndarray) -> float:
         """How strongly a sentence's features speak for abuse before any training."""

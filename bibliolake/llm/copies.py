@@ -178,7 +178,7 @@ def group_copies(df: DataFrame, key: str, texts: list[str], names: list[str], *,
         # fewer than SHARE keys (or rows / MOST_ROWS), each of more rows than a bucket may have
         hot_keys = spark.createDataFrame([(bytearray(k),) for k in hot], "_key binary")
         firsts = keyed.join(F.broadcast(hot_keys), "_key").groupBy("_key").agg(F.min("_id").alias("first"))
-        of_hot = keyed.join(F.broadcast(firsts), "_key").select("first", F.col("_id").alias("copy"))
+        of_hot = keyed.join(F.broadcast(firsts), "_key").select("first", F.col("_id").alias("copy")).distinct()
         if not singles:
             of_hot = of_hot.filter(F.col("first") != F.col("copy"))
         cold = keyed.join(F.broadcast(hot_keys), "_key", "left_anti")
