@@ -105,8 +105,9 @@ def _last_if_missing(column: str) -> Column:
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best papers of each search query."""
     score = _last_if_missing("priority_level") * F.lit(2**31).cast("long") + _last_if_missing("result_rank")
+    bucket = F.least(_last_if_missing("priority_level"), F.lit(63)) * 1024 + F.least(_last_if_missing("result_rank"), F.lit(1023))
     papers = table(spark, sf_dir, "papers")
-    return topn.top_n(papers, "search_query", score, ["paper_id"], 10, ["paper_id"]).select("search_query", "paper_id")
+    return topn.top_n(papers, "search_query", score, ["paper_id"], 10, ["paper_id"], bucket=bucket).select("search_query", "paper_id")
 
 
 P1_SQL = """

@@ -9,6 +9,12 @@ from pyspark.sql import functions as F
 from bibliolake.common import HOT_PARTS, materialize
 
 
+def _doublings(score: Column) -> Column:
+    """Steps that never fall as score grows: its sign with the doublings of its size, in 64ths."""
+    size = F.floor(F.log2(F.abs(score.cast("double")) + 1) * 64)
+    return F.signum(score.cast("double")) * size
+
+
 def top_n(
     df: DataFrame,
     group: str,
@@ -21,8 +27,9 @@ def top_n(
 ) -> DataFrame:
     """The n rows of each group with the lowest score, ties by tie_keys ascending, with their rank.
 
-    score is an integer expression, lowest first; bucket coarsens it monotonically (the score
-    itself by default). One pass counts rows per (group, bucket), summed in part before the
+    score is an integer expression, lowest first; bucket coarsens it monotonically into a bounded
+    number of steps (by default a sign and 64 steps for each doubling, some 8,000 in all), so that a
+    group's histogram is small whatever its size. One pass counts rows per (group, bucket), summed in part before the
     shuffle, so the largest group costs no more there than its buckets. The threshold of a group is
     the first bucket at which at least n rows are reached: no row above it can be among the n.
     Thresholds of hot groups (more than one part in a thousand of all rows, so fewer than a
@@ -39,7 +46,7 @@ def top_n(
     rows = df.filter(F.col(group).isNotNull()).select(
         *[F.col(c).alias(f"_c_{c}") for c in cols],
         F.coalesce(score.cast("long"), last).alias("_score"),
-        F.coalesce((bucket if bucket is not None else score).cast("long"), last).alias("_bucket"),
+        F.coalesce((bucket if bucket is not None else _doublings(score)).cast("long"), last).alias("_bucket"),
     )
     g = f"_c_{group}"
     counts = rows.groupBy(g, "_bucket").agg(F.count(F.lit(1)).alias("_n"))

@@ -310,6 +310,8 @@ def test_top_n_against_sorting(spark, monkeypatch):
         wanted += [(g, i, None if t == big else t, n) for n, (_, t, i) in enumerate(own, 1)]
     assert rows(got) == sorted(wanted, key=str)
     coarse = topn.top_n(df, "g", F.col("score"), ["tie", "id"], 7, ["id", "tie"], bucket=F.expr("score div 2"))
+    below = spark.range(500).select(F.lit("g").alias("g"), ((F.col("id") - 250) * 1_000_003).alias("s"), "id")
+    assert [r.id for r in topn.top_n(below, "g", F.col("s"), ["id"], 4, ["id"]).orderBy("rank").collect()] == [0, 1, 2, 3]
     assert rows(coarse) == sorted(wanted, key=str)
     assert topn.top_n(df.limit(0), "g", F.col("score"), ["id"], 7, ["id"]).count() == 0
 
