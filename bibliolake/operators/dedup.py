@@ -22,7 +22,10 @@ def author_components(records: DataFrame, group: str, key: str, people: str) ->
     costs their number and not their pairs. Each round is written out, which cuts the lineage.
     """
     base = records.select(F.col(group).alias("g"), F.col(key).alias("r"), F.array_distinct(F.col(people)).alias("p"))
-    edges = materialize(base.select("g", "r", F.explode("p").alias("a")))
+    # people of one record only, nearly all of them, link nothing and take no part in the rounds
+    each = base.select("g", "r", F.explode("p").alias("a"))
+    shared = each.groupBy("g", "a").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("g", "a")
+    edges = materialize(each.join(shared, ["g", "a"], "left_semi"))
     labels = materialize(edges.select("g", "r", F.col("r").alias("label")).distinct())
     for _ in range(MOST_ROUNDS):
         by_person = edges.join(labels, ["g", "r"]).groupBy("g", "a").agg(F.min("label").alias("least"))
@@ -37,7 +40,8 @@ def author_components(records: DataFrame, group: str, key: str, people: str) ->
             break
     else:
         raise RuntimeError(f"components not stable after {MOST_ROUNDS} rounds")
-    return base.select("g", "r").join(labels, ["g", "r"], "left").select(F.col("g").alias(group), F.col("r").alias(key), F.col("label").alias("component"))
+    alone = F.when(F.size("p") > 0, F.col("r"))
+    return base.join(labels, ["g", "r"], "left").select(F.col("g").alias(group), F.col("r").alias(key), F.coalesce("label", alone).alias("component"))
 
 
 def merge_records(papers: DataFrame, *, as_of_year: int, with_journal: bool = False, order: str = "paper_id") -> DataFrame:

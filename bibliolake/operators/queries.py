@@ -668,19 +668,27 @@ def storable_texts(spark: SparkSession, sf: str) -> DataFrame:
 # pages, texts, checks
 
 
+def _sql_read(x: str, empty: str = "''") -> str:
+    """What a page's cell reads as: empty without a value, nothing at all for a page without a row."""
+    return f"CASE WHEN there THEN coalesce({x}, {empty}) END"
+
+
 @query(
-    f"""SELECT raw_id, {text.sql_collapsed("title")} AS title, {text.sql_collapsed("journal")} AS journal_raw, {_sql_count("citations")} AS citations, {_sql_count("downloads")} AS downloads,
-    coalesce({_sql_count("result_rank")}, 0) AS result_rank, is_online_first FROM raw_rows WHERE title IS NOT NULL AND journal IS NOT NULL AND title NOT LIKE '%<%' AND document_type = '期刊'"""
+    f"""WITH r AS (SELECT *, coalesce({text.sql_collapsed("title")}, '') <> '' OR coalesce({text.sql_collapsed("journal")}, '') <> '' OR coalesce({text.sql_collapsed("document_type")}, '') <> '' AS there FROM raw_rows)
+    SELECT raw_id, {_sql_read(text.sql_collapsed("title"))} AS title, {_sql_read(text.sql_collapsed("journal"))} AS journal_raw, CASE WHEN there THEN {_sql_count("citations")} END AS citations,
+    CASE WHEN there THEN {_sql_count("downloads")} END AS downloads, {_sql_read(_sql_count("result_rank"), "0")} AS result_rank, CASE WHEN there THEN is_online_first END AS is_online_first FROM r"""
 )
 def html_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     """Rows written as pages, with nested tables and unclosed cells, and read again."""
-    rows = table(spark, sf, "raw_rows").filter("title is not null and journal is not null and title not like '%<%' and document_type = '期刊'")
+    rows = table(spark, sf, "raw_rows")
+
+    def safe(c):
+        return F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
 
     def cell(name: str, value, close: bool = True):
-        safe = F.replace(F.coalesce(value, F.lit("")), F.lit("&"), F.lit("&amp;"))
-        return F.concat(F.lit(f'<td class="{name}">'), safe, F.lit("</td>" if close else ""))
+        return F.concat(F.lit(f'<td class="{name}">'), safe(value), F.lit("</td>" if close else ""))
 
-    linked = lambda c: F.concat(F.lit("<a>"), F.replace(F.col(c), F.lit("&"), F.lit("&amp;")), F.lit("</a>"))
+    linked = lambda c: F.concat(F.lit("<a>"), safe(F.col(c)), F.lit("</a>"))
     early = F.when(F.col("is_online_first"), "<b>网络首发</b>").otherwise("")
     page = F.concat(
         F.lit('<div><table class="result-table-list x"><tr>'),

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from bibliolake.common import join_by_counted_key, materialize
 from bibliolake.functions.clean import verifiable_year
 from bibliolake.functions.text import strip
 from bibliolake.operators.catalog import lookup_general
@@ -17,24 +18,23 @@ LAST = 999
 def annotate(papers: DataFrame, index: DataFrame) -> DataFrame:
     """papers with the catalog entry that their journal means. Looked up once for each distinct
     writing of a journal, so the catalog join does not grow with the number of papers."""
-    names = papers.select("journal_raw").filter(F.col("journal_raw").isNotNull()).distinct()
-    found = lookup_general(names, "journal_raw", "journal_raw", index)
-    more = index.select("matched_title", "ncs_internal_rank")
-    found = found.join(F.broadcast(more) if index.limit(50_001).count() <= 50_000 else more, "matched_title", "left")
     old = ["journal_matched_title", "journal_match_status", "journal_match_method", "priority_level", "priority_group", "ncs_internal_rank"]
-    return papers.drop(*old).join(
-        found.select(
-            "journal_raw",
-            F.col("matched_title").alias("journal_matched_title"),
-            F.col("status").alias("journal_match_status"),
-            F.col("match_method").alias("journal_match_method"),
-            "priority_level",
-            "priority_group",
-            "ncs_internal_rank",
-        ),
+    rows = papers.drop(*old)
+    names = rows.filter(F.col("journal_raw").isNotNull()).groupBy("journal_raw").agg(F.count(F.lit(1)).alias("_rows"))
+    found = lookup_general(names, "journal_raw", "journal_raw", index).join(names, "journal_raw")
+    more = index.select("matched_title", "ncs_internal_rank")
+    found = found.join(F.broadcast(more) if index.limit(50_001).count() <= 50_000 else more, "matched_title", "left").select(
         "journal_raw",
-        "left",
+        F.col("matched_title").alias("journal_matched_title"),
+        F.col("status").alias("journal_match_status"),
+        F.col("match_method").alias("journal_match_method"),
+        "priority_level",
+        "priority_group",
+        "ncs_internal_rank",
+        "_rows",
     )
+    known = join_by_counted_key(rows.filter(F.col("journal_raw").isNotNull()), materialize(found), ["journal_raw"], "_rows").drop("_rows")
+    return known.unionByName(rows.filter(F.col("journal_raw").isNull()), allowMissingColumns=True)
 
 
 def _or_last(c: str) -> Column:
