@@ -40,10 +40,10 @@ def names_key(column: str) -> Column:
 
     def name(x: Column) -> Column:
         parts = F.when(x.rlike(r"\p{IsHan}"), F.split(F.regexp_replace(x, r"[^\p{L}\p{N}]+", ""), "")).otherwise(F.split(x, r"[^\p{L}\p{N}]+"))
-        return F.array_join(F.array_sort(parts), "")
+        return F.array_join(F.sort_array(parts), "")
 
     names = F.filter(F.transform(F.split(folded, "\n"), name), lambda x: x != "")
-    return F.coalesce(F.array_join(F.array_sort(names), " "), F.lit(""))
+    return F.coalesce(F.array_join(F.sort_array(names), " "), F.lit(""))
 
 
 def canonical_bytes(texts: list[str], names: list[str]) -> Column:
