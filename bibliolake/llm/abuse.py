@@ -48,28 +48,30 @@ _PRIMES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9,
 # Signs that stand for letters, in words that have letters too.
 SIGNS = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "€": "e"})
 
-_SENTENCE = re.compile(r"(?<=[。！？；])|(?<=[.?!…])\s+(?=\S)|(?<=[:;]-[()])\s+|(?<=[:;][()])\s+|[\r\n]+")
+_SENTENCE = re.compile(r"[。！？；]+|[.?!…]+(?=\s)|[:;]-?[()](?=\s)|[\r\n]+")
 _SPACED = re.compile(r"(?<!\w)[^\W\d_](?:([ \-.*])[^\W\d_])(?:\1[^\W\d_])+(?!\w)")
-_BANG = re.compile(r"(?<=[^\W\d_])!(?=[^\W\d_])")
-_SIGNED = re.compile(r"[\w@$€]*[^\W\d_][@$€013457][\w@$€]*|[@$€013457]+[^\W\d_]{2,}[\w@$€]*")
-_MASKED = re.compile(r"([^\W\d_])(?:[#*%]+|_{2,})(?=[^\W\d_])")
-_STRETCHED = re.compile(r"([^\W\d_])\1{2,}")
+_SEPARATORS = re.compile(r"[ \-.*]")
+_MASKED = re.compile(r"(?<=[^\W\d_])(?:[#*%]+|_{2,})(?=[^\W\d_])")
+_STRETCHED = re.compile(r"([^\W\d_])\1\1+")
 _HAN_GAP = re.compile(r"(?<=[㐀-鿿])[\s*\-_.·、~|/+#]+(?=[㐀-鿿])")
-_WORD = re.compile(r"[㐀-鿿]|[^\W\d_㐀-鿿](?:[^\W_㐀-鿿]|['*])*|\d+")
+_WORD = re.compile(r"[㐀-鿿]|[^\W_㐀-鿿](?:[^\W_㐀-鿿]|['*@$€!]+(?=[^\W_㐀-鿿]))*|[@$]+[^\W_㐀-鿿]+")
+
+
+def _read(word: str) -> str:
+    """A word that is not letters only: a number as 0, else its signs as the letters that they stand for."""
+    if word.isdigit():
+        return "0"
+    plain = word.translate(SIGNS)
+    return plain if _STRETCHED.search(plain) is None else _STRETCHED.sub(r"\1", plain)
 
 
 def sentences(text: str) -> list[list[str]]:
     """The words of each sentence of a whole text, disguises undone."""
     text = _HAN_GAP.sub("", canonical(text)).casefold()
-    text = _SPACED.sub(lambda m: re.sub(r"[ \-.*_]", "", m.group()), text)
-    text = _SIGNED.sub(lambda m: m.group().translate(SIGNS), _MASKED.sub(r"\1*", _BANG.sub("i", text)))
-    text = _STRETCHED.sub(r"\1", text)
-    out = []
-    for sentence in _SENTENCE.split(text):
-        words = ["0" if w.isdigit() else w for w in _WORD.findall(sentence)] if sentence else None
-        if words:
-            out.append(words)
-    return out
+    text = _SPACED.sub(lambda m: _SEPARATORS.sub("", m.group()), text)
+    text = _STRETCHED.sub(r"\1", _MASKED.sub("*", text))
+    found = [_WORD.findall(sentence) for sentence in _SENTENCE.split(text)]
+    return [[w if w.isalpha() else _read(w) for w in words] for words in found if words]
 
 
 class Features:
