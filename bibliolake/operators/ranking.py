@@ -20,6 +20,7 @@ def annotate(papers: DataFrame, index: DataFrame) -> DataFrame:
     writing of a journal, so the catalog join does not grow with the number of papers."""
     old = ["journal_matched_title", "journal_match_status", "journal_match_method", "priority_level", "priority_group", "ncs_internal_rank"]
     rows = papers.drop(*old)
+    index = materialize(index)  # it is read several times
     names = rows.filter(F.col("journal_raw").isNotNull()).groupBy("journal_raw").agg(F.count(F.lit(1)).alias("_rows"))
     found = lookup_general(names, "journal_raw", "journal_raw", index).join(names, "journal_raw")
     more = index.select("matched_title", "ncs_internal_rank")
