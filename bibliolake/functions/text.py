@@ -47,11 +47,10 @@ def nfkc(c: Column) -> Column:
 
 def casefold(c: Column) -> Column:
     """Case folding: lower case, ss for sharp s, and the letters of Latin ligatures."""
-    low = F.replace(F.lower(c), F.lit("ß"), F.lit("ss"))
-    apart = low
-    for ligature in LIGATURES:
-        apart = F.replace(apart, F.lit(ligature), F.lit(ligature.casefold()))
-    return F.when(low.rlike(f"[{LIGATURES}]"), apart).otherwise(low)
+    c = F.lower(c)
+    for letter in "ß" + LIGATURES:
+        c = F.replace(c, F.lit(letter), F.lit(letter.casefold()))
+    return c
 
 
 def folded(c: Column) -> Column:

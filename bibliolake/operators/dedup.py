@@ -2,44 +2,89 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from bibliolake.common import materialize
 from bibliolake.functions.clean import completeness, declared_first
 from bibliolake.functions.keys import people_keys, work_key
 from bibliolake.plans.expressions import TOPIC_FIELDS
 
-MOST_ROUNDS = 60
+#: Rounds of label spreading before giving up, and the largest group (in records' shared people) that
+#: one task links by itself.
+MOST_ROUNDS, MOST_LOCAL = 60, 100_000
 
 
-def author_components(records: DataFrame, group: str, key: str, people: str) -> DataFrame:
-    """(group, key, component): records of a group that share a person, directly or through others,
-    are one component, named by its smallest key; a record without people has a null component.
+def _linked_groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Union-find group by group over rows (g, r, a) that come sorted by g; one group is held at a time."""
+    current, parent, first = None, {}, {}
 
-    Labels spread from records to (group, person) pairs and back, and jump along labels, until none
-    changes. A record meets a person's label, never another record, so a person of many records
-    costs their number and not their pairs. Each round is written out, which cuts the lineage.
-    """
-    base = records.select(F.col(group).alias("g"), F.col(key).alias("r"), F.array_distinct(F.col(people)).alias("p"))
-    # people of one record only, nearly all of them, link nothing and take no part in the rounds
-    each = base.select("g", "r", F.explode("p").alias("a"))
-    shared = each.groupBy("g", "a").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("g", "a")
-    edges = materialize(each.join(shared, ["g", "a"], "left_semi"))
+    def find(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    def done() -> pd.DataFrame:
+        records = list(parent)
+        return pd.DataFrame({"g": [current] * len(records), "r": records, "label": [find(x) for x in records]})
+
+    for batch in batches:
+        out = []
+        for g, r, a in zip(batch["g"], batch["r"], batch["a"]):
+            if g != current:
+                if parent:
+                    out.append(done())
+                current, parent, first = g, {}, {}
+            parent.setdefault(r, r)
+            x, y = find(r), find(first.setdefault(a, r))
+            if x != y:
+                parent[max(x, y)] = min(x, y)  # a root is the smallest of its component
+        if out:
+            yield pd.concat(out)
+    if parent:
+        yield done()
+
+
+def _spread_labels(edges: DataFrame) -> DataFrame:
+    """(g, r, label): labels spread from records to (group, person) pairs and back, and jump along
+    labels, until none changes. Each round is written out, which cuts the lineage."""
     labels = materialize(edges.select("g", "r", F.col("r").alias("label")).distinct())
     for _ in range(MOST_ROUNDS):
         by_person = edges.join(labels, ["g", "r"]).groupBy("g", "a").agg(F.min("label").alias("least"))
         spread = edges.join(by_person, ["g", "a"]).groupBy("g", "r").agg(F.min("least").alias("label"))
         jump = spread.select("g", F.col("r").alias("label"), F.col("label").alias("further"))
-        following = materialize(
-            spread.join(jump, ["g", "label"], "left").select("g", "r", F.least("label", F.coalesce("further", "label")).alias("label"))
-        )
+        following = materialize(spread.join(jump, ["g", "label"], "left").select("g", "r", F.least("label", F.coalesce("further", "label")).alias("label")))
         changed = following.join(labels.withColumnRenamed("label", "old"), ["g", "r"]).filter("label <> old").limit(1).count()
         labels = following
         if not changed:
-            break
-    else:
-        raise RuntimeError(f"components not stable after {MOST_ROUNDS} rounds")
+            return labels
+    raise RuntimeError(f"components not stable after {MOST_ROUNDS} rounds")
+
+
+def author_components(records: DataFrame, group: str, key: str, people: str) -> DataFrame:
+    """(group, key, component): records of a group that share a person, directly or through others,
+    are one component, named by its smallest key; a record without people has a null component.
+
+    A record meets a person, never another record, so a person of many records costs their number
+    and not their pairs; people of one record link nothing and are left out first. Groups of at most
+    MOST_LOCAL such rows are linked whole, each in one task; larger ones by spreading labels.
+    """
+    base = records.select(F.col(group).alias("g"), F.col(key).alias("r"), F.array_distinct(F.col(people)).alias("p"))
+    each = base.select("g", "r", F.explode("p").alias("a"))
+    shared = each.groupBy("g", "a").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("g", "a")
+    edges = materialize(each.join(shared, ["g", "a"], "left_semi"))
+    sizes = edges.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    large = materialize(sizes.filter(F.col("n") > MOST_LOCAL).select("g"))
+    few = edges.join(large, "g", "left_anti")
+    schema = T.StructType([edges.schema["g"], edges.schema["r"], T.StructField("label", edges.schema["r"].dataType)])
+    labels = few.repartition("g").sortWithinPartitions("g").mapInPandas(_linked_groups, schema)
+    if not large.isEmpty():
+        labels = labels.unionByName(_spread_labels(materialize(edges.join(large, "g", "left_semi"))))
     alone = F.when(F.size("p") > 0, F.col("r"))
     return base.join(labels, ["g", "r"], "left").select(F.col("g").alias(group), F.col("r").alias(key), F.coalesce("label", alone).alias("component"))
 

@@ -145,7 +145,9 @@ def test_records_without_authors(spark):
     assert set(merged(spark, paper(1, "t", None), paper(2, "t", []))) == {1}
 
 
-def test_components_of_long_chains_and_any_order(spark):
+@pytest.mark.parametrize("most", [100_000, 10, 0])
+def test_components_of_long_chains_and_any_order(spark, monkeypatch, most):
+    monkeypatch.setattr(dedup, "MOST_LOCAL", most)
     chain = [(1, i, [f"a{i}", f"a{i + 1}"]) for i in range(40)] + [(1, 100, ["z"]), (2, 200, ["a1"]), (1, 300, []), (1, 301, None)]
     random.Random(1).shuffle(chain)
     got = {r.r: r.component for r in dedup.author_components(spark.createDataFrame(chain, "g int, r int, p array<string>"), "g", "r", "p").collect()}
