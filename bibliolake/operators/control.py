@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import OrderedDict
 from collections.abc import Iterator
 
 import pandas as pd
@@ -14,7 +15,8 @@ from bibliolake.functions.text import casefold, nfkc
 # Statuses, retries, intervals in seconds, words of pages.
 DONE = ["success", "no_results"]
 MOST_RETRIES = 3
-GATE_SECONDS, CACHE_SECONDS = 6, 86_400
+GATE_SECONDS, CACHE_SECONDS, CACHE_ENTRIES = 6, 86_400, 1_024
+THROTTLE_SECONDS, BACK_OFF_SECONDS = 30, 180
 NOTHING_FOUND = "未检索到相关文献"
 NO_DATA = ["暂无数据", "稍后重试"]
 FORBIDDEN_WORDS = ["401 unauthorized", "403 forbidden", "无权访问", "拒绝访问"]
@@ -90,6 +92,20 @@ def gate_starts(requests: DataFrame, gate: list[str], arrival: str, order: list[
     return rows.withColumn("delay", F.col("start") - F.greatest("_t", F.coalesce(previous, F.col("_t")))).drop("_t", "_i")
 
 
+def throttled_starts(
+    requests: DataFrame, gate: list[str], arrival: str, order: list[str], challenged: str, seconds: int = THROTTLE_SECONDS, back_off: int = BACK_OFF_SECONDS
+) -> DataFrame:
+    """requests with start and delay in microseconds, when each waits for the one before it by so many
+    seconds, and longer after a challenge: with S_i the sum of the waits before i, start_i is S_i +
+    max over j <= i of (arrival_j - S_j), again one running maximum."""
+    w = W.partitionBy(*gate).orderBy(arrival, *order)
+    wait = (F.lit(seconds) + F.when(F.col(challenged), back_off).otherwise(0)).cast("long") * 1_000_000
+    rows = requests.withColumn("_t", F.unix_micros(F.col(arrival)))
+    rows = rows.withColumn("_s", F.coalesce(F.sum(wait).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    rows = rows.withColumn("start", F.col("_s") + F.max(F.col("_t") - F.col("_s")).over(w.rowsBetween(W.unboundedPreceding, 0)))
+    return rows.withColumn("delay", F.col("start") - F.col("_t")).drop("_t", "_s")
+
+
 def cache_key(c: Column) -> Column:
     """Words of a query, case folded, one space between."""
     return F.trim(F.regexp_replace(casefold(nfkc(c)), r"(?U)\s+", " "))
@@ -119,6 +135,34 @@ def cache_hits(requests: DataFrame, keys: list[str], ident: str, at: str, second
     return rows.repartition("_h").sortWithinPartitions("_h", "_k", "_t", "_i").mapInPandas(stream, "ident long, hit boolean")
 
 
+def bounded_cache_hits(requests: DataFrame, keys: list[str], ident: str, at: str, seconds: int = CACHE_SECONDS, entries: int = CACHE_ENTRIES) -> DataFrame:
+    """(ident, hit) as cache_hits for one cache of so many entries, which drops the one used longest
+    ago. That is one order over all requests, so one task streams them and holds the entries only;
+    split a log by cache before."""
+    key = F.sha2(F.concat_ws("\x1f", *keys), 256)
+    rows = requests.select(key.alias("_k"), F.unix_micros(F.col(at)).alias("_t"), F.col(ident).cast("long").alias("_i"))
+    life = seconds * 1_000_000
+
+    def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        stored: OrderedDict[str, int] = OrderedDict()
+        for b in batches:
+            hits = []
+            for k, t in zip(b["_k"], b["_t"]):
+                alive = k in stored and t < stored[k] + life
+                hits.append(alive)
+                if not alive:
+                    # an entry that has expired gives way before one that has not
+                    for other in [x for x, s in stored.items() if t >= s + life] if len(stored) >= entries else []:
+                        del stored[other]
+                    stored[k] = t
+                stored.move_to_end(k)
+                while len(stored) > entries:
+                    stored.popitem(last=False)
+            yield pd.DataFrame({"ident": b["_i"], "hit": hits})
+
+    return rows.repartition(1).sortWithinPartitions("_t", "_i").mapInPandas(stream, "ident long, hit boolean")
+
+
 def page_state(
     status: Column, host: Column, path: Column, title: Column, text: Column, has_table: Column, *, result_host: str, result_path: str, login_host: str
 ) -> Column:

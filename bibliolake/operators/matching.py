@@ -70,12 +70,17 @@ def identifier_conflicts(audit: DataFrame, sources: DataFrame, catalog: DataFram
     return hits.groupBy("source_record_id", "journal_id").agg(F.array_sort(F.collect_set("owner")).alias("owners"))
 
 
-def bind_memberships(audit: DataFrame, sources: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Each entry with what matched rows add: (journal_id, indexes, records, issn, eissn, new_indexes)."""
+def bind_memberships(audit: DataFrame, sources: DataFrame, catalog: DataFrame, index_order: list[str] | None = None) -> DataFrame:
+    """Each entry with what matched rows add: (journal_id, indexes, records, issn, eissn, new_indexes).
+
+    Records come in the order of their index (as index_order names them, others after it by name),
+    then of their line, then of their id.
+    """
     hit = audit.filter(F.col("status") == "matched").select("source_record_id", "journal_id")
     rows = hit.join(sources, "source_record_id")
     none = F.array().cast("array<string>")
-    order = F.struct("index_name", "source_line", "source_record_id")
+    place = F.array_position(F.array(*[F.lit(x) for x in index_order or ["\x00"]]), F.col("index_name"))
+    order = F.struct(F.when(place > 0, place).otherwise(2**31 - 1).alias("place"), "index_name", "source_line", "source_record_id")
     added = rows.groupBy("journal_id").agg(
         F.array_sort(F.collect_set("index_name")).alias("indexes"),
         F.transform(F.array_sort(F.collect_list(order)), lambda x: x["source_record_id"]).alias("records"),

@@ -611,6 +611,26 @@ def cache_hits(spark: SparkSession, sf: str) -> DataFrame:
     return control.cache_hits(rows, ["key", "n"], "request_id", "requested_at").select(F.col("ident").alias("request_id"), "hit")
 
 
+@query(
+    """WITH r AS (SELECT request_id, edition, date_trunc('day', requested_at) AS day, requested_at, epoch_us(requested_at) AS t, (30 + CASE WHEN coalesce(outcome, '') NOT IN ('success', 'partial', 'no_results') THEN 180 ELSE 0 END) * 1000000 AS d FROM search_requests),
+    s AS (SELECT *, coalesce(CAST(sum(d) OVER (PARTITION BY edition, day ORDER BY requested_at, request_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT), 0) AS s FROM r),
+    x AS (SELECT request_id, t, s + max(t - s) OVER (PARTITION BY edition, day ORDER BY requested_at, request_id ROWS UNBOUNDED PRECEDING) AS start FROM s)
+    SELECT request_id, start, start - t AS delay FROM x"""
+)
+def throttle(spark: SparkSession, sf: str) -> DataFrame:
+    """One throttle for each edition and day."""
+    rows = table(spark, sf, "search_requests").withColumn("day", F.date_trunc("day", "requested_at"))
+    rows = rows.withColumn("bad", ~F.coalesce("outcome", F.lit("")).isin("success", "partial", "no_results"))
+    return control.throttled_starts(rows, ["edition", "day"], "requested_at", ["request_id"], "bad").select("request_id", "start", "delay")
+
+
+@query()
+def bounded_cache(spark: SparkSession, sf: str) -> DataFrame:
+    """One cache of 1,024 entries; tests hold it against a plain simulation."""
+    rows = table(spark, sf, "search_requests").filter("query is not null").withColumn("key", control.cache_key(F.col("query")))
+    return control.bounded_cache_hits(rows, ["key", "row_limit"], "request_id", "requested_at").select(F.col("ident").alias("request_id"), "hit")
+
+
 _SQL_SNAPSHOTS = """snapshots AS (SELECT raw_id, CASE raw_id % 11 WHEN 0 THEN 403 WHEN 1 THEN 429 WHEN 2 THEN 503 ELSE 200 END AS code,
   CASE raw_id % 7 WHEN 0 THEN 'login.example.org' ELSE 'search.example.org' END AS host, CASE raw_id % 5 WHEN 0 THEN '/verify/home' WHEN 1 THEN '/other' ELSE '/results/list' END AS path,
   CASE raw_id % 13 WHEN 0 THEN '安全验证' ELSE title END AS title, CASE raw_id % 3 WHEN 0 THEN '抱歉，未检索到相关文献' WHEN 1 THEN '访问过于频繁' ELSE journal END AS body, raw_id % 2 = 0 AS has_table FROM raw_rows)"""

@@ -148,3 +148,31 @@ def coded_tables(rows: DataFrame, required: list[str], code: str = r"^\*\*编号
     own = F.when(heading.isNotNull(), F.lit("")).otherwise(F.nullif(F.regexp_extract("line", code, 1), F.lit("")))
     context = rows.select("path", "line_no", carried(heading).alias("heading"), F.nullif(carried(own), F.lit("")).alias("code"))
     return named_tables(rows, required).join(context, ["path", "line_no"])
+
+
+def structure(texts: DataFrame) -> DataFrame:
+    """(path, levels, groups, version, blocks) that a master catalog states in its head and marks."""
+    found = texts.select(
+        "path",
+        F.transform(F.regexp_extract_all("text", F.lit(r"(?m)^  - level: (\d+)$"), F.lit(1)), lambda x: x.cast("int")).alias("levels"),
+        F.regexp_extract_all("text", F.lit(r'(?m)^    group: "([^"]+)"$'), F.lit(1)).alias("groups"),
+        F.nullif(F.regexp_extract("text", r'(?m)^catalog_version: "([^"]+)"$', 1), F.lit("")).alias("version"),
+        F.transform(F.regexp_extract_all("text", F.lit(r"<!-- SOURCE_BEGIN: ([^>]+?) -->"), F.lit(1)), lambda x: F.trim(x)).alias("blocks"),
+    )
+    return found
+
+
+def check_structure(texts: DataFrame, *, levels: list[int], groups: list[str], version: str, blocks: list[str]) -> DataFrame:
+    """(path, part) of every part of a master catalog that is not as expected, in this very order."""
+
+    def same(c: str, wanted: list, kind: str) -> Column:
+        return F.col(c) == F.array(*[F.lit(x) for x in wanted]).cast(f"array<{kind}>")
+
+    checks = {
+        "levels": same("levels", levels, "int"),
+        "groups": same("groups", groups, "string"),
+        "version": F.col("version").eqNullSafe(version),
+        "blocks": same("blocks", blocks, "string"),
+    }
+    wrong = F.filter(F.array(*[F.when(~ok, F.lit(name)) for name, ok in checks.items()]), lambda x: x.isNotNull())
+    return structure(texts).select("path", F.explode(wrong).alias("part"))

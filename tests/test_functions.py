@@ -118,3 +118,13 @@ def test_cells(spark):
 @given(st.lists(st.text(alphabet="aＡﬁ①é\u0301 ½中⼦ßİ\x00\u200b", max_size=8), min_size=1, max_size=20))
 def test_nfkc_is_exact(spark, values):
     assert column(spark, values, text.nfkc) == [unicodedata.normalize("NFKC", v) for v in values]
+
+
+def test_title_cells(spark):
+    cells = ["Nature<br>内部顺序：3<br>x", "A <br> —", "B<br>内部顺序：x"]
+    assert column(spark, cells, clean.main_title) == ["Nature", "A", "B"]
+    assert column(spark, cells, clean.internal_rank) == [3, None, None]
+    assert column(spark, ["原刊名： 甲，乙", "甲", None], clean.original_titles) == [["甲，乙"], [], []]
+    assert column(spark, ["Zeitschrift fur Geomorphologie", "X", None], clean.rewritten_title) == ["Zeitschrift für Geomorphologie", "X", None]
+    with pytest.raises(Exception, match="a title is empty"):
+        column(spark, ["—"], clean.main_title)

@@ -254,3 +254,27 @@ def test_group_search(spark):
     assert [(r.paper_id, r.journal_matched_title, r.topic_match_field) for r in got] == [(2, "Alpha", "KY")]
     with pytest.raises(ValueError):
         search.check_limit(True)
+
+
+def test_throttle_waits_longer_after_a_challenge(spark):
+    data = [(1, 0, True), (2, 1, False), (3, 2, False), (4, 1000, False)]
+    df = spark.createDataFrame(data, "i int, s long, bad boolean").withColumn("t", F.timestamp_seconds("s")).withColumn("k", F.lit(1))
+    got = {r.i: (r.start // 10**6, r.delay // 10**6) for r in control.throttled_starts(df, ["k"], "t", ["i"], "bad").collect()}
+    assert got == {1: (0, 0), 2: (210, 209), 3: (240, 238), 4: (1000, 0)}
+
+
+def test_bounded_cache_against_a_plain_one(spark):
+    rng = random.Random(5)
+    data = [(i, rng.choice("abcdefgh"), i * rng.choice([1, 1, 3])) for i in range(400)]
+    df = spark.createDataFrame(data, "i int, k string, s long").withColumn("t", F.timestamp_seconds("s"))
+    got = {r.ident: r.hit for r in control.bounded_cache_hits(df, ["k"], "i", "t", seconds=20, entries=3).collect()}
+    stored, used, wanted = {}, {}, {}
+    for n, (i, k, s) in enumerate(sorted(data, key=lambda d: (d[2], d[0]))):
+        for x in [x for x, at in stored.items() if s >= at + 20]:
+            del stored[x]
+        wanted[i] = k in stored
+        stored.setdefault(k, s)
+        used[k] = n
+        while len(stored) > 3:
+            del stored[min(stored, key=used.get)]
+    assert got == wanted

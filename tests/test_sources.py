@@ -5,7 +5,6 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from bibliolake import __main__ as cli
-from bibliolake.functions.text import strip
 from bibliolake.operators import catalog
 from bibliolake.plans import search
 from bibliolake.sources import files, lines, pages, render
@@ -175,4 +174,11 @@ def test_checkpoint(spark, tmp_path):
     assert search.load_checkpoint(spark, str(tmp_path / "c"), "t2", F.lit(True)).count() == 0
     plans = spark.createDataFrame([(1,), (2,), (3,)], "index int")
     assert rows(search.remaining(plans, got)) == [(1,), (3,)]
-    assert strip is not None
+
+
+def test_structure(spark):
+    head = 'catalog_version: "v1"\n  - level: 1\n    group: "a"\n  - level: 2\n    group: "b"\n<!-- SOURCE_BEGIN: A -->x<!-- SOURCE_END: A -->'
+    wanted = dict(levels=[1, 2], groups=["a", "b"], version="v1", blocks=["A"])
+    assert lines.check_structure(texts(spark, head), **wanted).count() == 0
+    wrong = lines.check_structure(texts(spark, head.replace("level: 2", "level: 3"), "nothing"), **wanted)
+    assert rows(wrong) == [("f0", "levels"), ("f1", "blocks"), ("f1", "groups"), ("f1", "levels"), ("f1", "version")]
