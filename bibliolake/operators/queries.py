@@ -240,8 +240,8 @@ def level_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    """SELECT count_if(priority_level <= 10) AS upper, count_if(list_contains(index_memberships, 'CORE_N')) AS core,
-    count_if(priority_level <= 10 AND list_contains(index_memberships, 'CORE_N')) AS both_ways, count_if(priority_level > 10 AND list_contains(index_memberships, 'CORE_N')) AS added FROM journals"""
+    """SELECT CAST(count_if(priority_level <= 10) AS BIGINT) AS upper, CAST(count_if(list_contains(index_memberships, 'CORE_N')) AS BIGINT) AS core,
+    CAST(count_if(priority_level <= 10 AND list_contains(index_memberships, 'CORE_N')) AS BIGINT) AS both_ways, CAST(count_if(priority_level > 10 AND list_contains(index_memberships, 'CORE_N')) AS BIGINT) AS added FROM journals"""
 )
 def catalog_statistics(spark: SparkSession, sf: str) -> DataFrame:
     upper, core = F.col("priority_level") <= 10, F.array_contains("index_memberships", "CORE_N")
@@ -344,7 +344,7 @@ def identifier_conflicts(spark: SparkSession, sf: str) -> DataFrame:
     return found.withColumn("owners", _strings("owners"))
 
 
-@query(f"WITH {_SQL_MATCH} SELECT index_name, count(*) AS total, count_if(status = 'matched') AS matched, count_if(status = 'out_of_scope') AS out_of_scope, count_if(status = 'ambiguous') AS ambiguous FROM audit GROUP BY 1")
+@query(f"WITH {_SQL_MATCH} SELECT index_name, count(*) AS total, CAST(count_if(status = 'matched') AS BIGINT) AS matched, CAST(count_if(status = 'out_of_scope') AS BIGINT) AS out_of_scope, CAST(count_if(status = 'ambiguous') AS BIGINT) AS ambiguous FROM audit GROUP BY 1")
 def match_counts(spark: SparkSession, sf: str) -> DataFrame:
     return matching.match_counts(_audit(spark, sf))
 
