@@ -24,7 +24,7 @@ CASES = [
     ('a"b;c', ['a"b', "c"]),
     ('"a;b', ['"a', "b"]),
     ("a (b;c", ["a (b", "c"]),
-    ("x\;y;z", ["x;y", "z"]),
+    ("x\\;y;z", ["x;y", "z"]),
     ('"a \\" b";c', ['a " b', "c"]),
     ("A B\tC D\nE F", ["A B", "C D", "E F"]),
     ("A B　C D", ["A B", "C D"]),
