@@ -105,7 +105,7 @@ def mix(
         rows.setdefault(s, (s, max(w, 0.0), max(c, 0)))
     kept = {f"_keep{i}": c for i, c in enumerate(keep or [])}
     docs = materialize(
-        documents.filter(F.col(source).isin(list(rows)) & F.col(key).isNotNull() & (F.col(size) > 0)).select(
+        documents.filter(F.col(source).isin(list(rows)) & F.col(key).isNotNull()).select(
             F.col(key).alias("k"),
             F.col(source).alias("source"),
             F.col(size).cast("long").alias("size"),
@@ -113,6 +113,8 @@ def mix(
             *[F.col(c).alias(new) for new, c in kept.items()],
         )
     )
+    # after the write: a filter before it would compute a size that Python counts twice
+    docs = docs.filter("size > 0")
     made = plan(docs, list(rows.values()), seed, total)
     schema = "source string, weight double, cap int, supply long, mean double, limits array<double>"
     table = spark.createDataFrame(made.rows, schema)
