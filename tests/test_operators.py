@@ -278,3 +278,15 @@ def test_bounded_cache_against_a_plain_one(spark):
         while len(stored) > 3:
             del stored[min(stored, key=used.get)]
     assert got == wanted
+
+
+def test_scratch_goes_where_the_session_says(spark, tmp_path):
+    before = spark.conf.get("spark.checkpoint.dir", None)
+    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}")
+    try:
+        df = common.materialize(spark.range(5))
+        assert any(p.name.startswith("bibliolake-") for p in tmp_path.iterdir())
+        assert df.count() == 5 and "Scan parquet" in df._jdf.queryExecution().toString().replace("FileScan parquet", "Scan parquet")
+    finally:
+        spark.conf.unset("spark.checkpoint.dir") if before is None else spark.conf.set("spark.checkpoint.dir", before)
+    assert common.scratch_dir(spark)
