@@ -14,12 +14,12 @@ from pyspark.sql import functions as F
 #: HOT_PARTS hot keys whatever the data: that is the size bound of every broadcast of hot keys.
 HOT_PARTS = 1000
 
-_own_dirs: list[str] = []
+_own_dirs: dict[str, str] = {}
 
 
 @atexit.register
 def _remove_own_dirs() -> None:
-    for path in _own_dirs:
+    for path in _own_dirs.values():
         shutil.rmtree(path, ignore_errors=True)
 
 
@@ -29,24 +29,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, as the session names it; a folder of our own only if unset."""
+    """The folder that all executors share, as the session names it; a folder of our own, one for an
+    application, only where none is named."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not path:
-        path = tempfile.mkdtemp(prefix="bibliolake-")
-        _own_dirs.append(path)
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path
+    if path:
+        return path
+    app = spark.sparkContext.applicationId
+    if app not in _own_dirs:
+        _own_dirs[app] = tempfile.mkdtemp(prefix="bibliolake-")
+    return _own_dirs[app]
 
 
 def materialize(df: DataFrame) -> DataFrame:
     """Write df once to the shared scratch folder and return a DataFrame that reads it.
 
     This cuts the lineage: a lost executor costs a re-read of files and no re-computation, and a
-    result that is used several times is computed once.
+    result that is used several times is computed once. The files go when the application ends.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/bibliolake-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -280,13 +280,23 @@ def test_bounded_cache_against_a_plain_one(spark):
     assert got == wanted
 
 
-def test_scratch_goes_where_the_session_says(spark, tmp_path):
-    before = spark.conf.get("spark.checkpoint.dir", None)
-    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}")
-    try:
-        df = common.materialize(spark.range(5))
-        assert any(p.name.startswith("bibliolake-") for p in tmp_path.iterdir())
-        assert df.count() == 5 and "Scan parquet" in df._jdf.queryExecution().toString().replace("FileScan parquet", "Scan parquet")
-    finally:
-        spark.conf.unset("spark.checkpoint.dir") if before is None else spark.conf.set("spark.checkpoint.dir", before)
-    assert common.scratch_dir(spark)
+class _Session:
+    """A session as far as the scratch folder asks."""
+
+    def __init__(self, named, app="a1"):
+        self.conf = {"spark.checkpoint.dir": named} if named else {}
+        self.sparkContext = self
+        self.applicationId = app
+
+    def getCheckpointDir(self):
+        return None
+
+
+def test_scratch_goes_where_the_session_says(spark, monkeypatch):
+    monkeypatch.setattr(common, "_own_dirs", {})
+    assert common.scratch_dir(_Session("hdfs://x/y")) == "hdfs://x/y" and not common._own_dirs
+    own = common.scratch_dir(_Session(None))
+    assert own == common.scratch_dir(_Session(None)) != common.scratch_dir(_Session(None, "a2")) and os.path.isdir(own)
+    common._remove_own_dirs()
+    assert not os.path.exists(own)
+    assert common.materialize(spark.range(5)).count() == 5
