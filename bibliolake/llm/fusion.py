@@ -55,23 +55,27 @@ def claims_of(
     groups: DataFrame, records: DataFrame, *, group: str, key: str, counts: list[str], lists: list[str], seen: str, doubtful: str, source: Column
 ) -> DataFrame:
     """Usable values as rows (g, field, value, entries, record, at, trusted, source), each once."""
+    # records are shuffled as they are; their cells are made of those that belong to a group
+    raw = {f"_f{i}": c for i, c in enumerate([*counts, *lists])}
     own = records.select(
         F.col(key).alias("record"),
         F.coalesce(F.col(seen).cast("timestamp"), F.lit("0001-01-01 00:00:00").cast("timestamp")).alias("at"),
         F.coalesce(~F.col(doubtful), F.lit(False)).alias("trusted"),
         source.alias("source"),
-        F.array(
-            *[
-                F.struct(F.lit(c).alias("field"), F.when(F.col(c) >= 0, F.col(c).cast("string")).alias("value"), F.lit(None).cast("array<string>").alias("entries"))
-                for c in counts
-            ],
-            *[F.struct(F.lit(c).alias("field"), F.array_join(_entries(c), "\x1f").alias("value"), _entries(c).alias("entries")) for c in lists],
-        ).alias("_cells"),
+        *[F.col(c).alias(new) for new, c in raw.items()],
     )
     members = groups.select(F.col(group).alias("g"), F.col(key).alias("record")).filter(F.col("g").isNotNull() & F.col("record").isNotNull()).distinct()
-    joined = members.join(own, "record")
-    cells = joined.select("g", "record", "at", "trusted", "source", F.explode(F.filter("_cells", lambda c: c["value"].isNotNull())).alias("_cell"))
-    return cells.select("g", "_cell.field", "_cell.value", "_cell.entries", "record", "at", "trusted", "source").distinct()
+
+    def cell(new: str, c: str) -> Column:
+        if c in counts:
+            value, entries = F.when(F.col(new) >= 0, F.col(new).cast("string")), F.lit(None).cast("array<string>")
+        else:
+            value, entries = F.array_join(_entries(new), "\x1f"), _entries(new)
+        return F.struct(F.lit(c).alias("field"), value.alias("value"), entries.alias("entries"))
+
+    cells = F.filter(F.array(*[cell(new, c) for new, c in raw.items()]), lambda x: x["value"].isNotNull())
+    joined = members.join(own, "record").select("g", "record", "at", "trusted", "source", F.explode(cells).alias("_cell"))
+    return joined.select("g", "_cell.field", "_cell.value", "_cell.entries", "record", "at", "trusted", "source").distinct()
 
 
 def _constant(values: list[float]) -> Column:
