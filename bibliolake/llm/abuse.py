@@ -37,8 +37,9 @@ ALPHA, BETA, L1, L2, PASSES, ROUNDS = 0.3, 1.0, 0.6, 0.5, 3, 4
 THRESHOLD = 0.3
 #: A feature may have a positive weight if at least so many positive documents have it and its lift,
 #: how many times as frequent it is in positive documents as in the corpus, is at least this power of
-#: the greatest lifts (their 99th percentile, about one by the rate of abuse), and at least 1.5.
-LEAST_POSITIVE, LIFT_POWER, LEAST_LIFT = 2, 0.66, 1.5
+#: the greatest lifts (their 99th percentile, about one by the rate of abuse), and at least 1.5; and if
+#: by chance so many positive documents would have it with at most this probability (Poisson tail).
+LEAST_POSITIVE, LIFT_POWER, LEAST_LIFT, CHANCE = 2, 0.66, 1.5, 3e-3
 #: Word distances of a feature: n-grams of one to four words, pairs that skip one or two.
 SHAPES = ((0,), (0, 1), (0, 1, 2), (0, 1, 2, 3), (0, 2), (0, 3))
 
@@ -169,6 +170,15 @@ def positive_features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return at[n >= LEAST_POSITIVE], n[n >= LEAST_POSITIVE]
 
 
+def _log_tail(n: np.ndarray, mean: np.ndarray) -> np.ndarray:
+    """A bound of the log probability that a Poisson number of this mean reaches n; 0 where it is likely."""
+    factorial = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, int(n.max(initial=0)) + 1)))])
+    rest = 1 - mean / (n + 1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        bound = n * np.log(mean) - mean - factorial[n] - np.log(np.maximum(rest, 1e-12))
+    return np.where(rest > 0.1, np.minimum(bound, 0), 0.0)
+
+
 def fit(texts: list[str | None], labels: list[float], corpus: dict[int, int], corpus_docs: int) -> Ftrl:
     """The model of labelled documents. corpus says in how many of all corpus_docs documents each
     of the positive_features occurs. Documents without words are ignored; without a positive or a
@@ -185,7 +195,7 @@ def fit(texts: list[str | None], labels: list[float], corpus: dict[int, int], co
     allowed = np.zeros(2**BITS, dtype=bool)
     often = lift[n >= 3]
     least = max(np.log(LEAST_LIFT), LIFT_POWER * np.quantile(often, 0.99)) if len(often) else np.log(LEAST_LIFT)
-    allowed[at[lift >= least]] = True
+    allowed[at[(lift >= least) & (_log_tail(n, positives * np.maximum(everywhere, n) / max(corpus_docs, 1)) <= np.log(CHANCE))]] = True
 
     def first(part: np.ndarray) -> float:
         """How strongly a sentence's features speak for abuse before any training."""
