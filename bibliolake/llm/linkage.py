@@ -14,16 +14,15 @@ import re
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from bibliolake.common import join_by_counted_key, materialize
 from bibliolake.llm.reflist import _HAN, _TOKEN, _content, bare, folded, joined, most_edits
 
-#: A key that more classes share is evidence of nothing by itself: classes that share a second, rarer
-#: key (an identifier, a name with its publisher) meet there; the others are paired by their whole
-#: set of common keys, and where that set is as common, through one class of each source.
+#: The rows of a block that meet in one task. A key that more classes share is common: its classes are
+#: dealt to parts of about this size, and every part meets every other one.
 MOST_IN_BLOCK = 200
 #: Pairs from this posterior on are matches; a third record links two others from the higher one on.
 THRESHOLD, SURE = 0.65, 0.9
@@ -227,32 +226,35 @@ def _compare(an: pd.Series, ap: pd.Series, ao: pd.Series, bn: pd.Series, bp: pd.
     return pd.DataFrame(rows, columns=["title", "ids"])
 
 
-def candidate_pairs(classes: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of classes of different sources that share a block."""
+def _keyed(classes: DataFrame) -> DataFrame:
+    """Rows (rep, source, key, n) of the keys that n > 1 classes share."""
     keyed = classes.select("rep", "source", F.explode("keys").alias("key"))
     sizes = materialize(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
-    keyed = materialize(join_by_counted_key(keyed, sizes, ["key"], "n"))
-    plain = keyed.filter(F.col("n") <= MOST_IN_BLOCK)
-
-    def within(blocks: DataFrame) -> DataFrame:
-        left = blocks.select("key", F.col("rep").alias("a"), F.col("source").alias("_s"))
-        right = blocks.select("key", F.col("rep").alias("b"), F.col("source").alias("_t"))
-        return left.join(right, "key").filter((F.col("a") < F.col("b")) & (F.col("_s") != F.col("_t"))).select("a", "b")
-
-    pairs = within(plain)
-    common = keyed.filter(F.col("n") > MOST_IN_BLOCK)
-    if not common.isEmpty():
-        whole = common.groupBy("rep", "source").agg(F.array_join(F.array_sort(F.collect_list("key")), "\x1f").alias("key"))
-        whole = materialize(whole)
-        size = materialize(whole.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
-        whole = materialize(join_by_counted_key(whole, size, ["key"], "n"))
-        pairs = pairs.unionByName(within(whole.filter(F.col("n") <= MOST_IN_BLOCK)))
-        still = whole.filter(F.col("n") > MOST_IN_BLOCK)
-        heads = still.groupBy("key", "source").agg(F.min("rep").alias("_h"), F.count(F.lit(1)).alias("_n"))
-        heads = materialize(heads.groupBy("key").agg(F.collect_list(F.struct(F.col("source").alias("_t"), "_h")).alias("_heads"), F.sum("_n").alias("_n")))
-        star = join_by_counted_key(still, heads, ["key"], "_n").select("rep", "source", F.inline("_heads")).filter(F.col("source") != F.col("_t"))
-        pairs = pairs.unionByName(star.select(F.least("rep", "_h").alias("a"), F.greatest("rep", "_h").alias("b")))
-    return pairs.distinct()
+    return materialize(join_by_counted_key(keyed, sizes, ["key"], "n"))
+
+
+def _dealt(n: Column, by: Column) -> list[Column]:
+    """Columns (_own, _met) of a row of a block of n: its part, and, a row each, the parts that it meets."""
+    parts = F.ceil(n / F.lit(MOST_IN_BLOCK)).cast("int")
+    return [F.pmod(F.xxhash64(by), parts).cast("int").alias("_own"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("_met")]
+
+
+def candidate_pairs(classes: DataFrame, keyed: DataFrame | None = None) -> DataFrame:
+    """Distinct pairs (a, b), a < b, of classes of different sources that share a key that is not common."""
+    keyed = _keyed(classes) if keyed is None else keyed
+    blocks = keyed.filter(F.col("n") <= MOST_IN_BLOCK)
+    left = blocks.select("key", F.col("rep").alias("a"), F.col("source").alias("_s"))
+    right = blocks.select("key", F.col("rep").alias("b"), F.col("source").alias("_t"))
+    return left.join(right, "key").filter((F.col("a") < F.col("b")) & (F.col("_s") != F.col("_t"))).select("a", "b").distinct()
+
+
+def common_pairs(keyed: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b), a < b, of classes of different sources that share a common key: all of
+    them, so their number grows with the square of the block; a task holds the pairs of two parts."""
+    blocks = keyed.filter(F.col("n") > MOST_IN_BLOCK).select("key", "rep", "source", *_dealt(F.col("n"), F.col("rep")))
+    left = blocks.select("key", F.col("rep").alias("a"), F.col("source").alias("_s"), "_own", "_met")
+    right = blocks.select("key", F.col("rep").alias("b"), F.col("source").alias("_t"), F.col("_met").alias("_own"), F.col("_own").alias("_met"))
+    return left.join(right, ["key", "_own", "_met"]).filter((F.col("a") < F.col("b")) & (F.col("_s") != F.col("_t"))).select("a", "b").distinct()
 
 
 def estimate(patterns: list[tuple[tuple[int, ...], int]]) -> dict[tuple[int, ...], float]:
@@ -307,7 +309,10 @@ def link_records(
     by_class = materialize(marked.groupBy("class").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")))
     members = materialize(join_by_counted_key(marked.select("class", "id"), by_class, ["class"], "n").select("rep", "id"))
     classes = materialize(prepared.join(members.filter("rep = id").select("id"), "id", "left_semi").withColumnRenamed("id", "rep"))
-    pairs = candidate_pairs(classes)
+    keyed = _keyed(classes)
+    pairs = candidate_pairs(classes, keyed)
+    if not keyed.filter(F.col("n") > MOST_IN_BLOCK).isEmpty():
+        pairs = pairs.unionByName(common_pairs(keyed)).distinct()
     left = classes.select(*[F.col(c).alias(f"a_{c}") for c in ("rep", "source", "names", "printed", "online", "publisher")])
     right = classes.select(*[F.col(c).alias(f"b_{c}") for c in ("rep", "source", "names", "printed", "online", "publisher")])
     both = pairs.join(left, F.col("a") == F.col("a_rep")).join(right, F.col("b") == F.col("b_rep"))

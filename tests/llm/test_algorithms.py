@@ -222,6 +222,19 @@ def test_common_block_stays_linear(spark, monkeypatch):
     assert linkage.link_records(spark.createDataFrame(data, RECORDS), **LINK).count() >= 30
 
 
+def test_every_pair_of_a_common_key_is_compared(spark, monkeypatch):
+    monkeypatch.setattr(linkage, "MOST_IN_BLOCK", 5)
+    keys = [["k"], ["k", "l"], ["k", "l", "m"], ["k"], ["k", "r"]]
+    data = [(f"{x}:{i}", x, [*keys[i % 5], f"own {x} {i // 2}"]) for i in range(23) for x in "ABC"]
+    keyed = linkage._keyed(spark.createDataFrame(data, "rep string, source string, keys array<string>"))
+    got = rows(linkage.candidate_pairs(None, keyed).unionByName(linkage.common_pairs(keyed)).distinct())
+    assert got == sorted((a[0], b[0]) for a in data for b in data if a[0] < b[0] and a[1] != b[1] and {*a[2]} & {*b[2]})
+    # sets of keys that differ (B has another common name), and more of one set than a block holds
+    data = [(f"{x}:{i}", x, "Same Name Here", None, [f"Own {x} W{i}", *(["Another Common Name"] if x == "B" else [])], None, None, None, "") for i in range(12) for x in "ABC"]
+    found = {(r.left, r.right) for r in linkage.link_records(spark.createDataFrame(data, RECORDS), **LINK).collect()}
+    assert found == {(a[0], b[0]) for a in data for b in data if a[0] < b[0] and a[1] != b[1]}
+
+
 def test_linkage_edges(spark):
     data = [(None, "A", "x", None, None, None, None, None, ""), ("a", None, "x", None, None, None, None, None, ""), ("b", "A", None, None, None, None, None, None, ""), ("c", "B", "", " ", [None], [None], [""], "", "")]
     assert linkage.link_records(spark.createDataFrame(data, RECORDS), **LINK).count() == 0
