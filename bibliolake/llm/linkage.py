@@ -257,6 +257,22 @@ def common_pairs(keyed: DataFrame) -> DataFrame:
     return left.join(right, ["key", "_own", "_met"]).filter((F.col("a") < F.col("b")) & (F.col("_s") != F.col("_t"))).select("a", "b").distinct()
 
 
+def _through_many(ways: DataFrame, keyed: DataFrame) -> DataFrame:
+    """Rows (a, b, p), a < b, of classes x of different sources that have a via with very many ways
+    (via, x, s, p) in common. Two that share a common key were compared themselves, so only sets of
+    common keys without one in common meet: a common block is passed over without making its pairs."""
+    common = keyed.filter(F.col("n") > MOST_IN_BLOCK).groupBy(F.col("rep").alias("x")).agg(F.array_sort(F.collect_set("key")).alias("common"))
+    ways = materialize(ways.select("via", "x", "s", "p").join(common, "x", "left").withColumn("common", F.coalesce("common", F.array().cast("array<string>"))))
+    sets = materialize(ways.groupBy("via", "common").agg(F.count(F.lit(1)).alias("n")))
+    other = sets.select("via", F.col("common").alias("other"), F.col("n").alias("m"))
+    meeting = sets.join(other, "via").filter(~F.arrays_overlap("common", "other")).select("via", "common", "other", F.greatest("n", "m").alias("n"))
+    dealt = ways.join(meeting, ["via", "common"]).select("via", "common", "other", "x", "s", "p", *_dealt(F.col("n"), F.col("x")))
+    swapped = {"common": "other", "other": "common", "_own": "_met", "_met": "_own"}
+    right = dealt.select("via", *[F.col(c).alias(new) for c, new in swapped.items()], F.col("x").alias("y"), F.col("s").alias("t"), F.col("p").alias("q"))
+    both = dealt.join(right, ["via", "common", "other", "_own", "_met"]).filter("x < y and s <> t")
+    return both.select(F.col("x").alias("a"), F.col("y").alias("b"), (F.col("p") * F.col("q")).alias("p"))
+
+
 def estimate(patterns: list[tuple[tuple[int, ...], int]]) -> dict[tuple[int, ...], float]:
     """The posterior of each pattern of levels, by expectation-maximisation over the patterns' counts.
 
@@ -329,11 +345,14 @@ def link_records(
     ways = sure.select(F.col("a").alias("via"), F.col("b").alias("x"), F.col("b_source").alias("s"), "p").unionByName(
         sure.select(F.col("b").alias("via"), F.col("a").alias("x"), F.col("a_source").alias("s"), "p")
     )
-    # one through whom very many meet is the head of a common block and links nobody
-    few = ways.groupBy("via").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n").between(2, MOST_IN_BLOCK)).select("via")
-    ways = materialize(ways.join(few, "via", "left_semi"))
-    hop = ways.alias("l").join(ways.alias("r"), F.col("l.via") == F.col("r.via")).filter("l.x < r.x and l.s <> r.s")
-    hop = hop.groupBy(F.col("l.x").alias("a"), F.col("r.x").alias("b")).agg(F.max(F.col("l.p") * F.col("r.p")).alias("p"))
+    links = materialize(ways.groupBy("via").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    ways = materialize(join_by_counted_key(ways, links, ["via"], "n"))
+    few, many = ways.filter(F.col("n") <= MOST_IN_BLOCK), ways.filter(F.col("n") > MOST_IN_BLOCK)
+    hop = few.alias("l").join(few.alias("r"), F.col("l.via") == F.col("r.via")).filter("l.x < r.x and l.s <> r.s")
+    hop = hop.select(F.col("l.x").alias("a"), F.col("r.x").alias("b"), (F.col("l.p") * F.col("r.p")).alias("p"))
+    if not many.isEmpty():
+        hop = hop.unionByName(_through_many(many, keyed))
+    hop = hop.groupBy("a", "b").agg(F.max("p").alias("p"))
     hop = hop.join(scored.select("a", "b"), ["a", "b"], "left_anti")
     linked = matched.select("a", "b", "p").unionByName(hop.select("a", "b", "p"))
     out = linked.join(members.select(F.col("rep").alias("a"), F.col("id").alias("x")), "a").join(members.select(F.col("rep").alias("b"), F.col("id").alias("y")), "b")

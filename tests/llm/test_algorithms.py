@@ -235,6 +235,20 @@ def test_every_pair_of_a_common_key_is_compared(spark, monkeypatch):
     assert found == {(a[0], b[0]) for a in data for b in data if a[0] < b[0] and a[1] != b[1]}
 
 
+def test_a_record_with_many_sure_links_links_others(spark, monkeypatch):
+    """B and C share no key and meet through A only, which has more links than a block holds."""
+    han, name = "岚丘积雪气候杂志", "Annals of Dralbura Pollen Sociology"
+    data = [("A:0", "A", name, None, [han], [_number(6)], [_number(7)], "One", "")]
+    data += [(f"B:{i}", "B", han, None, ["甲乙丙丁戊己庚辛壬癸"[i] * 9], [_number(6)], None, None, "") for i in range(8)]
+    data += [(f"C:{i}", "C", name, None, [f"Letters on W{'abcdefgh'[i] * 4} Optics"], [_number(7)], None, None, "") for i in range(8)]
+    df = spark.createDataFrame(data + [(f"other {r[0]}", *r[1:]) for r in _journals(60, 8)[0]], RECORDS)
+    found = {(r.left, r.right, round(r.confidence, 9)) for r in linkage.link_records(df, **LINK).collect()}
+    for most in (5, 3):
+        monkeypatch.setattr(linkage, "MOST_IN_BLOCK", most)
+        assert found == {(r.left, r.right, round(r.confidence, 9)) for r in linkage.link_records(df, **LINK).collect()}
+    assert {x[:2] for x in found} >= {(f"B:{i}", f"C:{j}") for i in range(8) for j in range(8)}
+
+
 def test_linkage_edges(spark):
     data = [(None, "A", "x", None, None, None, None, None, ""), ("a", None, "x", None, None, None, None, None, ""), ("b", "A", None, None, None, None, None, None, ""), ("c", "B", "", " ", [None], [None], [""], "", "")]
     assert linkage.link_records(spark.createDataFrame(data, RECORDS), **LINK).count() == 0
