@@ -40,20 +40,19 @@ def p1_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one.agg(*picks, F.round(F.min("posterior"), 6).alias("least_posterior"))
 
 
-def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Values with a character that is not the ordinary one for what is seen."""
+def p2_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The changed values beside their consistent form."""
     parts = [
         unify.changed_values(table(spark, sf_dir, "papers"), "paper_id", {"title": "papers.title", "journal_raw": "papers.journal_raw"}),
         unify.changed_values(table(spark, sf_dir, "journals"), "journal_id", {"formal_title": "journals.formal_title"}),
         unify.changed_values(table(spark, sf_dir, "search_requests"), "request_id", {"query": "search_requests.query"}),
     ]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).select("field", "row_key")
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-def p2_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The changed values beside their consistent form."""
-    papers = {"title": "papers.title", "journal_raw": "papers.journal_raw"}
-    return unify.changed_values(table(spark, sf_dir, "papers"), "paper_id", papers)
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values with a character that is not the ordinary one for what is seen."""
+    return p2_unified(spark, sf_dir).select("field", "row_key")
 
 
 def _mapped(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -352,6 +352,16 @@ def test_hot_group_with_ties(spark):
 # all queries
 
 
+def test_forms_come_out_of_all_fields(spark, tmp_path):
+    tables = {"papers": "'p' paper_id, 'a\u200bb' title, 'c\u200bd' journal_raw", "journals": "'j' journal_id, 'e\u200bf' formal_title", "search_requests": "'r' request_id, 'g\u200bh' query"}
+    for name, columns in tables.items():
+        spark.sql(f"SELECT {columns}").write.parquet(f"{tmp_path}/{name}.parquet")
+    df = queries.p2_unified(spark, str(tmp_path))
+    got = {(r.field, r.row_key): r.unified for r in df.collect()}
+    assert got == {("papers.title", "p"): "ab", ("papers.journal_raw", "p"): "cd", ("journals.formal_title", "j"): "ef", ("search_requests.query", "r"): "gh"}
+    assert {tuple(r) for r in queries.p2_found(spark, str(tmp_path)).collect()} == set(got)
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_queries_run(spark, name):
