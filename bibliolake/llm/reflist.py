@@ -14,6 +14,7 @@ from collections import OrderedDict
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,6 +47,8 @@ BLOCK_ENTRIES = 100_000
 #: Values whose result a Python worker keeps.
 CACHE_VALUES = 20_000
 NONE = "none"
+#: More than a value has forms.
+RANKS = 8
 
 
 def folded(value: str) -> str:
@@ -84,11 +87,11 @@ def most_edits(key: str) -> int:
 
 
 class Entries:
-    """The trie of a reference list (or of a block of it)."""
+    """The trie of a reference list (or of a block of it, with the words of the whole list)."""
 
-    def __init__(self, rows: Iterable[tuple[str, str | None, list[str] | None]]) -> None:
+    def __init__(self, rows: Iterable[tuple[str, str | None, list[str] | None]], words: Iterable[str] = ()) -> None:
         self.root: dict = {}
-        self.words: set[str] = set(FILLING)
+        self.words: set[str] = {*FILLING, *words}
         for ident, title, aliases in rows:
             for name in [title, *(aliases or [])]:
                 if name and name.strip():
@@ -180,10 +183,11 @@ class Entries:
         return out
 
     def look_up(self, value: str | None) -> list[tuple[int, str]]:
-        """All meant entries as (level, id), the lowest level being the surest.
+        """All meant entries as (rank, id), the lowest rank being the surest.
 
-        0: the title or an alias, or its main part; 1: without filling words; 2: an abbreviation;
-        3 and more: 2 and the number of edits.
+        A rank is RANKS times the level and the number of the form of the value that was found, so
+        that blocks of a list can be compared. Level 0: the title or an alias, or its main part;
+        1: without filling words; 2: an abbreviation; 3 and more: 2 and the number of edits.
         """
         if not value or not value.strip():
             return []
@@ -197,18 +201,18 @@ class Entries:
             han = "".join(_HAN_RUN.findall(core)).strip()
             forms += [han, bare(re.sub(_HAN, " ", core).strip())]
         token_forms = [t for t in dict.fromkeys(tuple(_TOKEN.findall(f)) for f in forms) if t]
-        for tokens in token_forms:
+        for n, tokens in enumerate(token_forms):
             found = self.exact(joined(tokens))
             if found:
-                return [(0, i) for i, _ in found]
-        for tokens in token_forms:
+                return [(n, i) for i, _ in found]
+        for n, tokens in enumerate(token_forms):
             found = self.exact("\x01" + joined(t for t in tokens if t not in FILLING))
             if found:
-                return [(1, i) for i, _ in found]
-        for tokens in token_forms:
+                return [(RANKS + n, i) for i, _ in found]
+        for n, tokens in enumerate(token_forms):
             ids = self._abbreviated(list(tokens))
             if ids:
-                return [(2, i) for i in ids]
+                return [(2 * RANKS + n, i) for i in ids]
         best: dict[str, int] = {}
         for tokens in token_forms[1:] or token_forms:
             key = joined(tokens)
@@ -220,7 +224,7 @@ class Entries:
             for k, path, ident in self.within(key, most, replace=not han):
                 if re.sub(r"\D", "", path) == re.sub(r"\D", "", key) and (han or self._mistyped(tokens, path)):
                     best[ident] = min(k, best.get(ident, k))
-        return [(2 + k, i) for i, k in best.items()]
+        return [((2 + k) * RANKS, i) for i, k in best.items()]
 
     def _mistyped(self, tokens: tuple[str, ...], path: str) -> bool:
         """Whether the words that path lacks are unknown ones: a known other word makes another name."""
@@ -236,21 +240,26 @@ def _entries(block) -> tuple[Entries, dict]:
     if block.id not in _built:
         while len(_built) > 1:
             _built.popitem(last=False)
-        _built[block.id] = (Entries(block.value), {})
+        _built[block.id] = (Entries(block.value, block.words), {})
     return _built[block.id]
 
 
 class _Block:
     """A broadcast with a name that workers can key by."""
 
-    def __init__(self, spark, rows: list) -> None:
+    def __init__(self, spark, rows: list, known: Broadcast | None = None) -> None:
         self.broadcast = spark.sparkContext.broadcast(rows)
+        self.known = known
         self.id = (spark.sparkContext.applicationId, id(self.broadcast), len(rows), hash(str(rows[:3])))
 
     @property
     def value(self) -> list:
         return self.broadcast.value
 
+    @property
+    def words(self) -> list[str]:
+        return self.known.value if self.known else []
+
 
 def _matcher(block: _Block):
     @F.pandas_udf(_RESULT)
@@ -273,6 +282,12 @@ def _matcher(block: _Block):
     return match
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _words(titles: pd.Series, aliases: pd.Series) -> pd.Series:
+    rows = ([t, *(a if a is not None else [])] for t, a in zip(titles, aliases))
+    return pd.Series([sorted({w for name in names if name and name.strip() for w in _TOKEN.findall(folded(name))}) for names in rows])
+
+
 def map_to_list(
     df: DataFrame, key: str, value: str, reference: DataFrame, ref_key: str, ref_title: str, ref_aliases: str
 ) -> DataFrame:
@@ -282,7 +297,8 @@ def map_to_list(
     equally near; level says how the entry was found (see Entries.look_up) and is null for 'none'.
     Row by row without a shuffle, so no value can be hot; repeated rows come out as often as they
     are there. The reference is read in blocks of at most BLOCK_ENTRIES entries, each broadcast on
-    its own, so a longer list costs more passes and not more memory. Entries without a key are
+    its own beside the distinct words of the whole list, so a longer list costs more passes and only
+    its vocabulary more memory; how it is split changes no result. Entries without a key are
     ignored, as are null and blank titles and aliases; other columns are ignored; an empty table
     or list gives no rows or only 'none'.
     """
@@ -293,10 +309,13 @@ def map_to_list(
     blocks = max(1, -(-ref.count() // BLOCK_ENTRIES))
     found = df.select(F.col(key).alias("_k"), F.col(value).alias("_v"))
     columns = []
+    known = None
+    if blocks > 1:
+        known = spark.sparkContext.broadcast([r[0] for r in ref.select(F.explode(_words("_t", "_a"))).distinct().toLocalIterator()])
     for i in range(blocks):
         part = ref if blocks == 1 else ref.filter(F.pmod(F.xxhash64("_i"), F.lit(blocks)) == i)
         rows = sorted((r[0], r[1], list(r[2] or [])) for r in part.toLocalIterator())
-        found = found.withColumn(f"_m{i}", _matcher(_Block(spark, rows))("_v"))
+        found = found.withColumn(f"_m{i}", _matcher(_Block(spark, rows, known))("_v"))
         columns.append(f"_m{i}")
     if blocks == 1:
         level, ids = F.col("_m0.level"), F.col("_m0.ids")
@@ -308,5 +327,5 @@ def map_to_list(
         F.col("_k").alias(key),
         F.col("_v").alias(value),
         F.when(one, ids[0]).otherwise(F.lit(NONE)).alias("entry"),
-        F.when(one, level).alias("level"),
+        F.when(one, F.floor(level / RANKS).cast("int")).alias("level"),
     )

@@ -149,6 +149,19 @@ def test_blocks_of_a_long_list_give_the_same(spark, monkeypatch):
     assert sum(got[k] == v for k, v in MEANT.items()) >= len(MEANT) - 2
 
 
+def test_known_words_and_forms_are_those_of_the_whole_list(spark, monkeypatch):
+    # every two entries apart in some split: one near "... Karst Zoology" and ones that know "Geology"; a form of a value that is an entry itself
+    ref = [("J1", "Studies in Rimkith Karst Zoology", None), ("J7", "Letters on Geology", []), *LIST[:3], ("J8", "Vela Notes", None), ("J9", "Vela Notes (Online)", None)]
+    ref = spark.createDataFrame(ref, "jid string, title string, aliases array<string>")
+    values = ["Studies in Rimkith Karst Geology", "Studies in Rimkith Karst Zoologgy", "Vela Notes (Online)", "Vela Notes", *MEANT]
+    asked = spark.createDataFrame(list(enumerate(values)), "id long, v string")
+    whole = rows(reflist.map_to_list(asked, "id", "v", ref, "jid", "title", "aliases"))
+    assert [r[2] for r in sorted(whole)[:4]] == ["none", "J1", "J9", "J8"]
+    for most in (1, 2, 3):
+        monkeypatch.setattr(reflist, "BLOCK_ENTRIES", most)
+        assert rows(reflist.map_to_list(asked, "id", "v", ref, "jid", "title", "aliases")) == whole
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.text("abc", min_size=1, max_size=6), min_size=1, max_size=8), st.text("abcd", min_size=1, max_size=6), st.integers(0, 2), st.booleans())
 def test_automaton_against_distances(names, asked, most, replace):
