@@ -10,6 +10,7 @@ exploded and shuffled globally by another hash.
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,26 +25,29 @@ MOST_SOURCES = 1000
 
 def thresholds(mean: float, cap: int) -> list[float]:
     """The Poisson distribution function at 0 .. cap - 1: a number u gives as many copies as lie below it."""
-    out, term, total = [], math.exp(-mean), 0.0
+    # terms as logarithms: exp(-mean) alone is 0 for a great mean
+    out, term, total = [], -mean, 0.0
     for k in range(cap):
-        total += term
+        total += math.exp(term)
         out.append(min(total, 1.0))
-        term *= mean / (k + 1)
+        term += math.log(mean / (k + 1)) if mean > 0 else -math.inf
     return out
 
 
 def _size(by_step: dict[int, int], mean: float, cap: int) -> int:
     limits = thresholds(mean, cap)
-    return sum(size * sum((step + 0.5) / STEPS > t for t in limits) for step, size in by_step.items())
+    return sum(size * bisect_left(limits, (step + 0.5) / STEPS) for step, size in by_step.items())
 
 
 def calibrated_mean(by_step: dict[int, int], cap: int, target: float) -> float:
     """The mean at which the copies' total size is nearest to target; sizes do not fall as it grows."""
+    # at this mean fewer than one in a million documents would stay below the cap: all steps reach it
+    most = max(256.0, 2.0 * cap + 40)
     high = 1.0
-    while _size(by_step, high, cap) < target and high < 200:
-        high *= 2
-    if high >= 200:
-        return high
+    while _size(by_step, high, cap) < target:
+        if high >= most:
+            return high
+        high = min(high * 2, most)
     low = 0.0
     for _ in range(60):
         middle = (low + high) / 2

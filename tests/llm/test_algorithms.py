@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from bibliolake import common
-from bibliolake.llm import copies, fusion, linkage, queries, reflist, topn
+from bibliolake.llm import copies, fusion, linkage, mixing, queries, reflist, topn
 
 SF = "/root/testdata/sf0.001"
 
@@ -362,6 +362,17 @@ def test_hot_group_with_ties(spark):
     assert rows(got.select("id", "rank")) == [(0, 1), (3, 2), (6, 3)]
 
 
+# mixing
+
+
+def test_means_beyond_200_meet_their_targets():
+    by_step = {step: 3 for step in range(0, mixing.STEPS, 2)}
+    supply = sum(by_step.values())
+    for cap, repeats in ((500, 350), (2000, 1500), (2000, 2000), (5, 5), (5, 2)):
+        mean = mixing.calibrated_mean(by_step, cap, supply * repeats)
+        assert abs(mixing._size(by_step, mean, cap) / supply / repeats - 1) < 0.01
+
+
 # all queries
 
 
