@@ -103,8 +103,12 @@ def _last_if_missing(column: str) -> Column:
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best papers of each search query."""
-    score = _last_if_missing("priority_level") * F.lit(2**31).cast("long") + _last_if_missing("result_rank")
-    bucket = F.least(_last_if_missing("priority_level"), F.lit(63)) * 1024 + F.least(_last_if_missing("result_rank"), F.lit(1023))
+    level, rank = _last_if_missing("priority_level"), _last_if_missing("result_rank")
+    # ranks are 32 bits with a sign, counted from the least one
+    score = F.shiftleft(level, 32).bitwiseOR(rank + F.lit(2**31).cast("long"))
+    # levels outside 0 .. 62 share a bucket on their side, the missing ones between them have their own ranks
+    step = F.when(level < 63, F.greatest(level, F.lit(-1))).when(level < 2**30, F.lit(63)).when(level == 2**30, F.lit(64)).otherwise(F.lit(65))
+    bucket = step * 1024 + F.when(step.isin(-1, 63, 65), F.lit(0)).otherwise(F.greatest(F.least(rank, F.lit(1023)), F.lit(0)))
     papers = table(spark, sf_dir, "papers")
     return topn.top_n(papers, "search_query", score, ["paper_id"], 10, ["paper_id"], bucket=bucket).select("search_query", "paper_id")
 

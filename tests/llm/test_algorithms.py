@@ -362,6 +362,21 @@ def test_hot_group_with_ties(spark):
     assert rows(got.select("id", "rank")) == [(0, 1), (3, 2), (6, 3)]
 
 
+def test_no_bucket_passes_over_a_better_paper(spark, tmp_path):
+    """Ranks below zero and levels of all sizes, one group for each pair of adjacent kinds."""
+    levels, ranks = [-(2**31), -3, 0, None, 4, 5, 62, 63, 70, 2**30 + 1, 2**31 - 1], [-(2**31), -5, None, 0, 1, 1023, 5000, 2**31 - 1]
+    kinds = [(a, b) for a in levels for b in ranks]
+    data = [(f"{x} {y}", a, b, f"{i}{n:02d}") for x in range(0, len(kinds), 7) for y in range(0, len(kinds), 3) for i, (a, b) in enumerate((kinds[x], kinds[y])) for n in range(10)]
+    data += [("five", 5, -5, f"a{n}") for n in range(10)] + [("five", 4, None, "z")]
+    spark.createDataFrame(data, "search_query string, priority_level int, result_rank int, paper_id string").write.parquet(f"{tmp_path}/papers.parquet")
+    missing = lambda v: v or 2**30
+    wanted = []
+    for q in {d[0] for d in data}:
+        own = sorted((missing(d[1]), missing(d[2]), d[3]) for d in data if d[0] == q)
+        wanted += [(q, x[2]) for x in own[:10]]
+    assert rows(queries.p7_found(spark, str(tmp_path))) == sorted(wanted, key=str)
+
+
 # mixing
 
 
