@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
 import tempfile
 import uuid
 
@@ -14,44 +12,52 @@ from pyspark.sql import functions as F
 #: HOT_PARTS hot keys whatever the data: that is the size bound of every broadcast of hot keys.
 HOT_PARTS = 1000
 
-_own_dirs: dict[str, str] = {}
-
-
-@atexit.register
-def _remove_own_dirs() -> None:
-    for path in _own_dirs.values():
-        shutil.rmtree(path, ignore_errors=True)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the Parquet tables of a data directory."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, as the session names it; a folder of our own, one for an
-    application, only where none is named."""
+    """The folder that all executors share, as the session names it. Only a session whose executors
+    are threads of this machine may go without one: it gets a temporary folder."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if path:
         return path
-    app = spark.sparkContext.applicationId
-    if app not in _own_dirs:
-        _own_dirs[app] = tempfile.mkdtemp(prefix="bibliolake-")
-    return _own_dirs[app]
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return tempfile.gettempdir()
+
+
+def _file_system(spark: SparkSession, path: str):
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
 
 
 def materialize(df: DataFrame) -> DataFrame:
     """Write df once to the shared scratch folder and return a DataFrame that reads it.
 
     This cuts the lineage: a lost executor costs a re-read of files and no re-computation, and a
-    result that is used several times is computed once. The files go when the application ends.
+    result that is used several times is computed once. The files go when the application ends, or
+    earlier by release.
     """
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/bibliolake-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/bibliolake-scratch-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(df.schema).parquet(path)
+    files, place = _file_system(spark, path)
+    files.deleteOnExit(place.getParent())
+    found = spark.read.schema(df.schema).parquet(path)
+    found._scratch_path = path
+    return found
+
+
+def release(*written: DataFrame) -> None:
+    """Remove the files of materialized tables that nothing reads any more, as rounds of a fixpoint do
+    with those of earlier rounds, so that a long session does not fill the disk."""
+    for df in written:
+        path = getattr(df, "_scratch_path", None)
+        if path:
+            files, place = _file_system(df.sparkSession, path)
+            files.delete(place, True)
 
 
 def broadcast_if_small(df: DataFrame, rows: int, most: int = 20_000) -> DataFrame:

@@ -45,6 +45,17 @@ def nfkc(c: Column) -> Column:
     return F.coalesce(_nfkc_udf(F.when(~c.rlike(_stable()), c)), c)
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _nfkc_order_udf(lists: pd.Series) -> pd.Series:
+    return lists.map(lambda v: sorted(v, key=lambda x: (unicodedata.normalize("NFKC", x), x)), na_action="ignore")
+
+
+def nfkc_order(c: Column) -> Column:
+    """A list of strings without nulls in the order of their compatibility form, then of themselves."""
+    changing = F.exists(c, lambda x: ~x.rlike(_stable()))
+    return F.coalesce(_nfkc_order_udf(F.when(changing, c)), F.array_sort(c))
+
+
 def casefold(c: Column) -> Column:
     """Case folding: lower case, ss for sharp s, and the letters of Latin ligatures."""
     c = F.lower(c)

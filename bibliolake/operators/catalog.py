@@ -38,7 +38,8 @@ def build_index(entries: DataFrame) -> DataFrame:
     )
 
 
-def _small(df: DataFrame) -> DataFrame:
+def small(df: DataFrame) -> DataFrame:
+    """A broadcast hint behind a check of the number of rows."""
     return F.broadcast(df) if df.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else df
 
 
@@ -54,7 +55,7 @@ def lookup_general(queries: DataFrame, key: str, journal: str, index: DataFrame)
     sides = index.select(
         F.explode(F.array_distinct(F.array("signature", "dotted"))).alias("_key"), "signature", "dotted", "matched_title", "priority_level", "priority_group", "ordinal"
     ).filter(F.length("_key") >= 2)
-    hits = keyed.join(_small(sides), "_key", "left")
+    hits = keyed.join(small(sides), "_key", "left")
     candidate = F.when(F.col("signature").isNotNull(), F.struct("ordinal", "signature", "dotted", "matched_title", "priority_level", "priority_group"))
     per = hits.groupBy(key).agg(F.first("_j").alias("_j"), F.first("_n").alias("_n"), F.first("_d").alias("_d"), F.array_sort(F.collect_set(candidate)).alias("c"))
     exact = F.filter("c", lambda x: (x["signature"] == F.col("_n")) & (x["dotted"] == F.col("_d")))
@@ -96,7 +97,7 @@ def lookup_by_tier(queries: DataFrame, key: str, journal: str, catalog: DataFram
         F.struct(F.lit(2).alias("tier"), normalized_key(F.col(journal)).alias("key")),
     )
     asked = queries.select(F.col(key).alias("_q"), F.explode(ways).alias("_w")).select("_q", "_w.tier", "_w.key")
-    hits = asked.join(_small(tier_keys(catalog)), ["tier", "key"], "left")
+    hits = asked.join(small(tier_keys(catalog)), ["tier", "key"], "left")
     per_tier = hits.groupBy("_q", "tier").agg(
         F.count("journal_id").alias("n"), F.min("journal_id").alias("journal_id"), F.min("title").alias("title"), F.count_distinct("journal_id").alias("ids")
     )
@@ -122,12 +123,26 @@ def journals_by_group(index: DataFrame, group: str) -> DataFrame:
 
 
 def scopes(catalog: DataFrame, rules: DataFrame) -> DataFrame:
-    """(scope_id, journal_id, title) of the entries that each rule (scope_id, levels, membership) selects."""
-    hit = F.array_contains("levels", F.col("priority_level")) & (
-        F.col("membership").isNull() | F.coalesce(F.array_contains("index_memberships", F.col("membership")), F.lit(False))
-    )
-    levels = rules.select("scope_id", "levels", "membership", F.explode("levels").alias("priority_level"))
-    return catalog.join(F.broadcast(levels), "priority_level").filter(hit).select("scope_id", "journal_id", F.col("formal_title").alias("title"))
+    """(scope_id, journal_id, title) of the entries that each rule selects: (scope_id, levels,
+    membership), and perhaps ids, a list that alone decides where it is not null."""
+    if "ids" not in rules.columns:
+        rules = rules.withColumn("ids", F.lit(None).cast("array<string>"))
+    entries = catalog.select("journal_id", "formal_title", "priority_level", "index_memberships")
+    hit = F.col("membership").isNull() | F.coalesce(F.array_contains("index_memberships", F.col("membership")), F.lit(False))
+    levels = rules.filter(F.col("ids").isNull()).select("scope_id", "membership", F.explode(F.array_distinct("levels")).alias("priority_level"))
+    by_level = entries.join(F.broadcast(levels), "priority_level").filter(hit)
+    listed = rules.select("scope_id", F.explode(F.array_distinct("ids")).alias("journal_id"))
+    by_id = entries.join(small(listed), "journal_id")
+    return by_level.select("scope_id", "journal_id", F.col("formal_title").alias("title")).unionByName(by_id.select("scope_id", "journal_id", F.col("formal_title").alias("title")))
+
+
+def wrong_scope_sizes(scope: DataFrame, sizes: dict[str, int]) -> DataFrame:
+    """(scope_id, entries, wanted) of the scopes whose number of entries is not the one given."""
+    spark = scope.sparkSession
+    wanted = F.broadcast(spark.createDataFrame(list(sizes.items()), "scope_id string, wanted long"))
+    found = scope.groupBy("scope_id").agg(F.count(F.lit(1)).alias("entries"))
+    both = found.join(wanted, "scope_id", "full").na.fill(0, ["entries"])
+    return both.filter(~F.col("entries").eqNullSafe(F.col("wanted"))).select("scope_id", "entries", "wanted")
 
 
 def identifiers(catalog: DataFrame) -> DataFrame:
@@ -137,4 +152,4 @@ def identifiers(catalog: DataFrame) -> DataFrame:
     return catalog.select(F.explode(own).alias("identifier"), "journal_id").filter(F.col("identifier").isNotNull()).distinct()
 
 
-__all__ = ["build_index", "conservative_key", "identifiers", "journals_by_group", "lookup_by_tier", "lookup_general", "scopes", "tier_keys"]
+__all__ = ["build_index", "conservative_key", "identifiers", "journals_by_group", "lookup_by_tier", "lookup_general", "scopes", "small", "tier_keys"]

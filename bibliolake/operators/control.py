@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from bibliolake.functions.text import casefold, nfkc
+from bibliolake.functions.clean import JOURNAL_CHARS, TITLE_CHARS, verifiable_year
+from bibliolake.functions.text import casefold, nfkc, strip
 
 # Statuses, retries, intervals in seconds, words of pages.
 DONE = ["success", "no_results"]
@@ -23,6 +24,11 @@ FORBIDDEN_WORDS = ["401 unauthorized", "403 forbidden", "无权访问", "拒绝
 LIMITED_WORDS = ["429 too many requests", "访问过于频繁", "操作频繁"]
 LOGIN_WORDS = ["用户登录", "统一身份认证"]
 CHALLENGE_WORDS = ["验证码", "安全验证", "拼图验证"]
+# The kind of document and the database of a record that a checkpoint may hold.
+WANTED_KIND, WANTED_DATABASE = "期刊", "CNKI"
+# What a stored text may not contain, and what a path begins with.
+NEVER_STORED = ["su %=", "ly=", "ye between", "http://", "https://", "://", "cookie"]
+PATH_SIGNS, PATH_NAMES = ["/", "\\", "~"], ["$home", "${home}", "%userprofile%"]
 
 
 def batches_until_limit(items: DataFrame, run: list[str], batch: str, item: str, qualified: str, limit: int) -> DataFrame:
@@ -37,24 +43,41 @@ def batches_until_limit(items: DataFrame, run: list[str], batch: str, item: str,
     return rows.filter(F.col("total") - F.col("new_items") < limit)
 
 
-def run_outcomes(attempts: DataFrame, run: list[str]) -> DataFrame:
-    """(run, completed, batches, stopped_at, terminal_status) from a log (run, batch, attempt, status).
+def run_outcomes(attempts: DataFrame, run: list[str], resumed: DataFrame | None = None, stops: DataFrame | None = None) -> DataFrame:
+    """(run, completed, batches, stopped_at, terminal_status, limit_reached, intervention) from a log
+    (run, batch, attempt, status).
 
-    A batch is done at its first success or empty result; a challenge may be retried MOST_RETRIES
-    times and a network error once, anything else stops. The run ends before its first batch that
-    is not done.
+    A batch is done at its first success or empty result, or if a checkpoint has it (resumed: run,
+    batch; its attempts then do not count); a challenge may be retried MOST_RETRIES times and a
+    network error once, anything else stops. stops (run, batch) says after which batches the limit is
+    reached: a run ends with the first such batch that a checkpoint has or that succeeded, without a
+    terminal status; else before its first batch that is not done. intervention: a challenge was met.
     """
-    w = W.partitionBy(*run, "batch").orderBy("attempt").rowsBetween(W.unboundedPreceding, -1)
+    keys = [*run, "batch"]
+    if resumed is not None:
+        resumed = resumed.select(*keys).distinct()
+        attempts = attempts.join(resumed, keys, "left_anti")
+    w = W.partitionBy(*keys).orderBy("attempt").rowsBetween(W.unboundedPreceding, -1)
     before = {s: F.coalesce(F.count_if(F.col("status") == s).over(w), F.lit(0)) for s in ("challenge", "network_error")}
     over = F.coalesce(F.max(F.col("status").isin(DONE) | ~F.col("status").isin("challenge", "network_error")).over(w), F.lit(False))
     valid = attempts.withColumn("_c", before["challenge"]).withColumn("_e", before["network_error"]).withColumn("_over", over)
     valid = valid.filter(~F.col("_over") & (F.col("_c") <= MOST_RETRIES) & (F.col("_e") <= 1))
-    per = valid.groupBy(*run, "batch").agg(F.max(F.col("status").isin(DONE)).alias("done"), F.max_by("status", "attempt").alias("last"))
-    stop = F.min(F.when(~F.col("done"), F.col("batch")))
-    ends = per.groupBy(*run).agg(stop.alias("stopped_at"), F.count(F.lit(1)).alias("batches"), F.min_by("last", F.when(~F.col("done"), F.col("batch"))).alias("terminal_status"))
-    completed = per.join(ends.select(*run, "stopped_at"), run).filter(F.col("stopped_at").isNull() | (F.col("batch") < F.col("stopped_at")))
-    n = completed.groupBy(*run).agg(F.count(F.lit(1)).alias("completed"))
-    return ends.join(n, run, "left").na.fill(0, ["completed"]).select(*run, "completed", "batches", "stopped_at", "terminal_status")
+    per = valid.groupBy(*keys).agg(F.max(F.col("status").isin(DONE)).alias("done"), F.max_by("status", "attempt").alias("last"), F.max(F.col("status") == "challenge").alias("_met"))
+    if resumed is not None:
+        per = per.unionByName(resumed.select(*keys, F.lit(True).alias("done"), F.lit("success").alias("last"), F.lit(False).alias("_met")))
+    if stops is None:
+        per = per.withColumn("_stop", F.lit(False))
+    else:
+        per = per.join(stops.select(*keys).distinct().withColumn("_stop", F.lit(True)), keys, "left").withColumn("_stop", F.coalesce("_stop", F.lit(False)) & (F.col("last") == "success"))
+    # a run ends where a batch fails or the limit is reached, whichever comes first
+    fails, limits = F.when(~F.col("done"), F.col("batch")), F.when(F.col("_stop"), F.col("batch"))
+    ends = per.groupBy(*run).agg(F.min(fails).alias("_fail"), F.min(limits).alias("_limit"), F.count(F.lit(1)).alias("batches"), F.min_by("last", fails).alias("_last"))
+    limited = F.coalesce(F.col("_limit") < F.col("_fail"), F.col("_limit").isNotNull())
+    ends = ends.withColumn("limit_reached", limited).withColumn("stopped_at", F.when(~limited, F.col("_fail"))).withColumn("terminal_status", F.when(~limited, F.col("_last")))
+    seen = per.join(ends.select(*run, "limit_reached", "_limit", "_fail"), run)
+    within = F.when(F.col("limit_reached"), F.col("batch") <= F.col("_limit")).otherwise(F.col("_fail").isNull() | (F.col("batch") <= F.col("_fail")))
+    n = seen.groupBy(*run).agg(F.count_if(within & F.col("done")).alias("completed"), F.coalesce(F.max(within & F.col("_met")), F.lit(False)).alias("intervention"))
+    return ends.join(n, run).select(*run, "completed", "batches", "stopped_at", "terminal_status", "limit_reached", "intervention")
 
 
 def batch_totals(results: DataFrame, run: list[str]) -> DataFrame:
@@ -111,28 +134,40 @@ def cache_key(c: Column) -> Column:
     return F.trim(F.regexp_replace(casefold(nfkc(c)), r"(?U)\s+", " "))
 
 
-def cache_hits(requests: DataFrame, keys: list[str], ident: str, at: str, seconds: int = CACHE_SECONDS) -> DataFrame:
+def cache_hits(requests: DataFrame, keys: list[str], ident: str, at: str, seconds: int = CACHE_SECONDS, storable: str | None = None) -> DataFrame:
     """(ident, hit): whether a result stored at an earlier miss of the same key is still alive; a hit
-    does not prolong it.
-
-    Rows are placed by key and sorted by time; each task streams over its rows and remembers one
-    time only, so a frequent key costs time and no memory.
+    does not prolong it. storable says of a request whether its result may be stored (all may if none
+    is given): a miss without that stores nothing.
+
+    Where no request of a key comes for as long as a result lives, the next one is a miss whatever
+    came before, so a key's requests fall apart there and the parts are placed on their own. The gaps
+    come from the first and last time of each span of that length: at least one span's border lies in
+    every gap. A task streams over its parts in order of time and remembers one time only. A part
+    without such a gap, however long, stays one stream.
     """
-    rows = requests.select(F.xxhash64(*keys).alias("_h"), F.sha2(F.concat_ws("\x1f", *keys), 256).alias("_k"), F.unix_micros(F.col(at)).alias("_t"), F.col(ident).cast("long").alias("_i"))
     life = seconds * 1_000_000
+    may = F.lit(True) if storable is None else F.coalesce(F.col(storable), F.lit(False))
+    rows = requests.select(F.sha2(F.concat_ws("\x1f", *keys), 256).alias("_k"), F.unix_micros(F.col(at)).alias("_t"), F.col(ident).cast("long").alias("_i"), may.alias("_may"))
+    rows = rows.withColumn("_span", F.floor(F.col("_t") / life))
+    spans = rows.groupBy("_k", "_span").agg(F.min("_t").alias("_first"), F.max("_t").alias("_last"))
+    w = W.partitionBy("_k").orderBy("_span")
+    fresh = F.coalesce(F.col("_first") - F.lag("_last").over(w) >= life, F.lit(False))
+    # a gap inside two spans that both have requests lies between the first's last and the second's first
+    parts = spans.withColumn("_part", F.sum(fresh.cast("int")).over(w)).select("_k", "_span", "_part")
+    placed = rows.join(parts, ["_k", "_span"]).drop("_span")
 
     def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, stored = None, 0
         for b in batches:
             hits = []
-            for k, t in zip(b["_k"], b["_t"]):
-                alive = k == key and t < stored + life
+            for k, p, t, may in zip(b["_k"], b["_part"], b["_t"], b["_may"]):
+                alive = (k, p) == key and t < stored + life
                 hits.append(alive)
                 if not alive:
-                    key, stored = k, t
+                    key, stored = (k, p), t if may else t - life
             yield pd.DataFrame({"ident": b["_i"], "hit": hits})
 
-    return rows.repartition("_h").sortWithinPartitions("_h", "_k", "_t", "_i").mapInPandas(stream, "ident long, hit boolean")
+    return placed.repartition("_k", "_part").sortWithinPartitions("_k", "_part", "_t", "_i").select("_k", "_part", "_t", "_i", "_may").mapInPandas(stream, "ident long, hit boolean")
 
 
 def bounded_cache_hits(requests: DataFrame, keys: list[str], ident: str, at: str, seconds: int = CACHE_SECONDS, entries: int = CACHE_ENTRIES) -> DataFrame:
@@ -207,20 +242,61 @@ def outcome_state(has_table: Column, text: Column, challenge_visible: Column) ->
 
 
 def storable_text(c: Column, most: int) -> Column:
-    """A text that a checkpoint may keep: no control characters, address, file path, markup or
-    search expression in it; null otherwise."""
-    text = F.trim(F.regexp_replace(nfkc(c), r"[\p{Cc}\p{Cf}]", ""))
-    bad = (
-        text.rlike(r"(?i)\b[a-z][a-z0-9+.-]*://|\bwww\.")
-        | text.rlike(r"(?i)(?:^|[\s\"'(])[a-z]:[\\/]")
-        | text.rlike(r"(?:^|\s)(?:/[\w.-]+){2,}|\\\\[\w.-]+\\")
-        | text.rlike(r"<[/!a-zA-Z][^>]*>")
-        | text.rlike(r"\b[A-Z]{2,4}\s*%?=\s*'")
-    )
-    return F.when((text != "") & ~bad, F.substring(text, 1, most))
+    """A text that a checkpoint may keep, in compatibility form without control characters, cut to
+    most characters; null if it has a search expression, an address, a cookie, markup, or begins
+    like a path. Null stays null, an empty text empty."""
+    text = strip(F.regexp_replace(nfkc(c), r"[\p{Cc}\p{Cf}]", ""))
+    low = casefold(text)
+
+    def drive(x: Column) -> Column:
+        return x.rlike(r"^\p{L}:[\\/]")
+
+    bad = (text.contains("<") & text.contains(">")) | drive(text)
+    for words in NEVER_STORED:
+        bad = bad | low.contains(words)
+    for sign in PATH_SIGNS:
+        bad = bad | text.startswith(sign)
+    for name in PATH_NAMES:
+        bad = bad | low.startswith(name)
+    # the scheme of a local file, even with spaces in it
+    target = strip(F.substring(low, F.instr(low, F.lit(":")) + 1, F.length(low)))
+    is_file = F.regexp_replace(F.substring_index(low, ":", 1), r"(?U)\s", "") == "file"
+    bad = bad | (low.contains(":") & is_file & (target.startswith("/") | target.startswith("\\") | drive(target)))
+    return F.when(~bad, strip(F.substring(text, 1, most)))
 
 
 def keep_whole_batches(rows: DataFrame, batch: list[str], valid: Column) -> DataFrame:
     """The batches of which every row is valid; one bad row drops its batch."""
     good = rows.groupBy(*batch).agg(F.bool_and(F.coalesce(valid, F.lit(False))).alias("_ok")).filter("_ok").drop("_ok")
     return rows.join(good, batch, "left_semi")
+
+
+def valid_record(formal: Column, as_of_year: int) -> Column:
+    """Whether a checkpoint may hold a record (title, journal_raw, publication_date, document_type,
+    source_database, authors, publication_year, citations, downloads, result_rank, is_online_first):
+    texts there and storable, of the wanted kind and database, counts and rank not negative, and
+    complete exactly if it is formal. Never null."""
+    c = F.col
+    texts = F.lit(True)
+    for name, most in (("title", TITLE_CHARS), ("journal_raw", JOURNAL_CHARS), ("publication_date", 10_000)):
+        texts = texts & storable_text(c(name), most).isNotNull()
+    # the names of a list go through one text, so one bad name spoils all; a path begins a name, not the list
+    names = F.transform("authors", lambda x: F.coalesce(x, F.lit("<>")))
+    listed = c("authors").isNotNull() & storable_text(F.array_join(names, " "), 1_000_000).isNotNull() & ~F.exists("authors", lambda x: x.rlike(r"(?i)^\s*(?:[/\\~]|\$home|\$\{home\}|%userprofile%|\p{L}:[\\/])"))
+    counts = F.coalesce(c("citations") >= 0, F.lit(True)) & F.coalesce(c("downloads") >= 0, F.lit(True)) & (c("result_rank") >= 0) & c("is_online_first").isNotNull()
+    complete = (strip(c("title")) != "") & (strip(c("journal_raw")) != "") & verifiable_year(c("publication_year"), as_of_year)
+    ok = texts & listed & (c("document_type") == WANTED_KIND) & (c("source_database") == WANTED_DATABASE) & counts & complete.eqNullSafe(formal)
+    return F.coalesce(ok, F.lit(False))
+
+
+def valid_batches(results: DataFrame, records: DataFrame, batch: list[str], *, as_of_year: int) -> DataFrame:
+    """The batches (batch, status, total_rows, excluded) of a checkpoint that may be resumed. Of records
+    (batch, formal, and the fields of valid_record) none may be invalid; a batch must be a success
+    or an empty result, with counts that are not negative and hold what they count; an empty result
+    has no rows at all. One bad record drops its whole batch."""
+    per = records.groupBy(*batch).agg(F.count(F.lit(1)).alias("_n"), F.bool_and(valid_record(F.col("formal"), as_of_year)).alias("_ok"))
+    both = results.join(per, batch, "left").na.fill(0, ["_n"]).withColumn("_ok", F.coalesce("_ok", F.lit(True)))
+    c = F.col
+    sums = (c("total_rows") >= 0) & (c("excluded") >= 0) & (c("excluded") + c("_n") <= c("total_rows"))
+    empty = (c("status") != "no_results") | ((c("total_rows") == 0) & (c("excluded") == 0) & (c("_n") == 0))
+    return both.filter(F.coalesce(c("_ok") & c("status").isin(DONE) & sums & empty, F.lit(False))).select(*results.columns)

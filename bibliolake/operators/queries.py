@@ -21,6 +21,8 @@ AS_OF_YEAR = 2026
 TOPIC = "湿地"
 #: Scope rules: (scope_id, levels, membership).
 SCOPE_RULES = [("top", [1, 2, 3], None), ("axsci_upper", [1, 2, 3, 4, 5, 6], "AXSCI"), ("core", [7, 8, 9, 10], "CORE_N"), ("all", list(range(1, 13)), None)]
+#: A scope that is a list of ids, one of them unknown.
+LISTED = ["ENVJ-000003", "ENVJ-000001", "ENVJ-000003", "ENVJ-9"]
 #: Indexes that entries of a level are expected in.
 EXPECTED = [(8, "AXSCI"), (9, "CORE_N"), (10, "HANLIST"), (11, "SOCIX"), (12, "SOCIX")]
 
@@ -102,9 +104,21 @@ def query_keys(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "search_requests").select("request_id", clean.query_text(q).alias("asked"), control.cache_key(q).alias("cache_key"))
 
 
-@query()
+_WRITTEN, _SQL_SPACES = "[-/:年A-Za-z0-9]+", f"{text.SQL_SPACE}+"
+
+
+def _sql_year(x: str) -> str:
+    """The first date's year: the words from the first year on, each against the forms that it may have."""
+    tail = f"nullif(regexp_extract({x}, '(?s)(?:^|[^A-Za-z0-9])((?:19|20)[0-9][0-9](?:$|[^0-9年].*))', 1), '')"
+    words = f"regexp_extract({tail}, '^({_WRITTEN})(?:{_SQL_SPACES}({_WRITTEN}))?(?:{_SQL_SPACES}({_WRITTEN}))?', ['d', 't', 'm'])"
+    day = "try_cast(concat_ws('-', w.d[1:4], lpad(coalesce(nullif(split_part(translate(w.d, '/', '-'), '-', 2), ''), '1'), 2, '0'), lpad(coalesce(nullif(split_part(translate(w.d, '/', '-'), '-', 3), ''), '1'), 2, '0')) AS DATE)"
+    timely = "NOT regexp_matches(w.t, '^(?:[0-9]{1,2}:|[-/:])') OR (regexp_full_match(w.t, '(?:[01]?[0-9]|2[0-3])(?::[0-5][0-9]){1,2}') AND NOT regexp_matches(w.m, '^(?:[0-9]{1,2}:|[-/:])'))"
+    whole = "regexp_full_match(w.d, '[0-9]{4}(?:-[0-9]{1,2}(?:-[0-9]{1,2})?|/[0-9]{1,2}(?:/[0-9]{1,2})?)?')"
+    return f"list_transform([{words}], lambda w: CASE WHEN {whole} AND {day} IS NOT NULL AND ({timely}) THEN CAST(w.d[1:4] AS INTEGER) END)[1]"
+
+
+@query(f"SELECT raw_id, {_sql_year('publication_date')} AS year FROM raw_rows")
 def publication_years(spark: SparkSession, sf: str) -> DataFrame:
-    """No SQL twin: it needs look-around and back references; tests hold it against another reading."""
     return table(spark, sf, "raw_rows").select("raw_id", clean.publication_year(F.col("publication_date")).alias("year"))
 
 
@@ -174,15 +188,22 @@ def completeness(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     f"""WITH s AS (SELECT paper_id, list_filter(matched_topic_fields, lambda x: x <> '') AS v FROM papers)
-    SELECT paper_id, coalesce({_list("list_filter(['TI','SU','KY','TKA'], lambda x: list_contains(v, x))")}, '') AS declared,
-    coalesce(len(list_distinct(list_filter(v, lambda x: x NOT IN ('TI','SU','KY','TKA')))), 0)::INTEGER AS others FROM s"""
+    SELECT paper_id, coalesce({_list("list_concat(list_filter(['TI','SU','KY','TKA'], lambda x: list_contains(v, x)), list_filter(v, lambda x, i: x NOT IN ('TI','SU','KY','TKA') AND list_position(v, x) = i))")}, '') AS fields FROM s"""
 )
 def ordered_metadata(spark: SparkSession, sf: str) -> DataFrame:
     own = clean.declared_first(F.col("matched_topic_fields"), expressions.TOPIC_FIELDS)
-    declared = F.array(*[F.lit(x) for x in expressions.TOPIC_FIELDS])
-    rows = table(spark, sf, "papers").select("paper_id", own.alias("v"))
-    rest = F.coalesce(F.size(F.array_except("v", declared)), F.lit(0))
-    return rows.select("paper_id", F.coalesce(_strings(F.array_intersect("v", declared)), F.lit("")).alias("declared"), F.when(F.col("v").isNull(), 0).otherwise(rest).alias("others"))
+    return table(spark, sf, "papers").select("paper_id", F.coalesce(_strings(own), F.lit("")).alias("fields"))
+
+
+@query(
+    f"""WITH s AS (SELECT journal_id, list_distinct(list_concat(coalesce(aliases, []), [formal_title, concat('（', formal_title), concat('(', formal_title), 'ﬁne', 'fine']))  AS v FROM journals)
+    SELECT journal_id, {_list(f"list_transform(list_sort(list_transform(v, lambda x: {{'n': {text.sql_nfkc('x')}, 'x': x}})), lambda y: y.x)")} AS names FROM s"""
+)
+def ordered_sets(spark: SparkSession, sf: str) -> DataFrame:
+    """Names in the order of their compatibility form; brackets of both widths and ligatures are planted."""
+    t, none = F.col("formal_title"), F.array().cast("array<string>")
+    names = F.concat(F.coalesce("aliases", none), F.array(t, F.concat(F.lit("（"), t), F.concat(F.lit("("), t), F.lit("ﬁne"), F.lit("fine")))
+    return table(spark, sf, "journals").select("journal_id", _strings(clean.ordered_strings(names)).alias("names"))
 
 
 @query("SELECT doc_id, coalesce(nullif(replace(replace(text, '|', '\\|'), chr(10), '<br>'), ''), '—') AS cell FROM documents")
@@ -220,12 +241,12 @@ idx AS (SELECT signature, dotted, arg_min(title, level * 1000000 + ordinal) AS m
 
 @query(
     f"""WITH {_SQL_ENTRIES} SELECT signature, dotted, matched_title, priority_level, priority_group,
-    {_list("list_sort(list_distinct(sources))")} AS sources, coalesce({_list("list_sort(list_distinct(subjects))")}, '') AS subjects, ncs_internal_rank FROM idx"""
+    {_list("list_filter(sources, lambda x, i: list_position(sources, x) = i)")} AS sources, coalesce({_list("list_filter(subjects, lambda x, i: list_position(subjects, x) = i)")}, '') AS subjects, ncs_internal_rank FROM idx"""
 )
 def build_index(spark: SparkSession, sf: str) -> DataFrame:
     return catalog.build_index(_entries(spark, sf)).select(
         "signature", "dotted", "matched_title", "priority_level", "priority_group",
-        _strings(F.array_sort("source_catalogs")).alias("sources"), _strings(F.array_sort("subject_categories")).alias("subjects"), "ncs_internal_rank",
+        _strings("source_catalogs").alias("sources"), _strings("subject_categories").alias("subjects"), "ncs_internal_rank",
     )
 
 
@@ -292,7 +313,8 @@ def lookup_env(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _scope_rules(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(SCOPE_RULES, "scope_id string, levels array<int>, membership string")
+    rules = spark.createDataFrame(SCOPE_RULES, "scope_id string, levels array<int>, membership string").withColumn("ids", F.lit(None).cast("array<string>"))
+    return rules.unionByName(spark.createDataFrame([("listed", None, None, LISTED)], "scope_id string, levels array<int>, membership string, ids array<string>"))
 
 
 _SQL_RULES = ", ".join(f"('{s}', {lv}, {'NULL' if m is None else repr(m)})" for s, lv, m in SCOPE_RULES)
@@ -300,7 +322,8 @@ _SQL_RULES = ", ".join(f"('{s}', {lv}, {'NULL' if m is None else repr(m)})" for
 
 @query(
     f"""SELECT scope_id, journal_id, formal_title AS title FROM journals, (VALUES {_SQL_RULES}) r(scope_id, levels, membership)
-    WHERE list_contains(levels, priority_level) AND (membership IS NULL OR list_contains(index_memberships, membership))"""
+    WHERE list_contains(levels, priority_level) AND (membership IS NULL OR list_contains(index_memberships, membership))
+    UNION ALL SELECT 'listed', journal_id, formal_title FROM journals WHERE journal_id IN {tuple(LISTED)}"""
 )
 def scopes(spark: SparkSession, sf: str) -> DataFrame:
     return catalog.scopes(table(spark, sf, "journals"), _scope_rules(spark))
@@ -308,66 +331,99 @@ def scopes(spark: SparkSession, sf: str) -> DataFrame:
 
 # matching sources
 
-_SQL_MATCH = f"""ids AS (SELECT DISTINCT unnest(list_concat(coalesce(issn, []), coalesce(eissn, []))) AS identifier, journal_id FROM journals),
-owners AS (SELECT identifier, count(*) AS n, min(journal_id) AS j, list_sort(list(journal_id)) AS c FROM ids WHERE identifier IS NOT NULL GROUP BY 1),
-asked AS (SELECT source_record_id, list_concat(coalesce(issn, []), coalesce(eissn, [])) AS l FROM source_records),
-each_id AS (SELECT source_record_id, l[i] AS identifier, i FROM (SELECT source_record_id, l, unnest(generate_series(1, len(l))) AS i FROM asked)),
-by_id AS (SELECT source_record_id, arg_min(n, i) AS n, arg_min(j, i) AS j, arg_min(c, i) AS c FROM each_id JOIN owners USING (identifier) GROUP BY 1),
+_SQL_MATCH = f"""planted AS (SELECT CAST(substring(journal_id, 6) AS INTEGER) AS n, journal_id, formal_title FROM journals WHERE CAST(substring(journal_id, 6) AS INTEGER) % 20 = 0),
+src AS (SELECT source_record_id, index_name, index_version, source_file, source_line, source_title, formal_title, issn, eissn, subject_categories FROM source_records
+  UNION ALL SELECT 'P1:' || journal_id, 'AXSCI', 'p', 'planted', 1000000 + n, formal_title, formal_title, ['new-' || n], [], ['b', 'a'] FROM planted
+  UNION ALL SELECT 'P2:' || journal_id, 'CORE_N', 'p', 'planted', 1000000 + n, 'other', 'other', ['new-' || n], ['more-' || n], ['c'] FROM planted
+  UNION ALL SELECT 'P3:' || journal_id, 'HANLIST', 'p', 'planted', 1000000 + n, 'third', 'third', [], ['more-' || n], [] FROM planted
+  UNION ALL SELECT 'P4:' || journal_id, 'SOCIX', 'p', 'planted', 1000000 + n, formal_title, formal_title, ['more-' || n, 'new-' || (n + 20)], NULL, [] FROM planted),
+ids AS (SELECT DISTINCT unnest(list_concat(coalesce(issn, []), coalesce(eissn, []))) AS identifier, journal_id FROM journals),
+owners AS (SELECT identifier, list(journal_id ORDER BY journal_id) AS o FROM ids WHERE identifier IS NOT NULL GROUP BY 1),
 ex AS (SELECT {keys.sql_exact_key("formal_title")} AS e, count(DISTINCT journal_id) AS en, min(journal_id) AS ej FROM journals GROUP BY 1),
 al AS (SELECT {keys.sql_exact_key("a")} AS e, arg_max(journal_id, journal_id || printf('%05d', i)) AS aj FROM (SELECT journal_id, aliases[i] AS a, i FROM (SELECT journal_id, aliases, unnest(generate_series(1, len(aliases))) AS i FROM journals)) WHERE a IS NOT NULL GROUP BY 1),
 co AS (SELECT {keys.sql_conservative_key("formal_title")} AS k, count(DISTINCT journal_id) AS kn, min(journal_id) AS kj, list_sort(list_distinct(list(journal_id))) AS kc FROM journals GROUP BY 1),
-m AS (SELECT source_record_id, index_name, {keys.sql_exact_key("formal_title")} AS e, {keys.sql_conservative_key("formal_title")} AS k FROM source_records),
-w AS (SELECT m.*, b.n, b.j, b.c, en, ej, aj, kn, kj, kc, CASE WHEN b.n = 1 THEN 'identifier' WHEN b.n > 1 THEN 'identifier_conflict' WHEN en = 1 THEN 'formal_title_exact' WHEN aj IS NOT NULL THEN 'controlled_alias'
-  WHEN kn = 1 THEN 'conservative_normalized' WHEN kn > 1 THEN 'ambiguous' ELSE 'out_of_scope' END AS method
-  FROM m LEFT JOIN by_id b USING (source_record_id) LEFT JOIN ex USING (e) LEFT JOIN al USING (e) LEFT JOIN co USING (k)),
-audit AS (SELECT source_record_id, index_name, method, CASE WHEN method IN ('identifier_conflict', 'ambiguous') THEN 'ambiguous' WHEN method = 'out_of_scope' THEN method ELSE 'matched' END AS status,
-  CASE method WHEN 'identifier' THEN j WHEN 'formal_title_exact' THEN ej WHEN 'controlled_alias' THEN aj WHEN 'conservative_normalized' THEN kj END AS journal_id,
-  CASE method WHEN 'identifier_conflict' THEN c WHEN 'ambiguous' THEN kc ELSE [] END AS candidates FROM w)"""
+m AS (SELECT *, {keys.sql_exact_key("formal_title")} AS e, {keys.sql_conservative_key("formal_title")} AS k, list_filter(list_concat(coalesce(issn, []), coalesce(eissn, [])), lambda x: x IS NOT NULL) AS l,
+  row_number() OVER (ORDER BY index_name, source_line, source_record_id) AS n FROM src),
+held AS MATERIALIZED (SELECT n, list({{'i': identifier, 'o': coalesce(o, [])}} ORDER BY p) AS h FROM (SELECT n, l[p] AS identifier, p FROM (SELECT n, l, unnest(generate_series(1, len(l))) AS p FROM m)) LEFT JOIN owners USING (identifier) GROUP BY 1),
+w AS MATERIALIZED (SELECT m.n, source_record_id, index_name, l, coalesce(h, []) AS h, CASE WHEN en = 1 THEN 'formal_title_exact' WHEN aj IS NOT NULL THEN 'controlled_alias'
+  WHEN kn = 1 THEN 'conservative_normalized' WHEN kn > 1 THEN 'ambiguous' ELSE 'out_of_scope' END AS tm, CASE WHEN en = 1 THEN ej WHEN aj IS NOT NULL THEN aj WHEN kn = 1 THEN kj END AS tj,
+  CASE WHEN coalesce(en, 0) <> 1 AND aj IS NULL AND kn > 1 THEN kc ELSE [] END AS tc FROM m LEFT JOIN held USING (n) LEFT JOIN ex USING (e) LEFT JOIN al USING (e) LEFT JOIN co USING (k)),
+walk AS MATERIALIZED (SELECT CAST(0 AS BIGINT) AS n, CAST(MAP {{}} AS MAP(VARCHAR, VARCHAR)) AS reg, CAST(NULL AS VARCHAR) AS source_record_id, CAST(NULL AS VARCHAR) AS index_name, CAST(NULL AS VARCHAR) AS method, CAST(NULL AS VARCHAR) AS journal_id, CAST([] AS VARCHAR[]) AS candidates, CAST([] AS VARCHAR[]) AS reasons
+  UNION ALL SELECT n, CASE WHEN j IS NOT NULL AND len(veto) = 0 THEN map_concat(map_from_entries(list_transform(list_filter(list_distinct(list_transform(list_filter(h, lambda x: len(x.o) = 0), lambda x: x.i)), lambda x: reg[x] IS NULL), lambda x: {{'k': x, 'v': j}})), reg) ELSE reg END,
+    source_record_id, index_name, CASE WHEN len(veto) > 0 THEN 'identifier_conflict' ELSE method END, CASE WHEN len(veto) = 0 THEN j END,
+    CASE WHEN j IS NOT NULL THEN [j] WHEN method = 'identifier_conflict' THEN met[1].o ELSE tc END, CASE WHEN len(veto) > 0 THEN veto WHEN j IS NULL AND method <> 'out_of_scope' THEN [method] ELSE [] END
+  FROM (SELECT *, CASE WHEN j IS NULL THEN [] ELSE list_transform(list_filter(met, lambda x: NOT list_contains(x.o, j)), lambda x: x.i) END AS veto
+    FROM (SELECT *, CASE WHEN len(met) = 0 THEN tm WHEN len(met[1].o) = 1 THEN 'identifier' ELSE 'identifier_conflict' END AS method, CASE WHEN len(met) = 0 THEN tj WHEN len(met[1].o) = 1 THEN met[1].o[1] END AS j
+      FROM (SELECT w.*, reg, list_filter(list_transform(w.h, lambda x: {{'i': x.i, 'o': CASE WHEN len(x.o) > 0 THEN x.o WHEN reg[x.i] IS NOT NULL THEN [reg[x.i]] ELSE [] END}}), lambda x: len(x.o) > 0) AS met FROM walk JOIN w ON w.n = walk.n + 1)))),
+audit AS (SELECT source_record_id, index_name, method, CASE WHEN journal_id IS NOT NULL THEN 'matched' WHEN method = 'out_of_scope' THEN method ELSE 'ambiguous' END AS status, journal_id, candidates, reasons FROM walk WHERE n > 0)"""
+
+
+def _source_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """The source records, and planted ones after them in each index: rows that bring an entry new
+    identifiers, rows found by those only, in chains of two, and rows with identifiers of two entries."""
+    own = table(spark, sf, "source_records").select("source_record_id", "index_name", "index_version", "source_file", "source_line", "source_title", "formal_title", "issn", "eissn", "subject_categories")
+    j = table(spark, sf, "journals").select(F.expr("cast(substring(journal_id, 6) as int)").alias("n"), "journal_id", "formal_title").filter("n % 20 = 0")
+    new, more, after = F.format_string("new-%d", "n"), F.format_string("more-%d", "n"), F.format_string("new-%d", F.col("n") + 20)
+    none, t = F.array().cast("array<string>"), F.col("formal_title")
+    for name, index, title, issn, eissn, subjects in (
+        ("P1", "AXSCI", t, F.array(new), none, ["b", "a"]),
+        ("P2", "CORE_N", F.lit("other"), F.array(new), F.array(more), ["c"]),
+        ("P3", "HANLIST", F.lit("third"), none, F.array(more), []),
+        ("P4", "SOCIX", t, F.array(more, after), F.lit(None).cast("array<string>"), []),
+    ):
+        planted = j.select(
+            F.concat_ws(":", F.lit(name), "journal_id").alias("source_record_id"), F.lit(index).alias("index_name"), F.lit("p").alias("index_version"), F.lit("planted").alias("source_file"),
+            (F.col("n") + 1_000_000).alias("source_line"), title.alias("source_title"), title.alias("formal_title"), issn.alias("issn"), eissn.alias("eissn"),
+            F.array(*[F.lit(x) for x in subjects]).cast("array<string>").alias("subject_categories"),
+        )
+        own = own.unionByName(planted)
+    return own
 
 
 def _audit(spark: SparkSession, sf: str) -> DataFrame:
-    return matching.match_sources(table(spark, sf, "source_records"), table(spark, sf, "journals"))
+    return matching.match_sources(_source_rows(spark, sf), table(spark, sf, "journals"))
 
 
-@query(f"WITH {_SQL_MATCH} SELECT source_record_id, index_name, method, status, journal_id, {_list('candidates')} AS candidates FROM audit")
+@query(f"WITH RECURSIVE {_SQL_MATCH} SELECT source_record_id, index_name, method, status, journal_id, {_list('candidates')} AS candidates, {_list('reasons')} AS reasons FROM audit")
 def match_audit(spark: SparkSession, sf: str) -> DataFrame:
-    return _audit(spark, sf).withColumn("candidates", _strings("candidates"))
+    return _audit(spark, sf).withColumn("candidates", _strings("candidates")).withColumn("reasons", _strings("reasons"))
 
 
-@query(
-    f"""WITH {_SQL_MATCH}, own AS (SELECT DISTINCT source_record_id, identifier FROM each_id)
-    SELECT a.source_record_id, a.journal_id, {_list("list_sort(list_distinct(list(i.journal_id)))")} AS owners FROM audit a JOIN own USING (source_record_id)
-    JOIN ids i ON i.identifier = own.identifier AND i.journal_id <> a.journal_id WHERE a.status = 'matched' AND a.method <> 'identifier' GROUP BY 1, 2"""
-)
+@query(f"WITH RECURSIVE {_SQL_MATCH} SELECT source_record_id, {_list('candidates')} AS candidates, {_list('reasons')} AS reasons FROM audit WHERE method = 'identifier_conflict'")
 def identifier_conflicts(spark: SparkSession, sf: str) -> DataFrame:
-    found = matching.identifier_conflicts(_audit(spark, sf), table(spark, sf, "source_records"), table(spark, sf, "journals"))
-    return found.withColumn("owners", _strings("owners"))
+    found = matching.identifier_conflicts(_audit(spark, sf))
+    return found.withColumn("candidates", _strings("candidates")).withColumn("reasons", _strings("reasons"))
 
 
-@query(f"WITH {_SQL_MATCH} SELECT index_name, count(*) AS total, CAST(count_if(status = 'matched') AS BIGINT) AS matched, CAST(count_if(status = 'out_of_scope') AS BIGINT) AS out_of_scope, CAST(count_if(status = 'ambiguous') AS BIGINT) AS ambiguous FROM audit GROUP BY 1")
+@query(f"WITH RECURSIVE {_SQL_MATCH} SELECT index_name, count(*) AS total, CAST(count_if(status = 'matched') AS BIGINT) AS matched, CAST(count_if(status = 'out_of_scope') AS BIGINT) AS out_of_scope, CAST(count_if(status = 'ambiguous') AS BIGINT) AS ambiguous FROM audit GROUP BY 1")
 def match_counts(spark: SparkSession, sf: str) -> DataFrame:
     return matching.match_counts(_audit(spark, sf))
 
 
-@query(f"WITH {_SQL_MATCH} SELECT status, count(*) AS rows FROM audit GROUP BY 1")
-def audit_status(spark: SparkSession, sf: str) -> DataFrame:
-    return _audit(spark, sf).groupBy("status").agg(F.count(F.lit(1)).alias("rows"))
+_SQL_EXPECTED = ", ".join(f"({n}, '{x}')" for n, x in EXPECTED)
 
 
-_SQL_EXPECTED = ", ".join(f"({n}, '{x}')" for n, x in EXPECTED)
+_SQL_GAPS = f"""gaps AS (SELECT j.journal_id, e.index_name FROM journals j JOIN (VALUES {_SQL_EXPECTED}) e(priority_level, index_name) USING (priority_level)
+  WHERE NOT coalesce(list_contains(j.index_memberships, e.index_name), FALSE) AND NOT EXISTS (SELECT 1 FROM audit a WHERE a.status = 'matched' AND a.journal_id = j.journal_id AND a.index_name = e.index_name))"""
 
 
-@query(
-    f"""WITH {_SQL_MATCH} SELECT j.journal_id, e.index_name FROM journals j JOIN (VALUES {_SQL_EXPECTED}) e(priority_level, index_name) USING (priority_level)
-    WHERE NOT EXISTS (SELECT 1 FROM audit a WHERE a.status = 'matched' AND a.journal_id = j.journal_id AND a.index_name = e.index_name)"""
-)
+def _gaps(spark: SparkSession, sf: str, audit: DataFrame) -> DataFrame:
+    return matching.expected_gaps(table(spark, sf, "journals"), audit, spark.createDataFrame(EXPECTED, "priority_level int, index_name string"))
+
+
+@query(f"WITH RECURSIVE {_SQL_MATCH}, {_SQL_GAPS} SELECT journal_id, index_name FROM gaps")
 def expected_gaps(spark: SparkSession, sf: str) -> DataFrame:
-    rules = spark.createDataFrame(EXPECTED, "priority_level int, index_name string")
-    return matching.expected_gaps(table(spark, sf, "journals"), _audit(spark, sf), rules)
+    return _gaps(spark, sf, _audit(spark, sf))
+
+
+@query(f"WITH RECURSIVE {_SQL_MATCH}, {_SQL_GAPS} SELECT status, count(*) AS rows FROM (SELECT status FROM audit UNION ALL SELECT 'expected_but_unmatched' FROM gaps) GROUP BY 1")
+def audit_status(spark: SparkSession, sf: str) -> DataFrame:
+    audit = _audit(spark, sf)
+    return matching.full_audit(audit, _gaps(spark, sf, audit)).groupBy("status").agg(F.count(F.lit(1)).alias("rows"))
 
 
 @query(
-    f"""WITH {_SQL_MATCH}, n AS (SELECT DISTINCT index_name FROM audit), o AS (SELECT DISTINCT index_name, journal_id FROM audit WHERE status = 'matched')
+    f"""WITH RECURSIVE {_SQL_MATCH}, n AS (SELECT DISTINCT index_name FROM audit), o AS (SELECT DISTINCT index_name, journal_id FROM audit WHERE status = 'matched')
     SELECT a.index_name AS left_index, b.index_name AS right_index, (SELECT count(*) FROM o x JOIN o y ON x.journal_id = y.journal_id WHERE x.index_name = a.index_name AND y.index_name = b.index_name) AS journals
     FROM n a JOIN n b ON a.index_name < b.index_name"""
 )
@@ -375,16 +431,36 @@ def pairwise_intersections(spark: SparkSession, sf: str) -> DataFrame:
     return matching.pairwise_intersections(_audit(spark, sf))
 
 
+_SQL_BOUND = f"""{_SQL_MATCH}, b AS (SELECT * EXCLUDE (q) FROM (SELECT a.journal_id, a.method, m.index_name, index_version, source_title, source_record_id, source_file, source_line, subject_categories, coalesce(issn, []) AS issn, coalesce(eissn, []) AS eissn, n,
+  row_number() OVER (PARTITION BY a.journal_id, a.method, m.index_name, index_version, source_title, source_record_id, source_file, source_line, subject_categories ORDER BY n) AS q FROM audit a JOIN m USING (source_record_id) WHERE a.status = 'matched') WHERE q = 1)"""
+
+
+@query(
+    f"""WITH RECURSIVE {_SQL_BOUND} SELECT b.journal_id, b.index_name, source_record_id, source_line, {_list("b.subject_categories")} AS subjects, method,
+    n = min(n) OVER (PARTITION BY b.journal_id, b.index_name) AND NOT coalesce(list_contains(j.index_memberships, b.index_name), FALSE) AS new_index FROM b JOIN journals j USING (journal_id)"""
+)
+def source_memberships(spark: SparkSession, sf: str) -> DataFrame:
+    found = matching.memberships(_audit(spark, sf), _source_rows(spark, sf), table(spark, sf, "journals"))
+    return found.select("journal_id", "index_name", "source_record_id", "source_line", _strings("subject_categories").alias("subjects"), "method", "new_index")
+
+
+def _sql_grown(had: str, new: str) -> str:
+    """A list that an entry had, then what is new, each once."""
+    both = f"list_concat(coalesce({had}, []), coalesce({new}, []))"
+    return _list(f"list_filter({both}, lambda x, i: list_position({both}, x) = i)")
+
+
 @query(
-    f"""WITH {_SQL_MATCH}, r AS (SELECT a.journal_id, s.* EXCLUDE (source_record_id), s.source_record_id AS rid FROM audit a JOIN source_records s USING (source_record_id) WHERE a.status = 'matched')
-    SELECT journal_id, {_list("list_sort(list_distinct(list(index_name)))")} AS indexes, {_list("list(rid ORDER BY index_name, source_line, rid)")} AS records,
-      {_list("list_sort(list_distinct(flatten(list(coalesce(issn, [])))))")} AS issn, {_list("list_sort(list_distinct(flatten(list(coalesce(eissn, [])))))")} AS eissn,
-      {_list("list_sort(list_filter(list_distinct(list(index_name)), lambda x: NOT list_contains(any_value(b), x)))")} AS new_indexes
-    FROM r JOIN (SELECT journal_id, coalesce(index_memberships, []) AS b FROM journals) USING (journal_id) GROUP BY 1"""
+    f"""WITH RECURSIVE {_SQL_BOUND}, c AS (SELECT journal_id, list(index_name || '=' || cs ORDER BY index_name) AS cats FROM (SELECT journal_id, index_name, array_to_string(list_filter(s, lambda x, i: list_position(s, x) = i), ',') AS cs
+      FROM (SELECT journal_id, index_name, flatten(list(subject_categories ORDER BY n)) AS s FROM b GROUP BY 1, 2)) GROUP BY 1),
+    g AS (SELECT journal_id, count(*) AS records, list(index_name ORDER BY n) AS xs, flatten(list(issn ORDER BY n)) AS p, flatten(list(eissn ORDER BY n)) AS e FROM b GROUP BY 1)
+    SELECT journal_id, records, {_sql_grown("j.index_memberships", "xs")} AS indexes, {_list("list_filter(xs, lambda y, i: list_position(xs, y) = i AND NOT list_contains(coalesce(j.index_memberships, []), y))")} AS new_indexes,
+      {_list("cats")} AS categories, {_sql_grown("j.source_catalogs", "xs")} AS source_catalogs, {_sql_grown("j.issn", "p")} AS issn, {_sql_grown("j.eissn", "e")} AS eissn FROM g JOIN c USING (journal_id) JOIN journals j USING (journal_id)"""
 )
 def source_bindings(spark: SparkSession, sf: str) -> DataFrame:
-    found = matching.bind_memberships(_audit(spark, sf), table(spark, sf, "source_records"), table(spark, sf, "journals"))
-    return found.select("journal_id", *[_strings(F.array_sort(c) if c == "new_indexes" else F.col(c)).alias(c) for c in ("indexes", "records", "issn", "eissn", "new_indexes")])
+    found = matching.bind_memberships(_audit(spark, sf), _source_rows(spark, sf), table(spark, sf, "journals"))
+    maps = F.transform(F.map_entries("categories"), lambda e: F.concat(e["key"], F.lit("="), F.array_join(e["value"], ",")))
+    return found.select("journal_id", "records", *[_strings(c).alias(c) for c in ("indexes", "new_indexes", "source_catalogs", "issn", "eissn")], _strings(maps).alias("categories"))
 
 
 # ranking and eligibility
@@ -428,11 +504,11 @@ def eligibility_env(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _SQL_BUCKET = f"""rows_b AS (SELECT raw_id, page_id, CASE WHEN document_type IS DISTINCT FROM '期刊' THEN 'excluded'
-  WHEN coalesce({text.sql_strip("title")}, '') <> '' AND coalesce({text.sql_strip("journal")}, '') <> '' AND try_cast(substring(publication_date, 1, 4) AS INTEGER) BETWEEN 1900 AND 2027 THEN 'complete' ELSE 'incomplete' END AS bucket FROM raw_rows)"""
+  WHEN coalesce({text.sql_strip("title")}, '') <> '' AND coalesce({text.sql_strip("journal")}, '') <> '' AND {_sql_year('publication_date')} BETWEEN 1900 AND 2027 THEN 'complete' ELSE 'incomplete' END AS bucket FROM raw_rows)"""
 
 
 def _bucketed(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "raw_rows").withColumn("_y", F.expr("try_cast(substring(publication_date, 1, 4) as int)"))
+    rows = table(spark, sf, "raw_rows").withColumn("_y", clean.publication_year(F.col("publication_date")))
     return ranking.bucket_rows(rows, kind="document_type", title="title", journal="journal", year="_y", wanted="期刊", as_of_year=AS_OF_YEAR)
 
 
@@ -468,28 +544,40 @@ def author_components(spark: SparkSession, sf: str) -> DataFrame:
     return dedup.author_components(rows, "work", "paper_id", "people").select("paper_id", "component")
 
 
-@query(
-    f"""WITH RECURSIVE {_SQL_WORKS}, n AS (SELECT work, count(DISTINCT component) AS n, min(component) AS only FROM w LEFT JOIN comp USING (paper_id) GROUP BY 1),
+def _sql_merged(works: str) -> str:
+    """The best record of each work with the metadata of all, those without authors last."""
+    at = "(late * 100000000000 + paper_id)"
+
+    def united(c: str, alias: str) -> str:
+        first = f"SELECT work, unit, x, min({at} * 1000 + i) AS pl FROM (SELECT work, unit, late, paper_id, unnest({c}) AS x, unnest(generate_series(1, len({c}))) AS i FROM p) WHERE x <> '' GROUP BY 1, 2, 3"
+        return f"{alias} AS (SELECT work, unit, list(x ORDER BY pl) AS {alias}_l FROM ({first}) GROUP BY 1, 2)"
+
+    return f"""WITH RECURSIVE {works}, n AS (SELECT work, count(DISTINCT component) AS n, min(component) AS only FROM w LEFT JOIN comp USING (paper_id) GROUP BY 1),
     p AS (SELECT w.*, n.n, coalesce(c.component, CASE WHEN n.n = 1 THEN n.only ELSE -1 END) AS unit, CASE WHEN c.component IS NULL THEN 1 ELSE 0 END AS late,
       (CASE WHEN trim(coalesce(title, '')) <> '' THEN 1 ELSE 0 END + CASE WHEN trim(coalesce(journal_raw, '')) <> '' THEN 1 ELSE 0 END + CASE WHEN publication_year BETWEEN 1900 AND 2027 THEN 1 ELSE 0 END
       + CASE WHEN trim(coalesce(publication_date, '')) <> '' THEN 1 ELSE 0 END + CASE WHEN citations IS NOT NULL THEN 1 ELSE 0 END + CASE WHEN downloads IS NOT NULL THEN 1 ELSE 0 END
       + coalesce(len(list_filter(authors, lambda a: a IS NOT NULL)), 0))::INTEGER AS score FROM w LEFT JOIN comp c USING (paper_id) JOIN n USING (work)),
-    f AS (SELECT work, unit, list(DISTINCT x) AS fs FROM (SELECT work, unit, unnest(matched_topic_fields) AS x FROM p) WHERE x <> '' GROUP BY 1, 2)
-    SELECT arg_max(paper_id, score * 1000000000000 - late * 100000000000 - paper_id) AS paper_id, count(*) AS records, max(score) AS score,
-      arg_min(topic_match_field, late * 100000000000 + paper_id) FILTER (topic_match_field <> '') AS topic_match_field,
-      coalesce({_list("list_filter(['TI','SU','KY','TKA'], lambda x: list_contains(any_value(fs), x))")}, '') AS declared_fields
-    FROM p LEFT JOIN f USING (work, unit) GROUP BY work, unit"""
-)
+    {united("matched_topic_fields", "f")}, {united("matched_search_groups", "g")}
+    SELECT arg_max(paper_id, score * 1000000000000 - {at}) AS paper_id, count(*) AS records, max(score) AS score,
+      arg_min(topic_match_field, {at}) FILTER (topic_match_field <> '') AS topic_match_field,
+      coalesce({_list("list_concat(list_filter(['TI','SU','KY','TKA'], lambda x: list_contains(any_value(f_l), x)), list_filter(any_value(f_l), lambda x: x NOT IN ('TI','SU','KY','TKA')))")}, '') AS fields,
+      coalesce({_list("any_value(g_l)")}, '') AS groups FROM p LEFT JOIN f USING (work, unit) LEFT JOIN g USING (work, unit) GROUP BY work, unit"""
+
+
+def _merged(spark: SparkSession, sf: str, with_journal: bool) -> DataFrame:
+    merged = dedup.merge_records(table(spark, sf, "papers"), as_of_year=AS_OF_YEAR, with_journal=with_journal)
+    return merged.select("paper_id", "records", "score", "topic_match_field", _strings("matched_topic_fields").alias("fields"), _strings("matched_search_groups").alias("groups"))
+
+
+@query(_sql_merged(_SQL_WORKS))
 def merge_records(spark: SparkSession, sf: str) -> DataFrame:
-    merged = dedup.merge_records(table(spark, sf, "papers"), as_of_year=AS_OF_YEAR)
-    declared = F.array_intersect(F.array(*[F.lit(x) for x in expressions.TOPIC_FIELDS]), "matched_topic_fields")
-    return merged.select("paper_id", "records", "score", "topic_match_field", _strings(declared).alias("declared_fields"))
+    return _merged(spark, sf, False)
 
 
-@query()
+@query(_sql_merged(_SQL_WORKS.replace("coalesce(CAST(publication_year", f"{text.sql_casefold(text.sql_collapsed("coalesce(journal_raw, '')"))}, coalesce(CAST(publication_year", 1)))
 def merge_records_strict(spark: SparkSession, sf: str) -> DataFrame:
     """The variant that tells works apart by journal too."""
-    return dedup.merge_records(table(spark, sf, "papers"), as_of_year=AS_OF_YEAR, with_journal=True).select("paper_id", "records", "score")
+    return _merged(spark, sf, True)
 
 
 # expressions
@@ -504,24 +592,32 @@ def journal_clause(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "journals").select("journal_id", expressions.clause(expressions.journal_terms(F.col("formal_title"))).alias("clause"))
 
 
+_SQL_PLANS = f"""{_SQL_TERMS}, fields AS (SELECT * FROM (VALUES ('TI', 0), ('SU', 1), ('KY', 2), ('TKA', 3)) f(field, field_no)),
+s AS (SELECT priority_group, field, field_no, length(field) + {len(" %= '湿地' AND ()")} AS head, formal_title, ts, row_number() OVER (PARTITION BY priority_group, field ORDER BY journal_id, formal_title) AS n,
+  list_sum(list_transform(ts, lambda x: length(x))) AS c, len(ts) AS k FROM terms, fields),
+r AS (SELECT priority_group, field, n, 1 AS b, CAST(head + c + 4 * (k - 1) AS BIGINT) AS size FROM s WHERE n = 1
+  UNION ALL SELECT s.priority_group, s.field, s.n, CASE WHEN r.size + s.c + 4 * s.k <= 3000 THEN r.b ELSE r.b + 1 END,
+    CAST(CASE WHEN r.size + s.c + 4 * s.k <= 3000 THEN r.size + s.c + 4 * s.k ELSE s.head + s.c + 4 * (s.k - 1) END AS BIGINT) FROM r JOIN s ON s.priority_group = r.priority_group AND s.field = r.field AND s.n = r.n + 1),
+g AS (SELECT priority_group, field, field_no, b, count(*) AS journals, concat(field, ' %= ''湿地'' AND (', array_to_string(flatten(list(s.ts ORDER BY n)), ' OR '), ')') AS x FROM r JOIN s USING (priority_group, field, n) GROUP BY 1, 2, 3, 4)"""
+
+
 @query(
-    f"""WITH RECURSIVE {_SQL_TERMS}, s AS (SELECT priority_group, journal_id, formal_title, ts, row_number() OVER (PARTITION BY priority_group ORDER BY journal_id, formal_title) AS n,
-      list_sum(list_transform(ts, lambda x: length(x))) AS c, len(ts) AS k FROM terms),
-    r AS (SELECT priority_group, n, 1 AS b, CAST({len("TI %= '湿地' AND ()")} + c + 4 * (k - 1) AS BIGINT) AS size FROM s WHERE n = 1
-      UNION ALL SELECT s.priority_group, s.n, CASE WHEN r.size + s.c + 4 * s.k <= 3000 THEN r.b ELSE r.b + 1 END,
-        CAST(CASE WHEN r.size + s.c + 4 * s.k <= 3000 THEN r.size + s.c + 4 * s.k ELSE {len("TI %= '湿地' AND ()")} + s.c + 4 * (s.k - 1) END AS BIGINT) FROM r JOIN s ON s.priority_group = r.priority_group AND s.n = r.n + 1),
-    g AS (SELECT r.priority_group, r.b, count(*) AS journals, concat('TI %= ''湿地'' AND (', array_to_string(flatten(list(s.ts ORDER BY s.n)), ' OR '), ')') AS x FROM r JOIN s USING (priority_group, n) GROUP BY 1, 2)
-    SELECT priority_group, b AS index, CAST(count(*) OVER (PARTITION BY priority_group) AS INTEGER) AS total, CAST(journals AS INTEGER) AS journals, CAST(length(x) AS INTEGER) AS chars, md5(x) AS digest FROM g"""
+    f"""WITH RECURSIVE {_SQL_PLANS}
+    SELECT priority_group, b AS index, CAST(count(*) OVER (PARTITION BY priority_group) AS INTEGER) AS total, CAST(journals AS INTEGER) AS journals, CAST(length(x) AS INTEGER) AS chars, md5(x) AS digest FROM g WHERE field = 'TI'"""
 )
 def expression_batches(spark: SparkSession, sf: str) -> DataFrame:
     rows = expressions.batches(table(spark, sf, "journals"), ["priority_group"], "formal_title", ["journal_id"], TOPIC)
     return rows.select("priority_group", "index", "total", F.size("journals").alias("journals"), F.length("expression").alias("chars"), F.md5("expression").alias("digest"))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {_SQL_PLANS}, one AS (SELECT priority_group, field_no, b, concat('{{"catalog_version":"v4","expression":', to_json(x), ',"page_size":50,"scope_id":"wet","source_category":{{"code":"P01","label":"核心"}},"topic_field":"', field, '"}}') AS j FROM g)
+    SELECT priority_group, CAST(field_no AS INTEGER) AS field_no, sha256(concat('[', string_agg(j, ',' ORDER BY b), ']')) AS token FROM one GROUP BY 1, 2"""
+)
 def plan_tokens(spark: SparkSession, sf: str) -> DataFrame:
-    """The whole ladder of plans of each group, as one hash; tests hold it against a change of any part."""
-    return expressions.plan_token(expressions.field_ladder(table(spark, sf, "journals"), ["priority_group"], "formal_title", ["journal_id"], TOPIC), ["priority_group", "field_no"])
+    """The whole ladder of plans of each group, as one hash a field."""
+    known = dict(scope_id="wet", catalog_version="v4", source_category=("P01", "核心"))
+    return expressions.plan_token(expressions.field_ladder(table(spark, sf, "journals"), ["priority_group"], "formal_title", ["journal_id"], TOPIC, **known), ["priority_group", "field_no"])
 
 
 _SQL_ASKED = "concat(CASE request_id % 3 WHEN 0 THEN 'SU %= ''' WHEN 1 THEN 'TI=''' ELSE '' END, query, CASE request_id % 5 WHEN 0 THEN ''' AND YE >= 2000' WHEN 1 THEN ''' AND LY=''x''' ELSE '''' END)"
@@ -562,7 +658,24 @@ def _attempts(spark: SparkSession, sf: str) -> DataFrame:
     SELECT run, (SELECT count(*) FROM p WHERE p.run = s.run AND (s.stopped_at IS NULL OR p.batch < s.stopped_at)) AS completed, batches, stopped_at, terminal_status FROM s"""
 )
 def scheduler_outcome(spark: SparkSession, sf: str) -> DataFrame:
-    return control.run_outcomes(_attempts(spark, sf), ["run"])
+    return control.run_outcomes(_attempts(spark, sf), ["run"]).select("run", "completed", "batches", "stopped_at", "terminal_status")
+
+
+@query(
+    f"""WITH RECURSIVE {_SQL_ATTEMPTS}, kept AS (SELECT DISTINCT run, batch FROM attempts WHERE batch % 3 = 1), n AS (SELECT run, batch, list({{'s': status}} ORDER BY attempt) AS l FROM attempts GROUP BY 1, 2),
+    t AS (SELECT run, batch, l, list_position(list_transform(l, lambda x: x.s IN ('success', 'no_results')), TRUE) AS good,
+      (list_filter(list_transform(l, lambda x, i: CASE WHEN x.s NOT IN ('success', 'no_results', 'challenge', 'network_error') THEN i WHEN x.s = 'network_error' AND len(list_filter(l[1:i], lambda y: y.s = 'network_error')) = 2 THEN i END), lambda x: x IS NOT NULL))[1] AS bad FROM n),
+    d AS (SELECT run, batch, k.batch IS NOT NULL AS resumed, CASE WHEN k.batch IS NOT NULL THEN TRUE WHEN bad IS NULL THEN good IS NOT NULL ELSE coalesce(good < bad, FALSE) END AS done,
+      CASE WHEN k.batch IS NOT NULL THEN 'success' WHEN bad IS NOT NULL AND coalesce(good, 99) > bad THEN l[bad].s WHEN good IS NOT NULL THEN l[good].s ELSE l[-1].s END AS last FROM t LEFT JOIN kept k USING (run, batch)),
+    e AS (SELECT run, min(batch) FILTER (NOT done) AS fail, min(batch) FILTER (batch >= 4 AND last = 'success') AS lim, arg_min(last, batch) FILTER (NOT done) AS status FROM d GROUP BY 1)
+    SELECT e.run, (SELECT count(*) FROM d WHERE d.run = e.run AND done AND (batch <= lim OR lim IS NULL) AND (batch < fail OR fail IS NULL)) AS completed, CASE WHEN lim IS NULL OR fail < lim THEN fail END AS stopped_at,
+      CASE WHEN lim IS NULL OR fail < lim THEN status END AS terminal_status, lim IS NOT NULL AND (fail IS NULL OR lim < fail) AS limit_reached FROM e"""
+)
+def scheduler_resumed(spark: SparkSession, sf: str) -> DataFrame:
+    """Runs of which every third batch is in a checkpoint, and whose limit is reached from the fourth batch on."""
+    log = _attempts(spark, sf)
+    kept, stops = log.filter("batch % 3 = 1").select("run", "batch"), log.filter("batch >= 4").select("run", "batch")
+    return control.run_outcomes(log, ["run"], kept, stops).select("run", "completed", "stopped_at", "terminal_status", "limit_reached")
 
 
 @query(
@@ -679,10 +792,22 @@ def derived_status(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query()
+_PLANTED = ["see ", "TI=a AND LY=", "ＳＵ %= ", "my Cookie is ", "ftp://", "/srv/", "~/", "\\\\host", "$HOME/", "%UserProfile%", "C:/", "f ile: /", "file:x ", "<b> ", "a < b ", "q:r ", "www.a.org "]
+_SQL_STORED = f"""t AS (SELECT paper_id, title, (['', {", ".join("'" + x + "'" for x in _PLANTED)}])[paper_id % {len(_PLANTED) + 1} + 1] || title AS raw FROM papers),
+u AS (SELECT paper_id, {text.sql_strip(f"regexp_replace({text.sql_nfkc('raw')}, '[\\p{{Cc}}\\p{{Cf}}]', '', 'g')")} AS v FROM t), l AS (SELECT paper_id, v, {text.sql_casefold("v")} AS f FROM u),
+x AS (SELECT *, trim(substring(f, strpos(f, ':') + 1)) AS target, regexp_replace(split_part(f, ':', 1), '{text.SQL_SPACE}', '', 'g') AS scheme FROM l)"""
+
+
+@query(
+    f"""WITH {_SQL_STORED} SELECT paper_id, CASE WHEN contains(f, 'su %=') OR contains(f, 'ly=') OR contains(f, 'ye between') OR contains(f, '://') OR contains(f, 'cookie') OR (contains(v, '<') AND contains(v, '>'))
+      OR left(v, 1) IN ('/', '\\', '~') OR starts_with(f, '$home') OR starts_with(f, '${{home}}') OR starts_with(f, '%userprofile%') OR regexp_matches(v, '^\\p{{L}}:[\\\\/]')
+      OR (contains(f, ':') AND scheme = 'file' AND (left(target, 1) IN ('/', '\\') OR regexp_matches(target, '^\\p{{L}}:[\\\\/]'))) THEN NULL ELSE {text.sql_strip("substring(v, 1, 60)")} END AS kept FROM x"""
+)
 def storable_texts(spark: SparkSession, sf: str) -> DataFrame:
-    """No SQL twin: tests hold it against examples."""
-    return table(spark, sf, "documents").select("doc_id", control.storable_text(F.col("text"), 500).alias("kept"))
+    """Titles with planted beginnings of paths, addresses, expressions and markup, and harmless ones."""
+    begins = F.array(F.lit(""), *[F.lit(x) for x in _PLANTED])
+    raw = F.concat(F.get(begins, (F.col("paper_id") % (len(_PLANTED) + 1)).cast("int")), "title")
+    return table(spark, sf, "papers").select("paper_id", control.storable_text(raw, 60).alias("kept"))
 
 
 # pages, texts, checks
@@ -695,7 +820,8 @@ def _sql_read(x: str, empty: str = "''") -> str:
 
 @query(
     f"""WITH r AS (SELECT *, coalesce({text.sql_collapsed("title")}, '') <> '' OR coalesce({text.sql_collapsed("journal")}, '') <> '' OR coalesce({text.sql_collapsed("document_type")}, '') <> '' AS there FROM raw_rows)
-    SELECT raw_id, {_sql_read(text.sql_collapsed("title"))} AS title, {_sql_read(text.sql_collapsed("journal"))} AS journal_raw, CASE WHEN there THEN {_sql_count("citations")} END AS citations,
+    SELECT raw_id, {_sql_read(text.sql_collapsed("title"))} AS title, {_sql_read(_list(f"list_filter(list_transform(regexp_split_to_array(authors, '[;；,，]'), lambda a: {text.sql_collapsed('a')}), lambda a: a <> '')"))} AS authors,
+    {_sql_read(text.sql_collapsed("publication_date"))} AS publication_date, CASE WHEN there THEN {_sql_year(text.sql_collapsed("publication_date"))} END AS publication_year, {_sql_read(text.sql_collapsed("journal"))} AS journal_raw, CASE WHEN there THEN {_sql_count("citations")} END AS citations,
     CASE WHEN there THEN {_sql_count("downloads")} END AS downloads, {_sql_read(_sql_count("result_rank"), "0")} AS result_rank, CASE WHEN there THEN is_online_first END AS is_online_first FROM r"""
 )
 def html_round_trip(spark: SparkSession, sf: str) -> DataFrame:
@@ -709,11 +835,13 @@ def html_round_trip(spark: SparkSession, sf: str) -> DataFrame:
         return F.concat(F.lit(f'<td class="{name}">'), safe(value), F.lit("</td>" if close else ""))
 
     linked = lambda c: F.concat(F.lit("<a>"), safe(F.col(c)), F.lit("</a>"))
+    people = F.array_join(F.transform(clean.split_names(F.coalesce("authors", F.lit(""))), lambda x: F.concat(F.lit("<a>"), safe(x), F.lit("</a> "))), "")
     early = F.when(F.col("is_online_first"), "<b>网络首发</b>").otherwise("")
     page = F.concat(
         F.lit('<div><table class="result-table-list x"><tr>'),
         cell("seq", F.col("result_rank")),
         F.lit('<td class="name">'), linked("title"), early, F.lit("<table><tr><td class='name'><a>nested</a></td></tr></table></td>"),
+        F.lit('<td class="author">'), people, F.lit("</td>"),
         F.lit('<td class="source">'), linked("journal"), F.lit(" note</td>"),
         cell("date", F.col("publication_date"), close=False),
         cell("data", F.col("document_type")),
@@ -722,7 +850,7 @@ def html_round_trip(spark: SparkSession, sf: str) -> DataFrame:
         F.lit("</tr></table></div>"),
     )
     read = pages.parse_pages(rows.select("raw_id", page.alias("html")), "raw_id", "html")
-    return read.select("raw_id", "title", "journal_raw", "citations", "downloads", "result_rank", "is_online_first")
+    return read.select("raw_id", "title", _strings("authors").alias("authors"), "publication_date", "publication_year", "journal_raw", "citations", "downloads", "result_rank", "is_online_first")
 
 
 @query(
@@ -741,35 +869,45 @@ def heading_fill(spark: SparkSession, sf: str) -> DataFrame:
     return lines.numbered(lines.lines(whole)).select("title", "category")
 
 
-_SQL_CANONICAL = """concat('{"aliases":', CASE WHEN aliases IS NULL THEN 'null' ELSE concat('[', array_to_string(list_transform(aliases, lambda x: to_json(x)), ','), ']') END, ',"formal_title":', to_json(formal_title), ',"journal_id":', to_json(journal_id),
- ',"ncs_internal_rank":', coalesce(CAST(ncs_internal_rank AS VARCHAR), 'null'), ',"priority_level":', CAST(priority_level AS VARCHAR), '}')"""
+_SQL_CANONICAL = """concat('{"aliases":', CASE WHEN aliases IS NULL THEN 'null' ELSE concat('[', array_to_string(list_transform(aliases, lambda x: to_json(x)), ','), ']') END, ',"by_index":{"a":[{"n":1,"z":', to_json(formal_title), '}],"b":[]},"formal_title":', to_json(formal_title), ',"journal_id":', to_json(journal_id),
+ ',"ncs_internal_rank":', coalesce(CAST(ncs_internal_rank AS VARCHAR), 'null'), ',"nested":{"inner":{"a":1,"b":null},"level":', CAST(priority_level AS VARCHAR), '}', ',"priority_level":', CAST(priority_level AS VARCHAR), '}')"""
 
 
 @query(f"SELECT journal_id, sha256({_SQL_CANONICAL}) AS hash FROM journals")
 def canonical_hash(spark: SparkSession, sf: str) -> DataFrame:
-    cols = {c: F.col(c) for c in ("journal_id", "formal_title", "aliases", "priority_level", "ncs_internal_rank")}
-    return table(spark, sf, "journals").select("journal_id", checks.row_hash(cols).alias("hash"))
+    """With planted structs and maps whose fields and keys are not in order."""
+    nested = F.struct(F.col("priority_level").alias("level"), F.struct(F.lit(None).cast("string").alias("b"), F.lit(1).alias("a")).alias("inner"))
+    item = F.struct(F.col("formal_title").alias("z"), F.lit(1).alias("n"))
+    by_index = F.create_map(F.lit("b"), F.slice(F.array(item), 1, 0), F.lit("a"), F.array(item))
+    rows = table(spark, sf, "journals").select("journal_id", "formal_title", "aliases", "priority_level", "ncs_internal_rank", nested.alias("nested"), by_index.alias("by_index"))
+    return rows.select("journal_id", checks.row_hash(rows, rows.columns).alias("hash"))
 
 
 @query()
 def table_hashes(spark: SparkSession, sf: str) -> DataFrame:
-    """One hash of the papers table; tests hold it against shuffled and changed tables."""
-    papers = table(spark, sf, "papers").select("paper_id", "title", "authors", "journal_raw", "citations")
-    return checks.table_hash(papers, "paper_id", {c: F.col(c) for c in papers.columns})
+    """One hash of the papers table, all columns; tests hold it against shuffled and changed tables."""
+    return checks.table_hash(table(spark, sf, "papers"), "paper_id")
 
 
 @query(
-    """WITH c AS (SELECT count(*) - count(DISTINCT journal_id) AS repeated_ids, count_if(trim(coalesce(formal_title, '')) = '') AS blank_titles, count_if(NOT coalesce(priority_level IN (1,2,3,4,5,6,7,8,9,10,11,12), FALSE)) AS unknown_levels,
-    count_if(priority_group <> printf('level_%02d', priority_level)) AS wrong_groups, count_if(coalesce(len(index_memberships), 0) = 0) AS no_memberships FROM journals)
-    SELECT unnest(['repeated_ids', 'blank_titles', 'unknown_levels', 'wrong_groups', 'no_memberships']) AS check, unnest([repeated_ids, blank_titles, unknown_levels, wrong_groups, no_memberships])::BIGINT AS failures FROM c"""
+    """WITH c AS (SELECT count(*) - count(DISTINCT journal_id) AS repeated_ids, count(formal_title) - count(DISTINCT formal_title) AS repeated_titles, count_if(trim(coalesce(formal_title, '')) = '') AS blank_titles, count_if(NOT coalesce(priority_level IN (1,2,3,4,5,6,7,8,9,10,11,12), FALSE)) AS unknown_levels,
+    count_if(priority_group IS DISTINCT FROM printf('level_%02d', priority_level)) AS wrong_groups, count_if(coalesce(len(index_memberships), 0) = 0) AS no_memberships,
+    (SELECT sum(abs(coalesce(n, 0) - 125)) FROM generate_series(1, 12) l(level) LEFT JOIN (SELECT priority_level AS level, count(*) AS n FROM journals GROUP BY 1) USING (level)) AS wrong_level_counts, abs(count(*) - 1500) AS wrong_rows FROM journals)
+    SELECT unnest(['repeated_ids', 'repeated_titles', 'blank_titles', 'unknown_levels', 'wrong_groups', 'no_memberships', 'wrong_level_counts', 'wrong_rows']) AS check,
+    unnest([repeated_ids, repeated_titles, blank_titles, unknown_levels, wrong_groups, no_memberships, wrong_level_counts, wrong_rows])::BIGINT AS failures FROM c"""
 )
 def catalog_checks(spark: SparkSession, sf: str) -> DataFrame:
-    return checks.catalog_checks(table(spark, sf, "journals"), list(range(1, 13))).withColumn("failures", F.col("failures").cast("long"))
+    return checks.catalog_checks(table(spark, sf, "journals"), list(range(1, 13)), level_counts=[125] * 12)
 
 
-@query("SELECT DISTINCT journal_id AS value FROM documents d WHERE journal_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM journals j WHERE j.journal_id = d.journal_id)")
+@query(
+    """SELECT DISTINCT j || '-x' AS value FROM (SELECT journal_id AS j, doc_id FROM documents WHERE journal_id IS NOT NULL) WHERE doc_id % 10 = 0
+    UNION SELECT DISTINCT journal_id FROM documents d WHERE journal_id IS NOT NULL AND doc_id % 10 <> 0 AND NOT EXISTS (SELECT 1 FROM journals j WHERE j.journal_id = d.journal_id)"""
+)
 def reference_check(spark: SparkSession, sf: str) -> DataFrame:
-    return checks.missing_references(table(spark, sf, "documents"), "journal_id", table(spark, sf, "journals"), "journal_id")
+    """References of documents, of which one in ten is planted as unknown."""
+    docs = table(spark, sf, "documents").withColumn("journal_id", F.when(F.col("doc_id") % 10 == 0, F.concat("journal_id", F.lit("-x"))).otherwise(F.col("journal_id")))
+    return checks.missing_references(docs, "journal_id", table(spark, sf, "journals"), "journal_id")
 
 
 @query("SELECT page_id, raw_id FROM raw_rows WHERE page_id IN (SELECT page_id FROM raw_rows GROUP BY 1 HAVING bool_and(coalesce(title <> '', FALSE)))")

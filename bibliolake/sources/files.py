@@ -2,68 +2,126 @@
 
 from __future__ import annotations
 
+import csv
 import hashlib
+import io
 import os
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from bibliolake.functions.clean import rewritten_title
+from bibliolake.functions.keys import exact_key
+from bibliolake.functions.text import strip
+from bibliolake.operators.catalog import small
 from bibliolake.operators.checks import canonical_json, reject_floats
 
-# The columns of an index export, in order.
+# The columns of an index export; the fields of a catalog's entries.
 INDEX_COLUMNS = ["Journal title", "ISSN", "eISSN", "Publisher name", "Publisher address", "Languages", "Web of Science Categories"]
-
+_TEXTS = T.ArrayType(T.StringType())
+_MEMBERSHIP = T.StructType(
+    [T.StructField(n, T.StringType()) for n in ("index_name", "index_version", "source_title", "source_record_id", "source_file")]
+    + [T.StructField("source_line", T.IntegerType()), T.StructField("subject_categories", _TEXTS), T.StructField("match_method", T.StringType())]
+)
 CATALOG_SCHEMA = T.StructType(
     [
         T.StructField("journal_id", T.StringType(), False),
         T.StructField("formal_title", T.StringType(), False),
-        T.StructField("aliases", T.ArrayType(T.StringType())),
-        T.StructField("issn", T.ArrayType(T.StringType())),
-        T.StructField("eissn", T.ArrayType(T.StringType())),
+        T.StructField("formal_title_evidence_ids", _TEXTS, False),
+        T.StructField("aliases", _TEXTS, False),
+        T.StructField("issn", _TEXTS, False),
+        T.StructField("eissn", _TEXTS, False),
         T.StructField("priority_level", T.IntegerType(), False),
         T.StructField("priority_group", T.StringType(), False),
+        T.StructField("priority_decision", T.MapType(T.StringType(), T.StringType()), False),
         T.StructField("ncs_internal_rank", T.IntegerType()),
-        T.StructField("subject_categories", T.ArrayType(T.StringType())),
-        T.StructField("source_catalogs", T.ArrayType(T.StringType())),
-        T.StructField("index_memberships", T.ArrayType(T.StringType())),
+        T.StructField("environment_subfields", _TEXTS, False),
+        T.StructField("subject_categories", _TEXTS, False),
+        T.StructField("formal_evidence", _TEXTS, False),
+        T.StructField("evidence_ids", _TEXTS, False),
+        T.StructField("index_memberships", _TEXTS, False),
+        T.StructField("index_subject_categories", T.MapType(T.StringType(), _TEXTS), False),
+        T.StructField("source_memberships", T.ArrayType(_MEMBERSHIP), False),
+        T.StructField("source_catalogs", _TEXTS, False),
+        T.StructField("catalog_version", T.StringType(), False),
+        T.StructField("catalog_date", T.StringType(), False),
+        T.StructField("revision_date", T.StringType(), False),
+        T.StructField("manual_review_required", T.BooleanType(), False),
+        T.StructField("review_reasons", _TEXTS, False),
+        T.StructField("cnki_routing", T.MapType(T.StringType(), T.StringType()), False),
     ]
 )
 
+_EXPORTED = T.ArrayType(T.StructType([T.StructField("n", T.IntegerType()), T.StructField("line", T.IntegerType())] + [T.StructField(f"c{i}", T.StringType()) for i in range(len(INDEX_COLUMNS))]))
+
+
+@F.pandas_udf(_EXPORTED)
+def _read_export(paths: pd.Series, texts: pd.Series) -> pd.Series:
+    """The rows of whole files with their number and the number of their last line."""
+    found = []
+    for path, text in zip(paths, texts):
+        reader = csv.DictReader(io.StringIO(text, newline=""))
+        if sorted(reader.fieldnames or []) != sorted(INDEX_COLUMNS):
+            raise ValueError(f"{path} has other columns than an index export")
+        rows = []
+        for n, row in enumerate(reader, start=1):
+            if not (row["Journal title"] or "").strip():
+                raise ValueError(f"{path}: no title in line {reader.line_num}")
+            rows.append((n, reader.line_num, *[row[c] for c in INDEX_COLUMNS]))
+        found.append(rows)
+    return pd.Series(found)
+
 
-def read_index_csv(spark: SparkSession, path: str, index_name: str, titles: DataFrame | None = None) -> DataFrame:
-    """Source rows of an index export: another set of columns fails; ids count rows from 1.
+def read_index_csv(spark: SparkSession, path: str, index_name: str, index_version: str = "", titles: DataFrame | None = None) -> DataFrame:
+    """Source records of index exports: columns in any order, but no others and none missing; a blank
+    title fails. A record's line is its last one, as quoted cells may hold line ends; its id counts
+    the rows of its file. titles (key, title) overrides display titles, key being the exact key;
+    then titles of databases become those that are known. A file is one task, many files spread."""
+    raw = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.regexp_replace("value", "^\\x{feff}", "").alias("text"))
+    rows = raw.select("path", F.explode(_read_export("path", "text")).alias("r"))
+
+    def cell(name: str) -> Column:
+        return strip(F.coalesce(F.col(f"r.c{INDEX_COLUMNS.index(name)}"), F.lit("")))
+
+    def filled(values: Column) -> Column:
+        return F.filter(values, lambda x: x != "")
 
-    titles (key, title) overrides display titles, key being the lower-case title.
-    """
-    own = spark.read.csv(path, header=True, multiLine=True, escape='"', encoding="UTF-8")
-    names = [c.lstrip("﻿") for c in own.columns]
-    if names != INDEX_COLUMNS:
-        raise ValueError("an index export has other columns")
-    own = own.toDF(*names)
-    # one file is read as one partition in its order, so this numbers its rows
-    rows = own.withColumn("_n", F.row_number().over(W.orderBy(F.monotonically_increasing_id())))
     out = rows.select(
         F.lit(index_name).alias("index_name"),
-        F.format_string(f"{index_name}:%05d", "_n").alias("source_record_id"),
-        F.trim("Journal title").alias("source_title"),
-        F.filter(F.array(F.trim("ISSN")), lambda x: x != "").alias("issn"),
-        F.filter(F.array(F.trim("eISSN")), lambda x: x != "").alias("eissn"),
-        F.filter(F.transform(F.split("`Web of Science Categories`", r"\|"), lambda x: F.trim(x)), lambda x: x != "").alias("subject_categories"),
+        F.lit(index_version).alias("index_version"),
+        F.element_at(F.split("path", "/"), -1).alias("source_file"),
+        F.col("r.line").alias("source_line"),
+        F.format_string(f"{index_name}:%05d", "r.n").alias("source_record_id"),
+        cell("Journal title").alias("source_title"),
+        F.array().cast("array<string>").alias("aliases"),
+        filled(F.array(cell("ISSN"))).alias("issn"),
+        filled(F.array(cell("eISSN"))).alias("eissn"),
+        filled(F.transform(F.split(cell("Web of Science Categories"), r"\|"), strip)).alias("subject_categories"),
     )
     if titles is None:
-        return out.withColumn("formal_title", F.col("source_title"))
-    joined = out.join(F.broadcast(titles), F.lower("source_title") == F.col("key"), "left")
-    return joined.withColumn("formal_title", F.coalesce("title", "source_title")).drop("key", "title")
+        return out.withColumn("formal_title", rewritten_title(F.col("source_title")))
+    joined = out.join(small(titles), exact_key(F.col("source_title")) == F.col("key"), "left")
+    return joined.withColumn("formal_title", rewritten_title(F.coalesce("title", "source_title"))).drop("key", "title")
 
 
 def read_catalog_json(spark: SparkSession, path: str) -> DataFrame:
-    """The journals of a JSON catalog {journals: [...]}; a wrong type fails."""
+    """The entries of a JSON catalog {journals: [...]}; a wrong type fails, and so does an entry that
+    lacks a field of the contract (only the internal rank may be null)."""
     schema = T.StructType([T.StructField("journals", T.ArrayType(CATALOG_SCHEMA))])
     own = spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
-    return own.select(F.explode("journals").alias("j")).select("j.*")
+    rows = own.select(F.explode("journals").alias("j")).select("j.*")
+    return rows.select(*[F.col(f.name) if f.nullable else required(f.name, "journal_id").alias(f.name) for f in CATALOG_SCHEMA.fields])
+
+
+def required(column: str, key: str) -> Column:
+    """A column that fails the query where it is null: readers take every column for nullable, whatever
+    the schema says."""
+    c = F.col(column)
+    missing = F.raise_error(F.concat(F.lit(f"no {column} in "), F.coalesce(F.col(key), F.lit("an entry"))))
+    return F.coalesce(c, missing.cast(CATALOG_SCHEMA[column].dataType))
 
 
 def snapshot(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -101,7 +159,7 @@ def write_mirrors(paths: list[str], content: bytes, *, check: bool = False) -> N
 def catalog_payload(catalog: DataFrame, key: str = "journal_id") -> DataFrame:
     """(key, json): one canonical JSON object for each entry; fractions are refused."""
     reject_floats(catalog)
-    return catalog.select(key, canonical_json({c: F.col(c) for c in catalog.columns}).alias("json"))
+    return catalog.select(key, canonical_json(catalog.schema, catalog.columns).alias("json"))
 
 
 def write_jsonl(df: DataFrame, path: str, key: str) -> None:

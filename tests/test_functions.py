@@ -58,21 +58,40 @@ def test_lookup_keys_need_two_characters(spark):
 
 
 def plain_year(v):
-    m = re.search(
-        r"(?<![A-Za-z0-9])((?:19|20)\d{2})(?:([-/])(\d{1,2})(?:\2(\d{1,2}))?)?(?:\s+(\d{1,2}):(\d{2})(?::(\d{2}))?)?(?![\d年])", v
-    )
-    if not m:
+    """The first year with no letter or digit before and no digit or 年 behind it; then word by word."""
+    signs = "-/:年"
+
+    def written(c):
+        return c in signs or (c.isascii() and c.isalnum())
+
+    def begins_time(w):
+        return w[:1] in ("-", "/", ":") or w[1:2] == ":" and w[:1].isdigit() or w[2:3] == ":" and w[:2].isdigit()
+
+    for i in range(len(v) - 3):
+        year, before, behind = v[i : i + 4], v[i - 1 : i], v[i + 4 : i + 5]
+        if year.isdigit() and year[:2] in ("19", "20") and not (before.isascii() and before.isalnum()) and not behind.isdigit() and behind != "年":
+            break
+    else:
         return None
-    rest = v[m.end() :]
-    if re.match(r"[-/:年A-Za-z0-9]|\s+(?:\d{1,2}:|[-/:])", rest):
+    words, at = [], i
+    while at < len(v) and written(v[at]):
+        end = next((k for k in range(at, len(v)) if not written(v[k])), len(v))
+        words.append(v[at:end])
+        at = next((k for k in range(end, len(v)) if not v[k].isspace()), len(v)) if v[end : end + 1].isspace() else len(v)
+    date, time, more = [*words, "", "", ""][:3]
+    separators = {c for c in date if not c.isdigit()}
+    parts = re.split("[-/]", date)
+    if len(separators) > 1 or separators - {"-", "/"} or len(parts) > 3 or any(not 1 <= len(p) <= 2 for p in parts[1:]):
         return None
     try:
-        datetime.date(int(m[1]), int(m[3] or 1), int(m[4] or 1))
+        datetime.date(*[int(p) for p in [*parts, "1", "1"][:3]])
     except ValueError:
         return None
-    if m[5] and not (int(m[5]) <= 23 and int(m[6]) <= 59) or m[7] and int(m[7]) > 59:
-        return None
-    return int(m[1])
+    if begins_time(time):
+        clock = time.split(":")
+        if len(clock) not in (2, 3) or not all(x.isdigit() for x in clock) or not 1 <= len(clock[0]) <= 2 or any(len(x) != 2 or int(x) > 59 for x in clock[1:]) or int(clock[0]) > 23 or begins_time(more):
+            return None
+    return int(year)
 
 
 YEARS = {
@@ -128,3 +147,8 @@ def test_title_cells(spark):
     assert column(spark, ["Zeitschrift fur Geomorphologie", "X", None], clean.rewritten_title) == ["Zeitschrift für Geomorphologie", "X", None]
     with pytest.raises(Exception, match="a title is empty"):
         column(spark, ["—"], clean.main_title)
+
+
+def test_ordered_strings(spark):
+    df = spark.createDataFrame([(["（B", "(C", "（B", None],), (["b", "a"],), ([],), (None,)], "v array<string>")
+    assert [r[0] for r in df.select(clean.ordered_strings(F.col("v"))).collect()] == [["（B", "(C"], ["a", "b"], [], None]

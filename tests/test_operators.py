@@ -81,6 +81,10 @@ def pair(spark):
             ("e", "Y", "BETA", [], [], 5),
             ("f", "Z", "nothing", None, None, 6),
             ("g", "Z", "Alpha Review", ["3333-3333", "x"], None, 7),
+            ("h", "Z", "no title", ["x", "y"], None, 8),
+            ("i", "Z", "no title", None, ["y"], 9),
+            ("j", "Z", "no title", ["1111-1111", "y"], None, 10),
+            ("k", "A", "no title", ["y"], None, 99),
         ],
         SOURCE,
     )
@@ -98,20 +102,80 @@ def test_cascade(pair):
         "e": ("ambiguous", None),
         "f": ("out_of_scope", None),
         "g": ("identifier", "J2"),
+        # identifiers that earlier rows brought, in a chain; one of another entry; none before its time
+        "h": ("identifier", "J2"),
+        "i": ("identifier", "J2"),
+        "j": ("identifier_conflict", None),
+        "k": ("out_of_scope", None),
     }
+    assert {r.source_record_id: (r.candidates, r.reasons) for r in matching.identifier_conflicts(matching.match_sources(sources, journals)).collect()} == {
+        "b": (["J2", "J3"], ["identifier_conflict"]),
+        "j": (["J1"], ["y"]),
+    }
+    later = matching.match_sources(sources, journals, index_order=["X", "Y", "Z"], order=["source_line"]).collect()
+    assert {r.source_record_id: r.journal_id for r in later}["k"] == "J2"
+    assert matching.match_sources(sources.limit(0), journals).count() == 0
+
+
+def sequential(rows_, owners, titles):
+    """The cascade, row by row."""
+    owners = {k: list(v) for k, v in owners.items()}
+    out = {}
+    for rid, title, ids in rows_:
+        known = [i for i in dict.fromkeys(ids) if i in owners]
+        j = titles.get(title)
+        if known:
+            j = owners[known[0]][0] if len(owners[known[0]]) == 1 else None
+        if j is not None and any(j not in owners[i] for i in known):
+            j = None
+        if j is not None:
+            for i in ids:
+                owners.setdefault(i, []) if i not in owners else None
+                if j not in owners[i]:
+                    owners[i].append(j)
+        out[rid] = j
+    return out
+
+
+def test_matching_in_order_against_a_plain_walk(spark):
+    rng = random.Random(1)
+    journals = [(f"J{i}", f"T{i}", None, [f"o{i}", f"o{i % 3}"], None, None, 1) for i in range(6)]
+    data = [(f"r{i:03d}", "X", f"T{rng.randint(0, 12)}", [f"n{rng.randint(0, 40)}" if rng.random() < 0.8 else f"o{rng.randint(0, 6)}" for _ in range(rng.randint(0, 3))], None, i) for i in range(70)]
+    owners = {}
+    for j in journals:
+        for i in dict.fromkeys(j[3]):
+            owners.setdefault(i, []).append(j[0])
+    got = {r.source_record_id: r.journal_id for r in matching.match_sources(spark.createDataFrame(data, SOURCE), spark.createDataFrame(journals, CATALOG)).collect()}
+    assert got == sequential([(d[0], d[2], d[3]) for d in data], owners, {f"T{i}": f"J{i}" for i in range(6)})
+
+
+def test_aliases_of_sources(spark):
+    journals = spark.createDataFrame([("J1", "Alpha", None, None, None, None, 1), ("J2", "Beta", None, None, None, None, 1)], CATALOG)
+    fixed = spark.createDataFrame([("Old A", "J1"), ("Old B", "J2")], "alias string, journal_id string")
+    src = spark.createDataFrame([("P", 1, "a", "ALPHA", ["old b", "Older"]), ("P", 2, "b", "beta", ["Older"]), ("Q", 3, "c", "none", ["zz"])], "index_name string, source_line int, source_record_id string, formal_title string, aliases array<string>")
+    got = matching.aliases_of_sources(fixed, journals, src, "P", wanted=3)
+    assert rows(got.select("key", "journal_id", "origin")) == [("old a", "J1", "fixed"), ("old b", "J1", "source"), ("older", "J2", "source")]
+    with pytest.raises(ValueError):
+        matching.aliases_of_sources(fixed, journals, src, "P", wanted=26)
+    with pytest.raises(Exception, match="aliases of no entry"):
+        matching.aliases_of_sources(fixed, journals, src, "Q").collect()
 
 
 def test_audit_products(spark, pair):
     journals, sources = pair
+    journals = journals.withColumn("source_catalogs", F.array(F.lit("X")))
+    sources = sources.select("*", F.lit("v").alias("index_version"), F.lit("f").alias("source_file"), F.col("formal_title").alias("source_title"), F.array(F.lit("s"), "index_name").alias("subject_categories"))
     audit = matching.match_sources(sources, journals)
-    assert {r.index_name: (r.total, r.matched, r.ambiguous) for r in matching.match_counts(audit).collect()} == {"X": (2, 1, 1), "Y": (3, 2, 1), "Z": (2, 1, 0)}
-    assert rows(matching.pairwise_intersections(audit)) == [("X", "Y", 1), ("X", "Z", 0), ("Y", "Z", 0)]
-    expected = spark.createDataFrame([(8, "Y"), (8, "X"), (9, "Z")], "priority_level int, index_name string")
-    assert rows(matching.expected_gaps(journals, audit, expected)) == [("J3", "Z"), ("J4", "X")]
-    bound = {r.journal_id: (r.indexes, r.new_indexes) for r in matching.bind_memberships(audit, sources, journals).collect()}
-    assert bound["J1"] == (["X", "Y"], ["Y"])
-    wrong = audit.withColumn("method", F.lit("formal_title_exact"))
-    assert rows(matching.identifier_conflicts(wrong.filter("source_record_id = 'g'").withColumn("journal_id", F.lit("J1")), sources, journals)) == [("g", "J1", ["J2"])]
+    assert {r.index_name: (r.total, r.matched, r.ambiguous) for r in matching.match_counts(audit).collect()} == {"X": (2, 1, 1), "Y": (3, 2, 1), "Z": (5, 3, 1), "A": (1, 0, 0)}
+    assert rows(matching.pairwise_intersections(audit)) == [("A", "X", 0), ("A", "Y", 0), ("A", "Z", 0), ("X", "Y", 1), ("X", "Z", 0), ("Y", "Z", 0)]
+    expected = spark.createDataFrame([(8, "Y"), (8, "X"), (9, "Z"), (1, "X")], "priority_level int, index_name string")
+    gaps = matching.expected_gaps(journals, audit, expected)
+    assert rows(gaps) == [("J3", "Z"), ("J4", "X")]
+    assert rows(matching.full_audit(audit, gaps).filter("status = 'expected_but_unmatched'").select("source_record_id")) == [("EXPECTED:X:J4",), ("EXPECTED:Z:J3",)]
+    bound = {r.journal_id: (r.records, r.indexes, r.new_indexes, r.categories) for r in matching.bind_memberships(audit, sources, journals).collect()}
+    assert bound["J1"] == (2, ["X", "Y"], ["Y"], {"X": ["s", "X"], "Y": ["s", "Y"]}) and bound["J2"] == (3, ["Z"], ["Z"], {"Z": ["s", "Z"]})
+    new = {r.source_record_id: r.new_index for r in matching.memberships(audit, sources.union(sources), journals).collect()}
+    assert new == {"a": False, "c": True, "d": False, "g": True, "h": False, "i": False}
 
 
 PAPER = """paper_id long, title string, journal_raw string, publication_year int, authors array<string>, publication_date string, citations int, downloads int,
@@ -191,10 +255,16 @@ def test_expressions(spark):
 
 
 def test_plan_token_changes_with_any_part(spark):
-    df = spark.createDataFrame([("g", 1, "e1", 50, "TI"), ("g", 2, "e2", 50, "TI")], "g string, index int, expression string, page_size int, topic_field string")
+    df = spark.createDataFrame([("g", 1, "e1"), ("g", 2, "e2")], "g string, index int, expression string").select("*", *expressions.identity("TI", "s", "v1", ("P", "p")))
     one = expressions.plan_token(df, ["g"]).first().token
     assert one == expressions.plan_token(df.repartition(3), ["g"]).first().token
-    assert one != expressions.plan_token(df.withColumn("page_size", F.lit(20)), ["g"]).first().token
+    for part, other in (("page_size", F.lit(20)), ("scope_id", F.lit("t")), ("catalog_version", F.lit("v2")), ("topic_field", F.lit("SU")), ("source_category", F.lit(None).cast(df.schema["source_category"].dataType)), ("expression", F.lit("x"))):
+        assert one != expressions.plan_token(df.withColumn(part, other), ["g"]).first().token, part
+    mine = expressions.user_plan(spark, "SU %= 'a' AND LY='b'").first()
+    assert (mine.index, mine.total, mine.journals, mine.expression) == (1, 1, [], "SU %= 'a' AND LY='b'")
+    for bad in ("YE=2000 AND TI='x'", "plain"):
+        with pytest.raises(ValueError):
+            expressions.user_plan(spark, bad)
 
 
 def test_scheduler(spark):
@@ -220,21 +290,68 @@ def test_gate_and_cache(spark):
 
 
 def test_storable_text(spark):
-    values = ["plain text", "see https://x.org", r"C:\temp\x", "<b>bold</b>", "TI %= 'x'", "a\u200bb", "", None]
+    kept = {"plain text": "plain", "a\u200bb": "ab", "": "", "see www.a.org": "see w", "file:x": "file:", "q:r": "q:r", "a < b": "a < b", "abcd  e": "abcd"}
+    gone = ["see https://x.org", r"C:\temp\x", "c:/x", "<b>bold</b>", "a < b > c", "ly=abc", "su %= wetland", "Ye Between 1 and 2", "my cookie is", "~/x", "$HOME/x", "${home}/x", "%USERPROFILE%", "file:/etc/x", "F ile : c:/x", "/etc", "\\\\host", None]
+    values = [*kept, *gone]
     df = spark.createDataFrame(list(enumerate(values)), "i int, v string").select("i", control.storable_text(F.col("v"), 5).alias("o")).orderBy("i")
-    assert [r.o for r in df.collect()] == ["plain", None, None, None, None, "ab", None, None]
+    assert [r.o for r in df.collect()] == [*kept.values(), *[None] * len(gone)]
+
+
+def test_batches_of_a_checkpoint(spark):
+    one = dict(title="T", journal_raw="J", publication_date="2020", document_type="期刊", source_database="CNKI", authors=["A"], publication_year=2020, citations=1, downloads=None, result_rank=0, is_online_first=False, formal=True)
+    wrong = [dict(title="~/x"), dict(authors=["/x"]), dict(authors=None), dict(authors=["a", None]), dict(citations=-1), dict(result_rank=None), dict(document_type="图书"), dict(formal=False), dict(publication_year=1800), dict(is_online_first=None), dict(publication_date=None)]
+    fine = [{}, dict(publication_year=None, formal=False), dict(title="", formal=False)]
+    schema = "batch int, title string, journal_raw string, publication_date string, document_type string, source_database string, authors array<string>, publication_year int, citations int, downloads int, result_rank int, is_online_first boolean, formal boolean"
+    names = [x.split()[0] for x in schema.split(", ")]
+    records = spark.createDataFrame([tuple((dict(batch=i) | one | x)[n] for n in names) for i, x in enumerate(wrong + fine)] + [tuple((dict(batch=0) | one)[n] for n in names)], schema)
+    n = len(wrong + fine)
+    results = [(i, "success", 5, 0) for i in range(n)] + [(90, "no_results", 0, 0), (91, "no_results", 1, 0), (92, "success", 1, 2), (93, "forbidden", 0, 0), (94, "success", None, 0)]
+    got = control.valid_batches(spark.createDataFrame(results, "batch int, status string, total_rows int, excluded int"), records, ["batch"], as_of_year=2026)
+    assert sorted(r.batch for r in got.collect()) == [*range(len(wrong), n), 90]
 
 
 def test_checks(spark):
     df = spark.createDataFrame([(2, "b", None), (1, "a\"é", [1])], "id int, s string, l array<int>")
-    cols = {c: F.col(c) for c in df.columns}
-    assert [r[0] for r in df.select(checks.canonical_json(cols)).collect()] == ['{"id":2,"l":null,"s":"b"}', '{"id":1,"l":[1],"s":"a\\"é"}']
-    one = checks.table_hash(df, "id", cols).first()
-    assert one == checks.table_hash(df.orderBy("id").repartition(3), "id", cols).first()
-    assert one.hash != checks.table_hash(df.withColumn("s", F.lit("c")), "id", cols).first().hash
+    assert [r[0] for r in df.select(checks.canonical_json(df.schema, df.columns)).collect()] == ['{"id":2,"l":null,"s":"b"}', '{"id":1,"l":[1],"s":"a\\"é"}']
+    deep = spark.sql("select named_struct('b', array(named_struct('z', 1, 'a', map('y', 2, 'x', null))), 'a', cast(null as struct<q:int,p:int>)) as v")
+    assert deep.select(checks.canonical_json(deep.schema, ["v"])).first()[0] == '{"v":{"a":null,"b":[{"a":{"x":null,"y":2},"z":1}]}}'
+    one = checks.table_hash(df, "id").first()
+    assert one == checks.table_hash(df.orderBy("id").repartition(3), "id").first()
+    assert one.hash != checks.table_hash(df.withColumn("s", F.lit("c")), "id").first().hash
     with pytest.raises(ValueError):
         checks.reject_floats(spark.createDataFrame([(1.0,)], "x double"))
     assert checks.same_rows(df, df.repartition(2)) and not checks.same_rows(df, df.union(df))
+    journals = spark.createDataFrame([("a", ["e1"], ["e3"]), ("b", None, ["e2"])], "journal_id string, evidence_ids array<string>, formal_title_evidence_ids array<string>")
+    evidence, files = spark.createDataFrame([("e1",), ("e1",), ("e2",)], "evidence_id string"), spark.createDataFrame([("f",), ("g",)], "filename string")
+    assert {r.check: r.failures for r in checks.bundle_checks(journals, evidence, files).collect()} == {"wrong_artifacts": 5, "repeated_artifacts": 0, "repeated_evidence": 1, "unknown_evidence": 1}
+
+
+def test_scope_sizes(spark):
+    found = spark.createDataFrame([("a", "1"), ("a", "2"), ("b", "1")], "scope_id string, journal_id string")
+    assert rows(catalog.wrong_scope_sizes(found, {"a": 2, "b": 2, "c": 1})) == [("b", 1, 2), ("c", 0, 1)]
+
+
+def test_cache_parts_and_results_that_are_not_stored(spark):
+    rng = random.Random(6)
+    data = [(i, rng.choice("ab"), rng.choice([0, 5_000]) + rng.randint(0, 300) * rng.choice([1, 7]), rng.random() < 0.7) for i in range(600)]
+    df = spark.createDataFrame(data, "i int, k string, s long, ok boolean").withColumn("t", F.timestamp_seconds("s"))
+    got = {r.ident: r.hit for r in control.cache_hits(df, ["k"], "i", "t", seconds=60, storable="ok").collect()}
+    stored, wanted = {}, {}
+    for i, k, s, ok in sorted(data, key=lambda d: (d[2], d[0])):
+        wanted[i] = k in stored and s < stored[k] + 60
+        if not wanted[i]:
+            stored.pop(k, None)
+            if ok:
+                stored[k] = s
+    assert got == wanted
+
+
+def test_resumed_runs_and_limits(spark):
+    log = [(1, 2, 1, "success"), (1, 3, 1, "challenge"), (1, 3, 2, "success"), (1, 4, 1, "success"), (2, 1, 1, "no_results"), (2, 2, 1, "forbidden"), (2, 3, 1, "success")]
+    df = spark.createDataFrame(log, "run int, batch int, attempt int, status string")
+    kept, stops = spark.createDataFrame([(1, 1)], "run int, batch int"), spark.createDataFrame([(1, 3), (1, 4), (2, 1), (2, 3)], "run int, batch int")
+    got = {r.run: tuple(r)[1:] for r in control.run_outcomes(df, ["run"], kept, stops).collect()}
+    assert got == {1: (3, 4, None, None, True, True), 2: (1, 3, 2, "forbidden", False, False)}
 
 
 def test_hot_keys_join_without_shuffling_them(spark):
@@ -283,20 +400,21 @@ def test_bounded_cache_against_a_plain_one(spark):
 class _Session:
     """A session as far as the scratch folder asks."""
 
-    def __init__(self, named, app="a1"):
+    def __init__(self, named, master="local[2]"):
         self.conf = {"spark.checkpoint.dir": named} if named else {}
         self.sparkContext = self
-        self.applicationId = app
+        self.master = master
 
     def getCheckpointDir(self):
         return None
 
 
-def test_scratch_goes_where_the_session_says(spark, monkeypatch):
-    monkeypatch.setattr(common, "_own_dirs", {})
-    assert common.scratch_dir(_Session("hdfs://x/y")) == "hdfs://x/y" and not common._own_dirs
-    own = common.scratch_dir(_Session(None))
-    assert own == common.scratch_dir(_Session(None)) != common.scratch_dir(_Session(None, "a2")) and os.path.isdir(own)
-    common._remove_own_dirs()
-    assert not os.path.exists(own)
-    assert common.materialize(spark.range(5)).count() == 5
+def test_scratch_goes_where_the_session_says(spark):
+    assert common.scratch_dir(_Session("hdfs://x/y")) == "hdfs://x/y"
+    assert os.path.isdir(common.scratch_dir(_Session(None)))
+    with pytest.raises(ValueError):
+        common.scratch_dir(_Session(None, "spark://host:7077"))
+    written = common.materialize(spark.range(5))
+    assert written.count() == 5 and os.path.isdir(written._scratch_path)
+    common.release(written)
+    assert not os.path.exists(written._scratch_path)

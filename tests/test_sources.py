@@ -32,9 +32,12 @@ def test_bullets_and_numbers(spark):
 
 
 def test_bold_spans(spark):
-    t = lines.lines(texts(spark, "# PINNED\n* **A** and **系列 B**\n# REST\n* **C**"))
+    t = lines.lines(texts(spark, "# PINNED\n* **A** and **系列 B**\n\n  * No bold (NB)\n**Not a bullet**\n*neither*\n# REST\n* **C (CC)**\n# PINNED\n* **D**"))
     got = lines.bold_spans(t, "PINNED", "REST", ["系列"])
-    assert rows(got.select("title", "internal_rank")) == [("A", 1), ("C", 2)]
+    assert rows(got.select("title", "internal_rank")) == [("A", 1), ("C", 2), ("D", 2), ("No bold", 1)]
+    for bad in ("# REST\n* **A**\n# PINNED", "# PINNED\n* **A**", "nothing"):
+        with pytest.raises(Exception, match="no pinned region"):
+            lines.bold_spans(lines.lines(texts(spark, bad)), "PINNED", "REST", []).collect()
 
 
 def test_tables(spark):
@@ -53,7 +56,7 @@ def test_tables(spark):
 
 
 def test_codes_reset_at_headings(spark):
-    t = lines.lines(texts(spark, "### H1\n**编号：X1**\n| a | b |\n|---|---|\n| 1 | 2 |\n### H2\n| a | b |\n|---|---|\n| 3 | 4 |"))
+    t = lines.lines(texts(spark, "### H1\n分类代码：`X1`。\n| a | b |\n|---|---|\n| 1 | 2 |\n### H2\n| a | b |\n|---|---|\n| 3 | 4 |"))
     got = {r["values"]["a"]: (r.heading, r.code) for r in lines.coded_tables(t, ["a"]).collect()}
     assert got == {"1": ("H1", "X1"), "3": ("H2", None)}
 
@@ -76,22 +79,54 @@ def test_read_texts_and_locate(spark, tmp_path):
 
 def test_index_csv(spark, tmp_path):
     p = tmp_path / "i.csv"
-    head = ",".join(files.INDEX_COLUMNS)
-    p.write_text(head + '\n"A, one",1111-1111,,P,"line\none",EN,X | Y\nB,,2222-2222,P,Q,EN,Z\n')
+    head = ",".join(reversed(files.INDEX_COLUMNS))
+    p.write_text("\ufeff" + head + '\nX | Y,EN,"line\none",P,,1111-1111,"A, one"\nZ,EN,Q,P,2222-2222,, b \n,,,,,,Wiley Interdisciplinary Reviews-Water\n')
     titles = spark.createDataFrame([("b", "Bee")], "key string, title string")
-    got = files.read_index_csv(spark, str(p), "SSCI", titles).orderBy("source_record_id").collect()
-    assert [(r.source_record_id, r.formal_title, r.issn, r.eissn, r.subject_categories) for r in got] == [
-        ("SSCI:00001", "A, one", ["1111-1111"], [], ["X", "Y"]),
-        ("SSCI:00002", "Bee", [], ["2222-2222"], ["Z"]),
+    got = files.read_index_csv(spark, str(p), "SSCI", "v", titles).orderBy("source_record_id").collect()
+    assert [(r.source_record_id, r.source_line, r.source_title, r.formal_title, r.issn, r.eissn, r.subject_categories) for r in got] == [
+        ("SSCI:00001", 3, "A, one", "A, one", ["1111-1111"], [], ["X", "Y"]),
+        ("SSCI:00002", 4, "b", "Bee", [], ["2222-2222"], ["Z"]),
+        ("SSCI:00003", 5, "Wiley Interdisciplinary Reviews-Water", "WIREs Water", [], [], []),
     ]
-    p.write_text("a,b\n1,2\n")
+    for bad in ("a,b\n1,2\n", head + ",more\n", head + "\n,,,,,,  \n"):
+        p.write_text(bad)
+        with pytest.raises(Exception, match="other columns|no title"):
+            files.read_index_csv(spark, str(p), "SSCI").collect()
+
+
+def test_lists_with_classes(spark):
+    t = texts(spark, "| 序号 | 期刊名称 | 学科名称 |\n|---|---|---|\n| 7 | 甲刊 | 法学 |")
+    assert rows(lines.read_list(t).select("source_record_id", "source_line", "formal_title", "subject_categories")) == [("CSSCI:0007", 3, "甲刊", ["法学"])]
     with pytest.raises(ValueError):
-        files.read_index_csv(spark, str(p), "SSCI")
+        lines.read_list(texts(spark, "nothing"))
+    table = "| 顺序 | 原目录序号 | 期刊名称 | 备注 |\n|---|---|---|---|\n"
+    t = texts(spark, f"### H1\n分类代码：`X1`。\n{table}| 1 | 12 | 甲刊 | 原刊名：乙，丙 |\n### H2\n{table}| 2 | 13 | 丁刊 | 说明 |")
+    got = lines.read_classed_list(t, "natural").select("source_record_id", "source_line", "aliases", "subject_categories")
+    assert rows(got) == [("PKU_CORE:natural:0012", 5, ["乙，丙"], ["H1", "X1"]), ("PKU_CORE:natural:0013", 9, [], ["H2"])]
+    with pytest.raises(Exception, match="no heading"):
+        lines.read_classed_list(texts(spark, f"{table}| 1 | 2 | 甲 | |"), "n").collect()
+
+
+def test_baseline(spark):
+    one = "### L1\n| 序号 | 期刊名称 | 环境细分领域 | 正式证据 |\n|---|---|---|---|\n| 1 | Nature<br>内部顺序：2 | 水<br>— | 甲<br>乙 |\n| 2 | Science | — | |\n"
+    two = "### L2\n| 序号 | 期刊ID | 基线题名 | 正式题名 |\n|---|---|---|---|\n| 1 | ENVJ-000009 | Cell | Cell!\u0020|\n"
+    whole = f"# x\n| 序号 | 期刊名称 |\n|---|---|\n| 1 | no |\n## 四、十二级主目录\n{one}{two}## 附录一：x\n### L1\n"
+    got = lines.read_baseline(texts(spark, whole), ["L1", "L2"], {"乙": "E2"}).orderBy("ordinal")
+    assert [tuple(r)[1:] for r in got.collect()] == [
+        (1, "ENVJ-000001", "Nature", 1, 2, ["水"], ["甲", "乙"], ["E2"]),
+        (2, "ENVJ-000002", "Science", 1, None, [], [], []),
+        (3, "ENVJ-000009", "Cell", 2, None, [], [], []),
+    ]
+    for bad, why in ((whole.replace("L2", "L9"), "unknown level"), (whole.replace(two, ""), "one for each level"), (whole.replace("## 附录一：x", ""), "no main directory"), (whole.replace("Science", "Nature"), "repeated"), (whole.replace("| 基线题名", "| 期刊名称"), "no baseline titles")):
+        with pytest.raises(Exception, match=why):
+            lines.read_baseline(texts(spark, bad), ["L1", "L2"]).collect()
 
 
 @pytest.fixture()
 def json_catalog(tmp_path):
-    one = {"journal_id": "J1", "formal_title": "Alpha", "aliases": ["Al"], "priority_level": 1, "priority_group": "level_01", "index_memberships": ["X"]}
+    lists = "formal_title_evidence_ids issn eissn environment_subfields subject_categories formal_evidence evidence_ids source_memberships source_catalogs review_reasons".split()
+    one = {x: [] for x in lists} | {x: {} for x in ("priority_decision", "index_subject_categories", "cnki_routing")} | {x: "1" for x in ("catalog_version", "catalog_date", "revision_date")}
+    one |= {"journal_id": "J1", "formal_title": "Alpha", "aliases": ["Al"], "priority_level": 1, "priority_group": "level_01", "index_memberships": ["X"], "manual_review_required": False}
     p = tmp_path / "c.json"
     p.write_text(json.dumps({"journals": [one, one | {"journal_id": "J2", "formal_title": "Beta|x"}]}, indent=1))
     return p
@@ -106,9 +141,11 @@ def test_json_catalog_and_outputs(spark, json_catalog, tmp_path):
     assert [json.loads(r.value)["journal_id"] for r in spark.read.text(str(tmp_path / "out")).collect()] == ["J1", "J2"]
     snap = files.snapshot(spark, [str(json_catalog)])
     assert files.different_files(snap, snap).count() == 0
-    json_catalog.write_text(json_catalog.read_text().replace('"priority_level": 1', '"priority_level": "x"'))
-    with pytest.raises(Exception):
-        files.read_catalog_json(spark, str(json_catalog)).collect()
+    good = json_catalog.read_text()
+    for old, new in (('"priority_level": 1', '"priority_level": "x"'), ('"review_reasons": []', '"review_reasons": null'), ('"cnki_routing"', '"other"')):
+        json_catalog.write_text(good.replace(old, new))
+        with pytest.raises(Exception):
+            files.read_catalog_json(spark, str(json_catalog)).collect()
 
 
 def test_command_line(spark, json_catalog, capsys):
@@ -139,6 +176,10 @@ PAGE = """<table class="result-table-list"><tr><td class="seq">1</td><td class="
 def test_pages(spark):
     assert pages.read_page("<p>nothing</p>") == ("empty", [])
     assert pages.read_page(None) == ("empty", [])
+    layout = "<table><tr><td><table class='x result-table-list'><tr><td class='name'><a>In</a> out <a>side</a><td class='name'></td><td class='data'>期刊</table></td></tr></table>"
+    assert pages.read_page(layout)[0] == "table_without_rows"  # a last row that nothing ends
+    again = layout + "<table class='result-table-list'><tr><td class='source'><a>J</a></td></tr></table>"
+    assert [(r["title"], r["journal"], r["document_type"]) for r in pages.read_page(again)[1]] == [("", "", "期刊"), ("", "J", "")]
     assert pages.read_page("题名 来源")[0] == "heading_without_table"
     assert pages.read_page('<table class="result-table-list"></table>')[0] == "table_without_rows"
     df = spark.createDataFrame([(1, PAGE), (2, None)], "page_id int, html string")
