@@ -156,9 +156,12 @@ def p8_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _mixed(spark: SparkSession, sf_dir: str, keep: list[str]) -> tuple[DataFrame, DataFrame]:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", *keep, encode.counter(spark)("text").alias("tokens"))
+    docs = table(spark, sf_dir, "documents")
+    sized = docs.select("doc_id", "source", encode.counter(spark)("text").alias("tokens"))
+    # a text that is there and not empty has a token
+    content = docs.filter(F.length("text") > 0) if keep else None
     targets = table(spark, sf_dir, "mix_targets")
-    return mixing.mix(docs, targets, key="doc_id", source="source", size="tokens", weight="target_weight", cap="max_repeats", keep=keep)
+    return mixing.mix(sized, targets, key="doc_id", source="source", size="tokens", weight="target_weight", cap="max_repeats", content=content, keep=keep)
 
 
 def p9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -380,12 +380,40 @@ def test_no_bucket_passes_over_a_better_paper(spark, tmp_path):
 # mixing
 
 
+def test_tails_of_poisson_numbers():
+    import math
+
+    for mean in (1e-9, 0.3, 1.0, 5.5, 300.0):
+        got = mixing.tails(mean, 12)
+        assert abs(got[0] / -math.expm1(-mean) - 1) < 1e-12 and all(a >= b >= 0 for a, b in zip(got, got[1:]))
+        assert abs(sum(mixing.tails(mean, int(mean * 3) + 60)) / mean - 1) < 1e-9  # the mean is the sum of the tails
+    assert mixing.tails(0.0, 2) == [0.0, 0.0]
+
+
+def _even(supply):
+    sizes = mixing.Sizes(supply * mixing.STEPS)
+    sizes.refine(0.0, 1.0, dict.fromkeys(range(mixing.STEPS), supply))
+    return sizes
+
+
 def test_means_beyond_200_meet_their_targets():
-    by_step = {step: 3 for step in range(0, mixing.STEPS, 2)}
-    supply = sum(by_step.values())
-    for cap, repeats in ((500, 350), (2000, 1500), (2000, 2000), (5, 5), (5, 2)):
-        mean = mixing.calibrated_mean(by_step, cap, supply * repeats)
-        assert abs(mixing._size(by_step, mean, cap) / supply / repeats - 1) < 0.01
+    sizes = _even(3)
+    supply = 3 * mixing.STEPS
+    for cap, repeats in ((500, 350), (2000, 1500), (2000, 2000), (5, 5), (5, 2), (5, 1e-5)):
+        mean = mixing.calibrated_mean(sizes, cap, supply * repeats)
+        assert abs(sizes.guess(mean, cap) / supply / repeats - 1) < 0.01
+
+
+@pytest.mark.parametrize("share", [1e-4, 1e-3, 0.3, 1.7])
+def test_small_targets_are_met(spark, share):
+    """Targets far below a step of the first histogram come out to the size of a document."""
+    docs = spark.range(300_000).select("id", F.lit("a").alias("s"), (F.col("id") % 7 + 1).alias("n"))
+    targets = spark.createDataFrame([("a", 1.0, 3)], "s string, w double, c int")
+    total = 1_200_000 * share
+    mixture, report = mixing.mix(docs, targets, key="id", source="s", size="n", weight="w", cap="c", total=total)
+    r = report.first()
+    assert abs(r.used / total - 1) < 0.01 + 8 / total
+    assert mixture.join(docs, "id").agg(F.sum("n")).first()[0] == r.used
 
 
 # all queries

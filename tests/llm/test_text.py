@@ -125,7 +125,8 @@ def test_shares_meet_their_targets(spark):
     assert got["none"].used == got["none"].docs == 0
     per = mixture.groupBy("source", "id").agg(F.count("*").alias("k")).groupBy("source").agg(F.max("k").alias("k"))
     assert all(r.k <= {"a": 1, "b": 2, "c": 4}[r.source] for r in per.collect())
-    assert sum(r["size"] for r in mixture.collect()) == sum(r.used for r in got.values())
+    size = {d[0]: d[2] for d in docs}
+    assert sum(size[r.id] for r in mixture.collect()) == sum(r.used for r in got.values())
     places = [r.place for r in mixture.collect()]
     assert places == sorted(places)
     sources = [r.source for r in mixture.limit(200).collect()]
@@ -133,8 +134,8 @@ def test_shares_meet_their_targets(spark):
 
 
 def test_copies_follow_the_distribution():
-    limits = mixing.thresholds(1.5, 6)
-    counts = np.bincount([sum((s + 0.5) / mixing.STEPS > t for t in limits) for s in range(mixing.STEPS)], minlength=7) / mixing.STEPS
+    limits = mixing.tails(1.5, 6)
+    counts = np.bincount([sum((i + 0.5) / 4096 < t for t in limits) for i in range(4096)], minlength=7) / 4096
     wanted = [np.exp(-1.5) * 1.5**k / np.prod(range(1, k + 1)) for k in range(6)]
     assert np.abs(counts[:6] - wanted).max() < 1e-3
 
@@ -142,7 +143,7 @@ def test_copies_follow_the_distribution():
 def test_mixture_edges(spark):
     docs = [(1, None, 5, "x"), (2, "a", None, "x"), (3, "a", 0, "x"), (None, "a", 5, "x"), (4, "a", 5, "x"), (4, "a", 5, "x"), (5, "z", 5, "x")]
     mixture, report = mixed(spark, docs, [("a", 1.0, 2), ("a", 1.0, 9), (None, 0.5, 1)], keep=["size"])
-    assert {r.id for r in mixture.collect()} == {4} and mixture.count() == 4 and mixture.columns.count("size") == 2
+    assert {r.id for r in mixture.collect()} == {4} and mixture.count() == 4 and mixture.columns[-1] == "size"
     assert rows(report.select("source", "used", "share")) == [("a", 20, 1.0)]
     empty, report = mixed(spark, [(1, "a", 1, "x")], [("b", 1.0, 1)])
     assert empty.count() == 0 and rows(report.select("source", "share")) == [("b", 0.0)]
