@@ -1,44 +1,39 @@
 """Best representative of each duplicate group: Bayesian fusion of claims with copy detection.
 
-Records of a group claim values of fields. Records come through a bounded number of channels (the
-sources). Rounds of estimation give each source an accuracy and each pair of sources a probability
-that one copies the other, which shared false values raise and differing values lower; the votes of
-a likely copier are discounted. To the votes come prior odds of a value for being the latest, from
-a trusted record and complete. The value of the greatest posterior survives, with the best of the
-records that hold it. Nothing collects a group: all steps are aggregates that combine in part
-before a shuffle, and joins that broadcast what belongs to hot groups.
+Records of a group claim values of fields. Records come through channels (the sources). Rounds of
+estimation give each source an accuracy and each pair of sources a probability that one copies the
+other, which shared false values raise and differing values lower; the votes of a likely copier are
+discounted. To the votes come the prior odds of a value for how many of three criteria its best
+record meets: latest, from a trusted record, complete. How much that says is learned in the same
+rounds, from how often values meet them that are held for true and for false. The value of the
+greatest posterior survives, with the best of the records that hold it.
+
+A vote depends only on the set of sources that claim a value. So the large tables are reduced to one
+row for each set of sources (and number of criteria met), and all that is learned comes from that
+small table, as DataFrames keyed by source and by pair of sources; no source is pooled with others.
+Nothing collects a group: hot groups are summed in parts, all others meet in one shuffle a round.
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from bibliolake.common import join_by_counted_key, materialize
+from bibliolake.common import HOT_PARTS, join_by_counted_key, materialize, release
+from bibliolake.operators.catalog import small
 
-#: At most so many sources are told apart: the largest ones, and one that pools the rest.
-MOST_SOURCES = 48
-#: Prior log odds of a value for each of: latest, trusted, complete.
-PRIOR = 6.0
-#: The votes for a value saturate here, below the prior odds of one criterion: agreement decides
-#: between values that meet the criteria alike, it does not outvote a value that meets them all.
-VOTES_SATURATE = 5.0
 #: Rounds of estimation, a copier's share of copied values, prior probability of copying, number
 #: of false values that a field is assumed to have.
 ROUNDS, COPY_RATE, COPY_PRIOR, FALSE_VALUES = 2, 0.8, 0.1, 10
-START_ACCURACY = 0.8
-
-
-@dataclass(frozen=True)
-class Sources:
-    """What is known of the sources: names, accuracies and the matrix of copying probabilities."""
-
-    names: list[str]
-    accuracy: list[float]
-    copying: list[list[float]]
+#: What is believed before any round, and as how many values it counts: a source's accuracy; how often
+#: a true and how often a false value meets 0, 1, 2 and 3 of the criteria.
+START_ACCURACY, BELIEF = 0.8, 5.0
+START_MET = [(0.002, 0.08), (0.008, 0.32), (0.04, 0.5), (0.95, 0.1)]
+#: Log odds beyond this are all the same: exp must not overflow.
+MOST_SCORE = 600.0
 
 
 def _trimmed(x: Column) -> Column:
@@ -78,80 +73,68 @@ def claims_of(
     return joined.select("g", "_cell.field", "_cell.value", "_cell.entries", "record", "at", "trusted", "source").distinct()
 
 
-def _constant(values: list[float]) -> Column:
-    """An array of doubles that the optimizer folds into one literal."""
-    return F.split(F.lit(",".join(f"{v:.12g}" for v in values)), ",").cast("array<double>")
+def _pairs(codes: str) -> Column:
+    """All pairs of two entries of a sorted list, the smaller first."""
+    return F.flatten(F.transform(codes, lambda a, i: F.transform(F.slice(codes, i + 2, F.size(codes)), lambda b: F.struct(a.alias("a"), b.alias("b")))))
+
+
+def copying(stats: DataFrame, met: DataFrame, accuracy: DataFrame) -> DataFrame:
+    """(a, b, copies): the probability that one of two sources copies the other. stats has one row for
+    each set of sources of values (codes, true, n); met one for each set of sources that claim a field
+    of a group (codes, n). Sharing false values speaks for it, differing against it."""
+    same = stats.filter(F.size("codes") > 1).select("true", "n", F.explode(_pairs("codes")).alias("p")).groupBy("p.a", "p.b").agg(F.sum("true").alias("_true"), F.sum(F.col("n") - F.col("true")).alias("_false"))
+    both = met.filter(F.size("codes") > 1).select("n", F.explode(_pairs("codes")).alias("p")).groupBy("p.a", "p.b").agg(F.sum("n").alias("_both"))
+    known = both.join(same, ["a", "b"], "left").na.fill(0.0, ["_true", "_false"])
+    known = known.join(small(accuracy.select(F.col("source").alias("a"), F.col("accuracy").alias("x"))), "a").join(small(accuracy.select(F.col("source").alias("b"), F.col("accuracy").alias("y"))), "b")
+    x, y, mean = F.col("x"), F.col("y"), (F.col("x") + F.col("y")) / 2
+    t, f = x * y, (1 - x) * (1 - y) / FALSE_VALUES
+    differ = F.greatest(F.col("_both") - F.col("_true") - F.col("_false"), F.lit(0.0))
+    gain = (
+        F.col("_true") * F.log((COPY_RATE * mean + (1 - COPY_RATE) * t) / t)
+        + F.col("_false") * F.log((COPY_RATE * (1 - mean) + (1 - COPY_RATE) * f) / f)
+        + differ * F.log(F.lit(1 - COPY_RATE))
+    )
+    odds = F.lit(COPY_PRIOR / (1 - COPY_PRIOR)) * F.exp(F.greatest(F.least(gain, F.lit(50.0)), F.lit(-50.0)))
+    return known.select("a", "b", (odds / (1 + odds)).alias("copies"))
 
 
-def _vote(codes: str, known: Sources) -> Column:
-    """The votes of the sources of a value: each by its accuracy, less what it may have copied.
+def accuracies(stats: DataFrame) -> DataFrame:
+    """(source, accuracy): the share of a source's values that are held for true."""
+    each = stats.select(F.explode("codes").alias("source"), "true", "n").groupBy("source").agg(F.sum("true").alias("_t"), F.sum("n").alias("_n"))
+    share = (F.col("_t") + START_ACCURACY * BELIEF) / (F.col("_n") + BELIEF)
+    return each.select("source", F.greatest(F.least(share, F.lit(0.95)), F.lit(0.05)).alias("accuracy"))
 
-    Per source: ln(n A / (1 - A)), times the probability that it did not copy from one before it.
-    """
-    n = len(known.names)
-    weight = _constant([math.log(FALSE_VALUES * a / (1 - a)) for a in known.accuracy])
-    apart = _constant([1 - COPY_RATE * known.copying[i][j] for i in range(n) for j in range(n)])
-    single = F.element_at(weight, F.element_at(F.col(codes), 1) + 1)
-
-    def own(code: Column, at: Column) -> Column:
-        before = F.slice(F.col(codes), F.lit(1), at)
-        free = F.aggregate(before, F.lit(1.0), lambda p, other: p * F.element_at(apart, code * n + other + 1))
-        return F.element_at(weight, code + 1) * free
-
-    several = F.aggregate(F.transform(F.col(codes), own), F.lit(0.0), lambda a, b: a + b)
-    votes = F.when(F.size(codes) == 1, single).otherwise(several)
-    return F.lit(VOTES_SATURATE) * F.tanh(votes / VOTES_SATURATE)
-
-
-def _rescored(values: DataFrame, known: Sources) -> DataFrame:
-    scored = values.withColumn("score", _vote("codes", known) + F.lit(PRIOR) * (F.col("good").cast("double")))
-    # a group's normalizer: scores are bounded by 3 PRIOR + VOTES_SATURATE, so exp cannot overflow
-    whole = scored.groupBy("g", "field").agg(F.sum(F.exp("score")).alias("_whole"), F.count(F.lit(1)).alias("_n"))
-    return join_by_counted_key(scored, materialize(whole), ["g", "field"], "_n").withColumn("p", F.exp("score") / F.col("_whole"))
-
-
-def _learn(posterior: DataFrame, names: list[str]) -> Sources:
-    """Accuracies and copying from posteriors. Only sums per source and per pair of sources, at most
-    MOST_SOURCES of them, reach the driver."""
-    n = len(names)
-    right, total = [0.0] * n, [0.0] * n
-    for code, p, count in posterior.select(F.explode("codes").alias("c"), "p").groupBy("c").agg(F.sum("p"), F.count(F.lit(1))).collect():
-        right[code], total[code] = p, count
-    accuracy = [min(max((right[i] + START_ACCURACY * 5) / (total[i] + 5), 0.05), 0.95) for i in range(n)]
-
-    def pairs(df: DataFrame, *carried: str) -> DataFrame:
-        left = df.filter(F.size("codes") > 1).select("codes", *carried, F.posexplode("codes").alias("_i", "a"))
-        return left.select("a", *carried, F.explode(F.expr("slice(codes, _i + 2, size(codes))")).alias("b"))
-
-    same = {(r[0], r[1]): (r[2], r[3]) for r in pairs(posterior, "p").groupBy("a", "b").agg(F.sum("p"), F.sum(1 - F.col("p"))).collect()}
-    # both claim the field of the group: the set of a group's sources is bounded
-    met = posterior.select("g", "field", F.explode("codes").alias("c")).groupBy("g", "field").agg(F.array_sort(F.collect_set("c")).alias("codes"))
-    both = {(r[0], r[1]): r[2] for r in pairs(met).groupBy("a", "b").agg(F.count(F.lit(1))).collect()}
-    copying = [[0.0] * n for _ in range(n)]
-    for (a, b), count in both.items():
-        true, false = same.get((a, b), (0.0, 0.0))
-        differ = max(count - true - false, 0.0)
-        x, y = accuracy[a], accuracy[b]
-        mean = (x + y) / 2
-        t, f = x * y, (1 - x) * (1 - y) / FALSE_VALUES
-        gain = (
-            true * math.log((COPY_RATE * mean + (1 - COPY_RATE) * t) / t)
-            + false * math.log((COPY_RATE * (1 - mean) + (1 - COPY_RATE) * f) / f)
-            + differ * math.log(1 - COPY_RATE)
-        )
-        odds = math.log(COPY_PRIOR / (1 - COPY_PRIOR)) + max(min(gain, 50.0), -50.0)
-        copying[a][b] = copying[b][a] = 1 / (1 + math.exp(-odds))
-    return Sources(names, accuracy, copying)
+
+def votes(profiles: DataFrame, accuracy: DataFrame, copied: DataFrame) -> DataFrame:
+    """(codes, votes): the log odds that a set of sources gives a value: of each source ln(n A / (1 - A)),
+    times the probability that it copied from none of those before it, the most accurate first."""
+    each = profiles.select("codes", F.explode("codes").alias("source")).join(small(accuracy), "source")
+    weight = F.log(F.lit(FALSE_VALUES) * F.col("accuracy") / (1 - F.col("accuracy")))
+    each = each.select("codes", F.struct((-F.col("accuracy")).alias("o"), "source").alias("s"), weight.alias("w"))
+    sets = each.groupBy("codes").agg(F.array_sort(F.collect_list("s")).alias("order"))
+    before = sets.select("codes", F.posexplode("order").alias("_i", "s"), "order").select("codes", "s", F.explode_outer(F.expr("slice(order, 1, _i)")).alias("e"))
+    pair = before.select("codes", "s", F.least("s.source", "e.source").alias("a"), F.greatest("s.source", "e.source").alias("b"), F.col("e").isNotNull().alias("_pair"))
+    free = pair.join(small(copied), ["a", "b"], "left").groupBy("codes", "s").agg(F.exp(F.sum(F.when(F.col("_pair"), F.log1p(-COPY_RATE * F.coalesce("copies", F.lit(0.0)))).otherwise(F.lit(0.0)))).alias("free"))
+    return each.join(free, ["codes", "s"]).groupBy("codes").agg(F.sum(F.col("w") * F.col("free")).alias("votes"))
 
 
-def _coded(claims: DataFrame) -> tuple[DataFrame, list[str]]:
-    """claims with small integers for the sources; only the largest MOST_SOURCES - 1 keep their own."""
-    top = claims.groupBy("source").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "source").limit(MOST_SOURCES - 1).collect()
-    names = [r[0] for r in top]
-    spark = claims.sparkSession
-    codes = F.broadcast(spark.createDataFrame([(s, i) for i, s in enumerate(names)], "_source string, _code int"))
-    coded = claims.join(codes, F.col("source").eqNullSafe(F.col("_source")), "left")
-    return coded.withColumn("code", F.coalesce("_code", F.lit(len(names)))).drop("_source", "_code"), [*names, "(others)"]
+def criteria(stats: DataFrame) -> list[float]:
+    """The log odds for 0 .. 3 criteria met, of four sums over all values."""
+    met = {r[0]: (r[1], r[2]) for r in stats.groupBy("good").agg(F.sum("true"), F.sum(F.col("n") - F.col("true"))).collect()}
+    true = [met.get(k, (0.0, 0.0))[0] + BELIEF * START_MET[k][0] for k in range(4)]
+    false = [met.get(k, (0.0, 0.0))[1] + BELIEF * START_MET[k][1] for k in range(4)]
+    return [math.log((t / sum(true)) / (f / sum(false))) for t, f in zip(true, false)]
+
+
+def _scored(values: DataFrame, voted: DataFrame, prior: list[float], limit: int) -> DataFrame:
+    """values with score and posterior p. Groups of more than limit claims are summed in parts and get
+    their sums back by a broadcast (there are fewer than HOT_PARTS of them), the others by a window."""
+    weight = F.element_at(F.array(*[F.lit(x) for x in prior]), F.col("good") + 1)
+    rows = values.join(small(voted), "codes").withColumn("score", F.least(F.col("votes") + weight, F.lit(MOST_SCORE))).withColumn("_e", F.exp("score"))
+    cold = rows.filter(F.col("_n") <= limit).withColumn("p", F.col("_e") / F.sum("_e").over(W.partitionBy("g", "field")))
+    hot = rows.filter(F.col("_n") > limit)
+    sums = F.broadcast(hot.groupBy("g", "field").agg(F.sum("_e").alias("_whole")))
+    return cold.unionByName(hot.join(sums, ["g", "field"]).withColumn("p", F.col("_e") / F.col("_whole")).drop("_whole")).drop("_e", "votes")
 
 
 def fuse(claims: DataFrame) -> DataFrame:
@@ -161,53 +144,45 @@ def fuse(claims: DataFrame) -> DataFrame:
     criteria, then the trusted, the latest, the smallest. is_full says that it is the latest,
     trusted (if any is) and complete (holds all entries of the group's lists) at once; full_records
     is the number of records in the group that are. A group and field without a usable value gives
-    no row; equal posteriors are decided by the value's record as above. An empty table gives no rows.
+    no row; equal posteriors are decided by the value's record as above. A null source is one source.
+    What is learned of pairs grows with the square of the sources that claim one field of a group:
+    sources are channels, not records. An empty table gives no rows.
     """
-    claims = materialize(claims)
-    whole = claims.groupBy("g", "field").agg(F.max("at").alias("_at"), F.max("trusted").alias("_trusted"), F.count(F.lit(1)).alias("_n"))
-    distinct_lists = claims.filter(F.col("entries").isNotNull()).select("g", "field", "entries").distinct()
-    union = distinct_lists.select("g", "field", F.explode("entries").alias("e")).distinct().groupBy("g", "field").agg(F.count(F.lit(1)).alias("_all"))
+    claims = materialize(claims.withColumn("source", F.coalesce("source", F.lit("\x00"))))
+    whole = claims.groupBy("g", "field").agg(F.max("at").alias("_at"), F.max("trusted").alias("_trusted"), F.count(F.lit(1)).alias("_n"), F.array_sort(F.collect_set("source")).alias("_sources"))
+    distinct_lists = claims.filter(F.col("entries").isNotNull()).select("g", "field", F.explode("entries").alias("e")).distinct()
+    union = distinct_lists.groupBy("g", "field").agg(F.count(F.lit(1)).alias("_all"))
     whole = materialize(whole.join(union, ["g", "field"], "left"))
-    coded, names = _coded(claims)
-    judged = join_by_counted_key(coded, whole, ["g", "field"], "_n").select(
-        "g",
-        "field",
-        "value",
-        "record",
-        "at",
-        "trusted",
-        "code",
-        (F.col("at") == F.col("_at")).cast("int").alias("latest"),
-        (F.col("trusted") | ~F.col("_trusted")).cast("int").alias("sure"),
-        F.coalesce((F.size("entries") == F.col("_all")) & F.col("entries").isNotNull(), F.lit(False)).cast("int").alias("_whole"),
-        F.col("entries").isNull().cast("int").alias("_count"),
-    )
-    good = F.col("latest") + F.col("sure") + F.greatest("_whole", "_count")
-    judged = judged.withColumn("good", good)
-    order = F.struct("good", "sure", "at")
-    values = materialize(
-        judged.groupBy("g", "field", "value", "good", "sure", "at")
-        .agg(F.min("record").alias("record"), F.count(F.lit(1)).alias("n"), F.bit_or(F.expr("shiftleft(1L, code)")).alias("bits"))
-        .groupBy("g", "field", "value")
-        .agg(
-            F.max_by("record", order).alias("record"),
-            F.max("good").alias("good"),
-            F.max(order).alias("_order"),
-            F.sum(F.when(F.col("good") == 3, F.col("n")).otherwise(F.lit(0))).alias("full"),
-            F.bit_or("bits").alias("bits"),
-        )
-        .withColumn("codes", F.filter(F.sequence(F.lit(0), F.lit(len(names) - 1)), lambda c: F.getbit("bits", c) == 1))
-        .drop("bits")
-    )
-    n = len(names)
-    known = Sources(names, [START_ACCURACY] * n, [[0.0] * n for _ in range(n)])
+    total = whole.agg(F.sum("_n")).first()[0] or 0
+    met = materialize(whole.groupBy(F.col("_sources").alias("codes")).agg(F.count(F.lit(1)).alias("n")))
+    judged = join_by_counted_key(claims, whole.drop("_sources"), ["g", "field"], "_n")
+    latest, sure = (F.col("at") == F.col("_at")).cast("int"), (F.col("trusted") | ~F.col("_trusted")).cast("int")
+    complete = F.coalesce(F.col("entries").isNull() | (F.size("entries") == F.col("_all")), F.lit(False)).cast("int")
+    judged = judged.select("g", "field", "value", "record", "source", "_n", F.unix_micros("at").alias("at"), sure.alias("sure"), (latest + sure + complete).alias("good"))
+    best = F.min(F.struct((-F.col("good")).alias("good"), (-F.col("sure")).alias("sure"), (-F.col("at")).alias("at"), "record"))
+    values = judged.groupBy("g", "field", "value").agg(best.alias("_order"), F.count_if(F.col("good") == 3).alias("full"), F.max("_n").alias("_n"), F.array_sort(F.collect_set("source")).alias("codes"))
+    values = materialize(values.withColumn("good", -F.col("_order.good")))
+    limit = max(int(total) // HOT_PARTS, 10_000)
+
+    # the first round believes the start: all sources alike, none a copier
+    profiles = materialize(values.groupBy("codes").agg(F.count(F.lit(1)).alias("n")))
+    accuracy = profiles.select(F.explode("codes").alias("source")).distinct().withColumn("accuracy", F.lit(START_ACCURACY))
+    copied = claims.sparkSession.createDataFrame([], "a string, b string, copies double")
+    prior = [math.log(t / f) for t, f in START_MET]
+    voted = votes(profiles, accuracy, copied)
     for _ in range(ROUNDS):
-        known = _learn(materialize(_rescored(values, known)), names)
-    posterior = _rescored(values, known)
+        stats = materialize(_scored(values, voted, prior, limit).groupBy("codes", "good").agg(F.sum("p").alias("true"), F.count(F.lit(1)).alias("n")))
+        prior = criteria(stats)
+        sets = stats.groupBy("codes").agg(F.sum("true").alias("true"), F.sum("n").alias("n"))
+        accuracy = accuracies(sets)
+        following = materialize(votes(profiles, accuracy, copying(sets, met, accuracy)))
+        release(voted, stats)
+        voted = following
     return (
-        posterior.groupBy("g", "field")
+        _scored(values, voted, prior, limit)
+        .groupBy("g", "field")
         .agg(
-            F.max_by(F.struct("value", "record", "p", "good"), F.struct("score", "_order", "value")).alias("_best"),
+            F.min_by(F.struct("value", "_order.record", "p", "good"), F.struct((-F.col("score")).alias("s"), "_order", "value")).alias("_best"),
             F.sum("full").alias("full_records"),
         )
         .select("g", "field", "_best.value", "_best.record", F.col("_best.p").alias("posterior"), (F.col("_best.good") == 3).alias("is_full"), "full_records")

@@ -74,24 +74,56 @@ def test_votes_decide_between_equals(spark):
     assert fused(spark, [(1, 1), (1, 2), (1, 3)], records)[1, "a"][:2] == (2, "7")
 
 
-def test_copiers_are_discounted(spark):
-    free = fusion.Sources(["a", "b", "c"], [0.8] * 3, [[0.0] * 3 for _ in range(3)])
-    tied = fusion.Sources(["a", "b", "c"], [0.8] * 3, [[0.0, 1.0, 0.0], [1.0, 0.0, 0.0], [0.0, 0.0, 0.0]])
-    df = spark.createDataFrame([([0, 1],), ([0, 2],), ([0],)], "codes array<int>")
-    two, other, one = (r[0] for r in df.select(fusion._vote("codes", tied)).collect())
-    full = df.select(fusion._vote("codes", free)).first()[0]
-    assert one < two < other == full < fusion.VOTES_SATURATE
-
-
-def test_shared_false_values_raise_dependence(spark):
-    """Two sources that share many unlikely values come out as dependent, two that differ do not."""
-    data = []
-    for g in range(60):
-        data += [(g, "f", "true", 0.9, [0, 3]), (g, "f", "false", 0.1, [1, 2])]
-    df = spark.createDataFrame(data, "g int, field string, value string, p double, codes array<int>")
-    known = fusion._learn(df, ["a", "b", "c", "d"])
-    assert known.copying[1][2] > 0.9 > 0.1 > known.copying[0][1]
-    assert known.accuracy[0] > 0.8 > 0.3 > known.accuracy[1]
+def test_copied_false_votes_lose(spark, monkeypatch):
+    """Three sources of which two copy the third, errors included, against two independent ones."""
+    at = "2024-01-01 00:00:00"
+    groups, records = [], []
+
+    def put(g, source, value):
+        records.append((len(records), value, None, at, False, source, "x"))
+        groups.append((g, len(records) - 1))
+
+    for g in range(120):
+        wrong = g % 5 < 1
+        for s in ("s1", "s2", "s3", "s4") if g < 100 else ("s1", "s2"):
+            put(g, s, 1000 + g)
+        for c in ("c1", "c2", "c3"):
+            put(g, c, 2000 + g if wrong or g >= 100 else 1000 + g)
+    got = {k[0]: v[1] for k, v in fused(spark, groups, records).items()}
+    assert got == {g: str(1000 + g) for g in range(120)}
+    monkeypatch.setattr(fusion, "COPY_RATE", 1e-9)
+    monkeypatch.setattr(fusion, "COPY_PRIOR", 1e-9)
+    alone = {k[0]: v[1] for k, v in fused(spark, groups, records).items()}
+    assert sum(alone[g] == str(2000 + g) for g in range(100, 120)) > 10
+
+
+def test_votes_overrule_a_criterion_and_learned_odds_follow_the_data(spark):
+    """Four independent sources outweigh one that is later; how much later says is learned."""
+    early, late = "2024-01-01 00:00:00", "2024-06-01 00:00:00"
+    records, groups = [], []
+    for g in range(40):
+        for i, (s, v, t) in enumerate([("a", 7, early), ("b", 7, early), ("c", 7, early), ("d", 7, early), ("e", 8, late)] if g % 2 else [("a", 7, late), ("b", 9, early), ("c", 7, late)]):
+            records.append((g * 10 + i, v, None, t, False, s, "x"))
+            groups.append((g, g * 10 + i))
+    got = fused(spark, groups, records)
+    assert {got[g, "a"][1] for g in range(40)} == {"7"} and not got[1, "a"][2] and got[0, "a"][2]
+
+
+def test_dependence_and_votes(spark):
+    """Sources that share unlikely values come out as dependent, and count less together."""
+    stats = spark.createDataFrame([(["a", "d"], 54.0, 60), (["b", "c"], 6.0, 60)], "codes array<string>, true double, n long")
+    met = spark.createDataFrame([(["a", "b", "c", "d"], 60)], "codes array<string>, n long")
+    accuracy = fusion.accuracies(stats)
+    known = {r.source: r.accuracy for r in accuracy.collect()}
+    assert known["a"] == known["d"] > 0.8 > 0.3 > known["b"]
+    copied = fusion.copying(stats, met, accuracy)
+    known = {(r.a, r.b): r.copies for r in copied.collect()}
+    assert known["b", "c"] > 0.9 > 0.1 > known["a", "b"]
+    same = spark.createDataFrame([("a", 0.8), ("b", 0.8), ("c", 0.8)], "source string, accuracy double")
+    sets = spark.createDataFrame([(["a", "b"],), (["a", "c"],), (["a"],)], "codes array<string>")
+    tied = spark.createDataFrame([("a", "b", 1.0)], "a string, b string, copies double")
+    got = {tuple(r.codes): r.votes for r in fusion.votes(sets, same, tied).collect()}
+    assert got[("a",)] < got[("a", "b")] < got[("a", "c")] and abs(got[("a", "c")] - 2 * got[("a",)]) < 1e-9 and abs(got[("a", "b")] - 1.2 * got[("a",)]) < 1e-9
 
 
 def test_fusion_edges(spark):
