@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
+from pyspark.sql import WindowSpec
 from pyspark.sql import functions as F
 
 from bibliolake.functions.clean import JOURNAL_CHARS, TITLE_CHARS, verifiable_year
@@ -101,32 +102,54 @@ def derived_status(terminal: Column, answered: Column, complete: Column, incompl
     )
 
 
+#: Requests of a gate are put in order within spans of this length, and the spans among themselves.
+SPAN_SECONDS = 3_600
+
+
+def _starts(requests: DataFrame, gate: list[str], arrival: str, order: list[str], wait: Column) -> tuple[DataFrame, WindowSpec]:
+    """requests with _t and start, when each must wait for so long after the start of the one before it,
+    and the window of their order within a span. With S_i the sum of the waits before i, start_i is S_i + max over
+    j <= i of (t_j - S_j). Sums and maxima of spans of time are found first, then carried from span
+    to span, so that a gate of very many requests is never put in order as a whole."""
+    t = F.unix_micros(F.col(arrival))
+    rows = requests.withColumn("_t", t).withColumn("_w", wait).withColumn("_span", F.floor(t / (SPAN_SECONDS * 1_000_000)))
+    w = W.partitionBy(*gate, "_span").orderBy(arrival, *order)
+    before = w.rowsBetween(W.unboundedPreceding, -1)
+    up_to = w.rowsBetween(W.unboundedPreceding, 0)
+    rows = rows.withColumn("_s", F.coalesce(F.sum("_w").over(before), F.lit(0)))
+    rows = rows.withColumn("_m", F.max(F.col("_t") - F.col("_s")).over(up_to))
+    spans = rows.groupBy(*gate, "_span").agg(F.sum("_w").alias("_sum"), F.max("_m").alias("_most"))
+    earlier = W.partitionBy(*gate).orderBy("_span").rowsBetween(W.unboundedPreceding, -1)
+    spans = spans.withColumn("_offset", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)))
+    spans = spans.withColumn("_carried", F.max(F.col("_most") - F.col("_offset")).over(earlier))
+    keys = [*gate, "_span"]
+    known = spans.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_offset", "_carried")
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    both = rows.join(known, same).drop(*[f"_k{i}" for i in range(len(keys))])
+    most = F.greatest("_carried", F.col("_m") - F.col("_offset"))
+    return both.withColumn("start", F.col("_offset") + F.col("_s") + most), w
+
+
 def gate_starts(requests: DataFrame, gate: list[str], arrival: str, order: list[str], seconds: int = GATE_SECONDS) -> DataFrame:
-    """requests with start and delay, in whole microseconds, when a gate lets one through every so
-    many seconds: start_i = i s + max over j <= i of (arrival_j - j s), one running maximum."""
-    micros = F.unix_micros(F.col(arrival))
-    w = W.partitionBy(*gate).orderBy(arrival, *order)
-    step = F.lit(seconds * 1_000_000)
-    i = F.row_number().over(w)
-    rows = requests.withColumn("_t", micros).withColumn("_i", i.cast("long"))
-    start = F.max(F.col("_t") - F.col("_i") * step).over(w.rowsBetween(W.unboundedPreceding, 0)) + F.col("_i") * step
-    rows = rows.withColumn("start", start)
-    previous = F.lag("start").over(w)
-    return rows.withColumn("delay", F.col("start") - F.greatest("_t", F.coalesce(previous, F.col("_t")))).drop("_t", "_i")
+    """requests with start and delay, in whole microseconds, when a gate lets one through every so many
+    seconds."""
+    step = F.lit(seconds * 1_000_000).cast("long")
+    rows, w = _starts(requests, gate, arrival, order, step)
+    previous = F.coalesce(F.lag("start").over(w), F.col("_offset") - step + F.col("_carried"))
+    rows = rows.withColumn("delay", F.col("start") - F.greatest("_t", F.coalesce(previous, F.col("_t"))))
+    return rows.select(*requests.columns, "start", "delay")
 
 
 def throttled_starts(
     requests: DataFrame, gate: list[str], arrival: str, order: list[str], challenged: str, seconds: int = THROTTLE_SECONDS, back_off: int = BACK_OFF_SECONDS
 ) -> DataFrame:
     """requests with start and delay in microseconds, when each waits for the one before it by so many
-    seconds, and longer after a challenge: with S_i the sum of the waits before i, start_i is S_i +
-    max over j <= i of (arrival_j - S_j), again one running maximum."""
-    w = W.partitionBy(*gate).orderBy(arrival, *order)
+    seconds, and longer after a challenge."""
     wait = (F.lit(seconds) + F.when(F.col(challenged), back_off).otherwise(0)).cast("long") * 1_000_000
-    rows = requests.withColumn("_t", F.unix_micros(F.col(arrival)))
-    rows = rows.withColumn("_s", F.coalesce(F.sum(wait).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    rows = rows.withColumn("start", F.col("_s") + F.max(F.col("_t") - F.col("_s")).over(w.rowsBetween(W.unboundedPreceding, 0)))
-    return rows.withColumn("delay", F.col("start") - F.col("_t")).drop("_t", "_s")
+    rows, _ = _starts(requests, gate, arrival, order, wait)
+    return rows.withColumn("delay", F.col("start") - F.col("_t")).select(*requests.columns, "start", "delay")
 
 
 def cache_key(c: Column) -> Column:

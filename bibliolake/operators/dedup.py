@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bibliolake.common import materialize
+from bibliolake.common import join_by_counted_key, materialize
 from bibliolake.functions.clean import completeness, declared_first
 from bibliolake.functions.keys import people_keys, work_key
 from bibliolake.plans.expressions import TOPIC_FIELDS
@@ -66,15 +66,15 @@ def _spread_labels(edges: DataFrame) -> DataFrame:
     raise RuntimeError(f"components not stable after {MOST_ROUNDS} rounds")
 
 
-def author_components(records: DataFrame, group: str, key: str, people: str) -> DataFrame:
-    """(group, key, component): records of a group that share a person, directly or through others,
+def author_components(records: DataFrame, group: str, key: str, people: str, keep: list[str] | None = None) -> DataFrame:
+    """(group, key, component, then keep): records of a group that share a person, directly or through others,
     are one component, named by its smallest key; a record without people has a null component.
 
     A record meets a person, never another record, so a person of many records costs their number
     and not their pairs; people of one record link nothing and are left out first. Groups of at most
     MOST_LOCAL such rows are linked whole, each in one task; larger ones by spreading labels.
     """
-    base = records.select(F.col(group).alias("g"), F.col(key).alias("r"), F.array_distinct(F.col(people)).alias("p"))
+    base = records.select(F.col(group).alias("g"), F.col(key).alias("r"), F.array_distinct(F.col(people)).alias("p"), *[F.col(c).alias(f"_keep{i}") for i, c in enumerate(keep or [])])
     each = base.select("g", "r", F.explode("p").alias("a"))
     shared = each.groupBy("g", "a").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("g", "a")
     edges = materialize(each.join(shared, ["g", "a"], "left_semi"))
@@ -86,7 +86,7 @@ def author_components(records: DataFrame, group: str, key: str, people: str) ->
     if not large.isEmpty():
         labels = labels.unionByName(_spread_labels(materialize(edges.join(large, "g", "left_semi"))))
     alone = F.when(F.size("p") > 0, F.col("r"))
-    return base.join(labels, ["g", "r"], "left").select(F.col("g").alias(group), F.col("r").alias(key), F.coalesce("label", alone).alias("component"))
+    return base.join(labels, ["g", "r"], "left").select(F.col("g").alias(group), F.col("r").alias(key), F.coalesce("label", alone).alias("component"), *[F.col(f"_keep{i}").alias(c) for i, c in enumerate(keep or [])])
 
 
 def merge_records(papers: DataFrame, *, as_of_year: int, with_journal: bool = False, order: str = "paper_id") -> DataFrame:
@@ -113,25 +113,35 @@ def merge_records(papers: DataFrame, *, as_of_year: int, with_journal: bool = Fa
         F.coalesce("matched_search_groups", none).alias("groups"),
     )
     rows = materialize(rows.withColumn("work", F.sha2("work", 256)).drop("_h"))
-    comps = author_components(rows, "work", "ord", "people").select("work", "ord", "component")
-    per_work = comps.groupBy("work").agg(F.count_distinct("component").alias("n"), F.min("component").alias("only"))
-    placed = rows.join(comps.select("ord", "component"), "ord").join(per_work, "work")
-    merged = F.when(F.col("component").isNotNull(), F.col("component")).when(F.col("n") == 1, F.col("only")).otherwise(F.lit(-1))
-    placed = placed.withColumn("unit", merged).withColumn("late", F.col("component").isNull().cast("int"))
+    comps = materialize(author_components(rows, "work", "ord", "people", ["score", "topic", "fields", "groups"]))
+    # only records without people ask for their work's components, of which the least and greatest tell if there is one
+    told = comps.filter(F.col("component").isNotNull()).withColumn("unit", F.col("component").cast("long")).withColumn("late", F.lit(0))
+    asking = comps.filter(F.col("component").isNull())
+    works = materialize(asking.groupBy("work").agg(F.count(F.lit(1)).alias("_n")))
+    spread = comps.join(works.select("work"), "work", "left_semi").groupBy("work").agg(F.min("component").alias("_low"), F.max("component").alias("_high"))
+    known = materialize(works.join(spread, "work"))
+    only = F.when(F.col("_low") == F.col("_high"), F.col("_low")).otherwise(F.lit(-1)).cast("long")
+    late = join_by_counted_key(asking, known, ["work"], "_n").withColumn("unit", F.coalesce(only, F.lit(-1))).withColumn("late", F.lit(1))
+    placed = told.unionByName(late.select(*told.columns))
     arrival = F.struct("late", "ord")
 
-    def united(c: str) -> DataFrame:
-        each = placed.select("work", "unit", "late", "ord", F.posexplode(c).alias("_i", "x")).filter("x <> ''")
-        first = each.groupBy("work", "unit", "x").agg(F.min(F.struct("late", "ord", "_i")).alias("_first"))
-        return first.groupBy("work", "unit").agg(F.transform(F.array_sort(F.collect_list(F.struct("_first", "x"))), lambda s: s["x"]).alias(c))
+    def cells(c: str) -> Column:
+        return F.transform(F.col(c), lambda x, i: F.struct(F.lit(c).alias("c"), x.alias("x"), i.alias("i")))
 
+    each = placed.select("work", "unit", "late", "ord", F.explode(F.concat(cells("fields"), cells("groups"))).alias("e")).filter("e.x <> ''")
+    first = each.groupBy("work", "unit", "e.c", "e.x").agg(F.min(F.struct("late", "ord", "e.i")).alias("_first"))
+
+    def united(c: str) -> Column:
+        return F.transform(F.array_sort(F.collect_list(F.when(F.col("c") == c, F.struct("_first", "x")))), lambda s: s["x"]).alias(c)
+
+    lists = first.groupBy("work", "unit").agg(united("fields"), united("groups"))
     best = placed.groupBy("work", "unit").agg(
         F.max_by("ord", F.struct("score", -F.col("late"), -F.col("ord"))).alias("best"),
         F.max("score").alias("score"),
         F.count(F.lit(1)).alias("records"),
         F.min_by("topic", F.when(F.col("topic").isNotNull(), arrival)).alias("topic_match_field"),
     )
-    out = best.join(united("fields"), ["work", "unit"], "left").join(united("groups"), ["work", "unit"], "left")
+    out = best.join(lists, ["work", "unit"], "left")
     return out.select(
         F.col("best").alias(order),
         "records",

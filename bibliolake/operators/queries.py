@@ -480,7 +480,8 @@ def _annotated(spark: SparkSession, sf: str) -> DataFrame:
 )
 def rank_papers_topk(spark: SparkSession, sf: str) -> DataFrame:
     """The flagship: look up, annotate, rank, cut."""
-    return ranking.top_ranked(_annotated(spark, sf), 20).select("paper_id", "journal_matched_title", "priority_level", "result_rank")
+    found = ranking.top_papers(table(spark, sf, "papers"), catalog.build_index(_entries(spark, sf)), 20)
+    return found.select("paper_id", "journal_matched_title", "priority_level", "result_rank")
 
 
 @query(

@@ -9,22 +9,22 @@ from pyspark.sql import functions as F
 from bibliolake.common import join_by_counted_key, materialize
 from bibliolake.functions.clean import verifiable_year
 from bibliolake.functions.text import strip
-from bibliolake.operators.catalog import lookup_general
+from bibliolake.operators.catalog import lookup_general, small
 from bibliolake.plans.expressions import TOPIC_FIELDS
 
 LAST = 999
 
 
-def annotate(papers: DataFrame, index: DataFrame) -> DataFrame:
-    """papers with the catalog entry that their journal means. Looked up once for each distinct
-    writing of a journal, so the catalog join does not grow with the number of papers."""
-    old = ["journal_matched_title", "journal_match_status", "journal_match_method", "priority_level", "priority_group", "ncs_internal_rank"]
-    rows = papers.drop(*old)
+_OF_JOURNAL = ["journal_matched_title", "journal_match_status", "journal_match_method", "priority_level", "priority_group", "ncs_internal_rank"]
+
+
+def journal_entries(papers: DataFrame, index: DataFrame) -> DataFrame:
+    """One row for each distinct writing of a journal with its catalog entry and its number of papers
+    (_rows), so that the catalog join does not grow with the number of papers."""
     index = materialize(index)  # it is read several times
-    names = rows.filter(F.col("journal_raw").isNotNull()).groupBy("journal_raw").agg(F.count(F.lit(1)).alias("_rows"))
+    names = materialize(papers.filter(F.col("journal_raw").isNotNull()).groupBy("journal_raw").agg(F.count(F.lit(1)).alias("_rows")))
     found = lookup_general(names, "journal_raw", "journal_raw", index).join(names, "journal_raw")
-    more = index.select("matched_title", "ncs_internal_rank")
-    found = found.join(F.broadcast(more) if index.limit(50_001).count() <= 50_000 else more, "matched_title", "left").select(
+    found = found.join(small(index.select("matched_title", "ncs_internal_rank")), "matched_title", "left").select(
         "journal_raw",
         F.col("matched_title").alias("journal_matched_title"),
         F.col("status").alias("journal_match_status"),
@@ -34,7 +34,13 @@ def annotate(papers: DataFrame, index: DataFrame) -> DataFrame:
         "ncs_internal_rank",
         "_rows",
     )
-    known = join_by_counted_key(rows.filter(F.col("journal_raw").isNotNull()), materialize(found), ["journal_raw"], "_rows").drop("_rows")
+    return materialize(found)
+
+
+def annotate(papers: DataFrame, index: DataFrame) -> DataFrame:
+    """papers with the catalog entry that their journal means."""
+    rows = papers.drop(*_OF_JOURNAL)
+    known = join_by_counted_key(rows.filter(F.col("journal_raw").isNotNull()), journal_entries(rows, index), ["journal_raw"], "_rows").drop("_rows")
     return known.unionByName(rows.filter(F.col("journal_raw").isNull()), allowMissingColumns=True)
 
 
@@ -55,6 +61,29 @@ def top_ranked(annotated: DataFrame, k: int) -> DataFrame:
     return annotated.orderBy(*rank_order()).limit(k)
 
 
+def top_papers(papers: DataFrame, index: DataFrame, k: int) -> DataFrame:
+    """The first k of the annotated papers in rank order. A paper's place is decided by its journal
+    first, so journals are ranked and their papers counted until k are reached; only papers of the
+    journals up to there are annotated and ordered."""
+    rows = papers.drop(*_OF_JOURNAL)
+    entries = journal_entries(rows, index).withColumn("_place", F.struct(*[c.alias(f"p{i}") for i, c in enumerate(rank_order()[:3])]))
+    # every place has a paper, so k places are enough
+    places = entries.groupBy("_place").agg(F.sum("_rows").alias("n")).orderBy("_place").limit(k).collect()
+    reached, last = 0, None
+    for place, n in places:
+        last, reached = place, reached + n
+        if reached >= k:
+            break
+    unplaced = last is None or last[0] or reached < k  # journals without an entry, and papers without a journal, are needed
+    if not unplaced:
+        entries = entries.filter(F.col("_place") <= F.struct(F.lit(last[0]), F.lit(last[1]), F.lit(last[2])))
+    entries = entries.drop("_place")
+    found = join_by_counted_key(rows.filter(F.col("journal_raw").isNotNull()), entries, ["journal_raw"], "_rows").drop("_rows")
+    if unplaced:
+        found = found.unionByName(rows.filter(F.col("journal_raw").isNull()), allowMissingColumns=True)
+    return top_ranked(found, k)
+
+
 def split_eligible(annotated: DataFrame, titles: DataFrame, *, facet_applied: bool | None = None) -> DataFrame:
     """annotated with eligible: the matched title is in titles (matched_title), or the facet was
     confirmed for all where the rule is a facet."""

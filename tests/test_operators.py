@@ -380,6 +380,36 @@ def test_throttle_waits_longer_after_a_challenge(spark):
     assert got == {1: (0, 0), 2: (210, 209), 3: (240, 238), 4: (1000, 0)}
 
 
+@pytest.mark.parametrize("span", [1, 7, 10_000])
+def test_gates_do_not_depend_on_spans(spark, monkeypatch, span):
+    monkeypatch.setattr(control, "SPAN_SECONDS", span)
+    rng = random.Random(2)
+    data = [(i, rng.choice(["a", "b", None]), rng.randint(0, 40) * rng.choice([1, 5]), rng.random() < 0.2) for i in range(60)]
+    df = spark.createDataFrame(data, "i int, k string, s long, bad boolean").withColumn("t", F.timestamp_seconds("s"))
+    gate = {r.i: (r.start // 10**6, r.delay // 10**6) for r in control.gate_starts(df, ["k"], "t", ["i"], 6).collect()}
+    slow = {r.i: (r.start // 10**6, r.delay // 10**6) for r in control.throttled_starts(df, ["k"], "t", ["i"], "bad", 3, 9).collect()}
+    for k in ("a", "b", None):
+        free, ready = None, None
+        for i, _, s, bad in sorted((d for d in data if d[1] == k), key=lambda d: (d[2], d[0])):
+            start = s if free is None else max(s, free)
+            assert gate[i] == (start, start - max(s, start if free is None else free - 6)), i
+            free = start + 6
+            start = s if ready is None else max(s, ready)
+            assert slow[i] == (start, start - s)
+            ready = start + 3 + (9 if bad else 0)
+
+
+def test_top_papers_are_the_first_of_all(spark):
+    i = index(spark, (1, "Alpha", 2, "g", "S", None, 2), (2, "Beta", 2, "g", "S", None, 1), (3, "Gamma", 1, "g", "S", None, None))
+    rng = random.Random(4)
+    data = [(n, rng.choice(["Alpha", "beta", "GAMMA", "The Beta", "other", None]), rng.choice(["TI", "KY", None]), rng.choice([None, 0, 1, 2])) for n in range(60)]
+    df = spark.createDataFrame(data, "paper_id int, journal_raw string, topic_match_field string, result_rank int").withColumn("priority_level", F.lit("clash"))
+    whole = [r.paper_id for r in ranking.top_ranked(ranking.annotate(df, i), 60).collect()]
+    for k in (1, 15, 35, 60, 90):
+        assert [r.paper_id for r in ranking.top_papers(df, i, k).collect()] == whole[:k]
+    assert ranking.top_papers(df.limit(0), i, 3).count() == 0
+
+
 def test_bounded_cache_against_a_plain_one(spark):
     rng = random.Random(5)
     data = [(i, rng.choice("abcdefgh"), i * rng.choice([1, 1, 3])) for i in range(400)]
