@@ -207,6 +207,24 @@ def test_public_search_and_stream(spark, tmp_path):
     assert rows(out.select("q", "status")) == [(1, "matched"), (2, "unmatched")]
 
 
+def test_served_requests(spark):
+    """Second attempts, pages of another format, results that are stored or not, and answers of the cache."""
+    day = "2026-01-0%d 00:00:00"
+    empty = "<table class='result-table-list'></table>"
+    asked = [(1, "A  b", 20, day % 1, [("network_error", None), ("success", PAGE)]), (2, "a B", 20, day % 1, []), (3, "a b", 5, day % 1, [("forbidden", None)]), (4, "c", 20, day % 1, [("network_error", None)] * 2),
+             (5, "c", 20, day % 1, [("no_results", None)]), (6, "c", 20, day % 1, []), (7, "d", 20, day % 1, [("success", empty)]), (8, "d", 99, day % 1, [("success", PAGE)]), (9, "a b", 20, day % 3, [("success", "<p>"), ("success", PAGE)])]
+    requests = spark.createDataFrame([a[:4] for a in asked], "request_id int, query string, row_limit int, requested_at string").withColumn("requested_at", F.col("requested_at").cast("timestamp"))
+    attempts = spark.createDataFrame([(a[0], n, *x) for a in asked for n, x in enumerate(a[4], 1)], "request_id int, attempt int, state string, html string")
+    got = {r.request_id: tuple(r)[1:] for r in search.served_requests(requests, attempts, as_of_year=2026).collect()}
+    assert got == {
+        1: ("partial", False, 1, 1, 1), 2: ("partial", True, 1, 1, 1), 3: ("forbidden", False, 0, 0, 0), 4: ("network_error", False, 0, 0, 0), 5: ("no_results", False, 0, 0, 0),
+        6: ("no_results", True, 0, 0, 0), 7: ("page_contract_changed", False, 0, 0, 0), 8: ("configuration_error", False, 0, 0, 0), 9: ("no_results", False, 0, 0, 0),
+    }
+    found = spark.createDataFrame([("complete",), ("incomplete",)], "bucket string")
+    outcome = search.expression_outcome
+    assert [outcome(found), outcome(found.filter("bucket = 'complete'")), outcome(found.limit(0)), outcome(found, stopped="forbidden"), outcome(found.limit(0), stopped="forbidden")] == ["partial", "success", "no_results", "partial", "forbidden"]
+
+
 def test_checkpoint(spark, tmp_path):
     done = spark.createDataFrame([(1, "a"), (1, None), (2, "b")], "batch int, title string")
     search.save_checkpoint(done, str(tmp_path / "c"), "t1")
