@@ -201,7 +201,9 @@ def id_level(a_print: list[str], a_online: list[str], b_print: list[str], b_onli
 
 
 _PREPARED = T.StructType(
-    [T.StructField(n, T.ArrayType(T.StringType())) for n in ("names", "printed", "online", "keys")] + [T.StructField("publisher", T.StringType())]
+    [T.StructField(n, T.ArrayType(T.StringType())) for n in ("names", "printed", "online", "keys")]
+    + [T.StructField("publisher", T.StringType())]
+    + [T.StructField(n, T.BooleanType()) for n in ("print_ok", "online_ok", "slips")]
 )
 
 
@@ -216,14 +218,51 @@ def _prepare(titles: pd.Series, formal: pd.Series, aliases: pd.Series, issn: pd.
         ids = {*printed, *online}
         good = sorted(x for x in ids if valid_identifier(x))
         keys = keys_of(own, [*good, *sorted(ids - set(good))], sorted(ids - set(good)), house)
-        rows.append((own, printed, online, keys, house))
-    return pd.DataFrame(rows, columns=["names", "printed", "online", "keys", "publisher"])
+        rows.append((own, printed, online, keys, house, any(map(valid_identifier, printed)), any(map(valid_identifier, online)), len(good) < len(ids)))
+    return pd.DataFrame(rows, columns=["names", "printed", "online", "keys", "publisher", "print_ok", "online_ok", "slips"])
 
 
-@F.pandas_udf(T.StructType([T.StructField("title", T.IntegerType()), T.StructField("ids", T.IntegerType())]))
-def _compare(an: pd.Series, ap: pd.Series, ao: pd.Series, bn: pd.Series, bp: pd.Series, bo: pd.Series) -> pd.DataFrame:
-    rows = [(title_level(list(n), list(m)), id_level(list(p), list(o), list(q), list(r))) for n, p, o, m, q, r in zip(an, ap, ao, bn, bp, bo)]
-    return pd.DataFrame(rows, columns=["title", "ids"])
+#: Comparisons of names that a Python worker keeps.
+MOST_KEPT = 100_000
+_kept: dict[tuple[tuple[str, ...], tuple[str, ...]], int] = {}
+
+
+@F.pandas_udf(T.IntegerType())
+def _title_levels(a: pd.Series, b: pd.Series) -> pd.Series:
+    out = []
+    for n, m in zip(a, b):
+        if n is None or m is None:
+            out.append(None)
+            continue
+        pair = (tuple(n), tuple(m))
+        level = _kept.get(pair)
+        if level is None:
+            if len(_kept) >= MOST_KEPT:
+                _kept.clear()
+            level = _kept[pair] = title_level(*map(list, pair))
+        out.append(level)
+    return pd.Series(out, dtype="Int32")
+
+
+@F.pandas_udf(T.IntegerType())
+def _id_levels(ap: pd.Series, ao: pd.Series, bp: pd.Series, bo: pd.Series) -> pd.Series:
+    return pd.Series([None if p is None else id_level(list(p), list(o), list(q), list(r)) for p, o, q, r in zip(ap, ao, bp, bo)], dtype="Int32")
+
+
+def _levels() -> tuple[Column, Column]:
+    """The levels of title and identifiers of pairs with a_ and b_ columns. What equal names or
+    identifiers decide, or identifiers that are all valid, the JVM decides; only the other pairs
+    go to Python, and names that were compared before are not compared again."""
+    c = F.col
+    plain_title = F.when((F.size("a_names") == 0) | (F.size("b_names") == 0), -1).when(F.arrays_overlap("a_names", "b_names"), 2)
+    open_title = plain_title.isNull()
+    title = F.coalesce(plain_title, _title_levels(F.when(open_title, c("a_names")), F.when(open_title, c("b_names"))))
+    one, other = F.concat("a_printed", "a_online"), F.concat("b_printed", "b_online")
+    both = (c("a_print_ok") & c("b_print_ok")) | (c("a_online_ok") & c("b_online_ok"))
+    plain_ids = F.when((F.size(one) == 0) | (F.size(other) == 0), -1).when(F.arrays_overlap(one, other), 2).when(~c("a_slips") & ~c("b_slips"), F.when(both, 0).otherwise(-1))
+    open_ids = plain_ids.isNull()
+    ids = F.coalesce(plain_ids, _id_levels(*[F.when(open_ids, c(x)) for x in ("a_printed", "a_online", "b_printed", "b_online")]))
+    return title, ids
 
 
 def _keyed(classes: DataFrame) -> DataFrame:
@@ -329,12 +368,13 @@ def link_records(
     pairs = candidate_pairs(classes, keyed)
     if not keyed.filter(F.col("n") > MOST_IN_BLOCK).isEmpty():
         pairs = pairs.unionByName(common_pairs(keyed)).distinct()
-    left = classes.select(*[F.col(c).alias(f"a_{c}") for c in ("rep", "source", "names", "printed", "online", "publisher")])
-    right = classes.select(*[F.col(c).alias(f"b_{c}") for c in ("rep", "source", "names", "printed", "online", "publisher")])
+    carried = ("rep", "source", "names", "printed", "online", "publisher", "print_ok", "online_ok", "slips")
+    left = classes.select(*[F.col(c).alias(f"a_{c}") for c in carried])
+    right = classes.select(*[F.col(c).alias(f"b_{c}") for c in carried])
     both = pairs.join(left, F.col("a") == F.col("a_rep")).join(right, F.col("b") == F.col("b_rep"))
-    compared = both.withColumn("_c", _compare("a_names", "a_printed", "a_online", "b_names", "b_printed", "b_online"))
+    title_of, ids_of = _levels()
     house = F.when(F.col("a_publisher").isNull() | F.col("b_publisher").isNull(), F.lit(-1)).otherwise((F.col("a_publisher") == F.col("b_publisher")).cast("int"))
-    compared = materialize(compared.select("a", "b", "a_source", "b_source", F.col("_c.ids").alias("ids"), F.col("_c.title").alias("title"), house.alias("publisher")))
+    compared = materialize(both.select("a", "b", "a_source", "b_source", ids_of.alias("ids"), title_of.alias("title"), house.alias("publisher")))
     counts = [((r[0], r[1], r[2]), r[3]) for r in compared.groupBy(*FIELDS).agg(F.count(F.lit(1))).collect()]
     posterior = estimate(sorted(counts))
     table = F.broadcast(spark.createDataFrame([(*x, float(p)) for x, p in posterior.items()], "ids int, title int, publisher int, p double"))
