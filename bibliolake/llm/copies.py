@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from bibliolake.common import materialize
 from bibliolake.llm.unify import unified
+from bibliolake.operators.catalog import small
 
 #: Bytes by which a bucket is split at a time, from where its keys first differ.
 STRIDE = 2
@@ -51,46 +52,44 @@ def canonical_bytes(texts: list[str], names: list[str]) -> Column:
     return F.concat_ws("\x1f", *[text_key(c) for c in texts], *[names_key(c) for c in names]).cast("binary")
 
 
-def _common(a: bytes, b: bytes) -> int:
-    n = min(len(a), len(b))
-    return next((i for i in range(n) if a[i] != b[i]), n)
+def _agreeing(low: str, high: str) -> Column:
+    """How many leading bytes two binary columns have in common."""
+    shorter = F.least(F.length(low), F.length(high))
+    differs = F.transform(F.sequence(F.lit(1), shorter), lambda i: F.substring(F.col(low), i, F.lit(1)) != F.substring(F.col(high), i, F.lit(1)))
+    return F.when(shorter == 0, F.lit(0)).otherwise(F.coalesce(F.nullif(F.array_position(differs, True), F.lit(0)) - 1, shorter)).cast("int")
 
 
-def _deeper(keyed: DataFrame, split: list[tuple[bytes, int]], limit: int) -> list[tuple[bytes, int, bytes, bytes]]:
-    """The oversized children of the buckets in split: (prefix, rows, least key, greatest key).
+def _by_prefix(rows: DataFrame, table: DataFrame, lengths: list[int], how: str) -> DataFrame:
+    """rows with the columns of a table of buckets (_prefix, ...) for each length of a bucket's prefix."""
+    each = rows.withColumn("_at", F.explode(F.array(*[F.lit(n) for n in lengths]))).filter(F.length("_key") >= F.col("_at"))
+    return each.withColumn("_prefix", F.expr("substring(_key, 1, _at)")).join(small(table), "_prefix", how)
+
+
+def _lengths(table: DataFrame) -> list[int]:
+    """The lengths of the prefixes of buckets: as many as there are levels at most, whatever the data."""
+    return sorted(r[0] for r in table.select(F.length("_prefix")).distinct().collect())
 
-    There are fewer than rows / limit of them at any depth, by counting; all others stay unseen.
-    """
-    spark = keyed.sparkSession
-    if split == [(b"", STRIDE)]:
-        child = keyed.select(F.substring("_key", 1, STRIDE).alias("_child"), "_key")
-    else:
-        lengths = sorted({len(p) for p, _ in split})
-        schema = T.StructType([T.StructField("_prefix", T.BinaryType()), T.StructField("_to", T.IntegerType())])
-        parents = F.broadcast(spark.createDataFrame([(bytearray(p), to) for p, to in split], schema))
-        rows = keyed.select("_key", F.explode(F.array(*[F.lit(n) for n in lengths])).alias("_at"))
-        rows = rows.filter(F.length("_key") >= F.col("_at")).withColumn("_prefix", F.expr("substring(_key, 1, _at)"))
-        child = rows.join(parents, "_prefix").select(F.expr("substring(_key, 1, _to)").alias("_child"), "_key")
-    found = child.groupBy("_child").agg(F.count(F.lit(1)).alias("n"), F.min("_key").alias("low"), F.max("_key").alias("high"))
-    return [(bytes(r[0]), r[1], bytes(r[2]), bytes(r[3])) for r in found.filter(F.col("n") > limit).collect()]
-
-
-def radix_plan(keyed: DataFrame, rows: int) -> tuple[list[tuple[bytes, int]], list[bytes]]:
-    """The buckets that are split further, each with the length to which, and the hot keys."""
-    limit = min(max(rows // SHARE, LEAST_ROWS), MOST_ROWS)
-    splits: list[tuple[bytes, int]] = []
-    hot: list[bytes] = []
-    level = [(b"", STRIDE)]
-    while level:
-        splits += level
-        following = []
-        for prefix, _, low, high in _deeper(keyed, level, limit):
-            if low == high:
-                hot.append(low)
-            else:
-                following.append((prefix, max(_common(low, high), len(prefix)) + STRIDE))
-        level = following
-    return splits, hot
+
+def radix_plan(keyed: DataFrame, limit: int) -> tuple[DataFrame | None, DataFrame | None]:
+    """The buckets that are split further (_prefix, _to: the length to which), and the hot keys (_key),
+    both as tables, or None: buckets whose rows exceed limit, and keys that alone do. There are fewer
+    of each than rows / limit at any depth, by counting; no bucket comes to the driver."""
+    splits: DataFrame | None = None
+    hot: DataFrame | None = None
+    child = keyed.select(F.substring("_key", 1, STRIDE).alias("_child"), "_key")
+    while True:
+        found = child.groupBy("_child").agg(F.count(F.lit(1)).alias("n"), F.min("_key").alias("low"), F.max("_key").alias("high")).filter(F.col("n") > limit)
+        found = found.withColumn("_alone", F.col("low") == F.col("high"))
+        longer = F.greatest(_agreeing("low", "high"), F.length("_child")) + STRIDE
+        level = materialize(found.select("_alone", F.when(F.col("_alone"), F.col("low")).alias("_key"), F.col("_child").alias("_prefix"), F.when(~F.col("_alone"), longer).alias("_to")))
+        alone = level.filter("_alone").select("_key")
+        if not alone.isEmpty():
+            hot = alone if hot is None else hot.unionByName(alone)
+        further = level.filter("not _alone").select("_prefix", "_to")
+        if further.isEmpty():
+            return splits, hot
+        splits = further if splits is None else splits.unionByName(further)
+        child = _by_prefix(keyed.select("_key"), further, _lengths(further), "inner").select(F.expr("substring(_key, 1, _to)").alias("_child"), "_key")
 
 
 class Trie:
@@ -170,35 +169,33 @@ def group_copies(df: DataFrame, key: str, texts: list[str], names: list[str], *,
     keyed = materialize(df.filter(F.col(key).isNotNull()).select(canonical_bytes(texts, names).alias("_key"), F.col(key).alias("_id")))
     id_type = keyed.schema["_id"].dataType
     rows = keyed.count()
-    splits, hot = radix_plan(keyed.select("_key"), rows)
+    limit = min(max(rows // SHARE, LEAST_ROWS), MOST_ROWS)
+    splits, hot = radix_plan(keyed.select("_key"), limit)
     out = T.StructType([T.StructField("first", id_type), T.StructField("copy", id_type)])
 
     cold = keyed
-    if hot:
-        # fewer than SHARE keys (or rows / MOST_ROWS), each of more rows than a bucket may have
-        hot_keys = spark.createDataFrame([(bytearray(k),) for k in hot], "_key binary")
-        firsts = keyed.join(F.broadcast(hot_keys), "_key").groupBy("_key").agg(F.min("_id").alias("first"))
-        of_hot = keyed.join(F.broadcast(firsts), "_key").select("first", F.col("_id").alias("copy")).distinct()
+    if hot is not None:
+        # each of more rows than a bucket may have, so they are few; a list beyond a broadcast's bound is shuffled
+        firsts = materialize(keyed.join(small(hot), "_key").groupBy("_key").agg(F.min("_id").alias("first")))
+        of_hot = keyed.join(small(firsts), "_key").select("first", F.col("_id").alias("copy")).distinct()
         if not singles:
             of_hot = of_hot.filter(F.col("first") != F.col("copy"))
-        cold = keyed.join(F.broadcast(hot_keys), "_key", "left_anti")
+        cold = keyed.join(small(hot), "_key", "left_anti")
 
     # a row's bucket is its prefix to the length that its deepest split ancestor names
     bucket = F.substring("_key", 1, STRIDE)
-    for n in sorted({len(p) for p, _ in splits if p}):
-        schema = T.StructType([T.StructField("_p", T.BinaryType()), T.StructField(f"_to{n}", T.IntegerType())])
-        level = F.broadcast(spark.createDataFrame([(bytearray(p), to) for p, to in splits if len(p) == n], schema))
-        cold = cold.join(level, F.substring("_key", 1, n) == F.col("_p"), "left").drop("_p")
-    lengths = [F.col(f"_to{n}") for n in sorted({len(p) for p, _ in splits if p}, reverse=True)]
-    if lengths:
+    if splits is not None:
+        lengths = _lengths(splits)
+        for n in lengths:
+            level = splits.filter(F.length("_prefix") == n).select(F.col("_prefix").alias("_p"), F.col("_to").alias(f"_to{n}"))
+            cold = cold.join(small(level), F.substring("_key", 1, n) == F.col("_p"), "left").drop("_p")
         bucket = F.expr("substring(_key, 1, _to)")
-        cold = cold.withColumn("_to", F.coalesce(*lengths, F.lit(STRIDE)))
-    limit = min(max(rows // SHARE, LEAST_ROWS), MOST_ROWS)
+        cold = cold.withColumn("_to", F.coalesce(*[F.col(f"_to{n}") for n in reversed(lengths)], F.lit(STRIDE)))
     tasks = max(-(-rows // limit), min(spark.sparkContext.defaultParallelism, -(-rows // 1000)), 1)
     arrow = pa.schema([pa.field("first", _arrow_type(id_type)), pa.field("copy", _arrow_type(id_type))])
     placed = cold.select("_key", "_id", bucket.alias("_bucket")).repartition(tasks, "_bucket").select("_key", "_id")
     found = placed.mapInArrow(lambda batches: _count_in_tries(batches, arrow, singles), out)
-    return found.unionByName(of_hot) if hot else found
+    return found.unionByName(of_hot) if hot is not None else found
 
 
 def _arrow_type(kind: T.DataType) -> pa.DataType:
