@@ -75,42 +75,76 @@ def sentences(text: str) -> list[list[str]]:
     return [[w if w.isalpha() else _read(w) for w in words] for words in found if words]
 
 
-class Features:
-    """Hashed features of texts; words are hashed once for each worker."""
+class Reader:
+    """Texts as codes of their words; a word is hashed once for each worker."""
 
     def __init__(self) -> None:
         self.codes: dict[str, int] = {}
 
-    def of(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """(feature numbers, sentence numbers) of a text; empty for null, empty and blank texts."""
+    def read(self, text: str | None) -> tuple[bytes, bytes]:
+        """(codes of all words, numbers of words of each sentence), 32 bits each; empty for null, empty
+        and blank texts."""
         parts = sentences(text) if text and not text.isspace() else []
-        if not parts:
-            return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
-        codes, known = [], self.codes
+        known, out = self.codes, []
         for words in parts:
             for w in words:
                 c = known.get(w)
                 if c is None:
                     if len(known) > 500_000:
                         known.clear()
-                    c = known[w] = zlib.crc32(w.encode("utf-8", "replace")) * 0x9E3779B1 & 0xFFFFFFFFFFFFFFFF
-                codes.append(c)
-        flat = np.array(codes, dtype=np.uint64)
-        at = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-        features, owners = [], []
+                    c = known[w] = zlib.crc32(w.encode("utf-8", "replace"))
+                out.append(c)
+        return np.array(out, dtype=np.uint32).tobytes(), np.array([len(p) for p in parts], dtype=np.uint32).tobytes()
+
+
+#: Words that are made into features at a time.
+CHUNK_WORDS = 400_000
+
+
+class Chunk:
+    """Some documents at once: the number of the document of each sentence, and features by shape."""
+
+    def __init__(self, codes: list[bytes], counts: list[bytes]) -> None:
+        self.docs = len(codes)
+        self.flat = np.frombuffer(b"".join(codes), dtype=np.uint32).astype(np.uint64) * np.uint64(0x9E3779B1)
+        sizes = np.frombuffer(b"".join(counts), dtype=np.uint32)
+        self.doc_of = np.repeat(np.arange(self.docs), [len(c) // 4 for c in counts])
+        self.at = np.repeat(np.arange(len(sizes)), sizes)
+
+    def features(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(feature numbers, sentence numbers), a shape at a time; none reaches beyond its sentence."""
         for k, shape in enumerate(SHAPES):
             span = shape[-1]
-            n = len(flat) - span
+            n = len(self.flat) - span
             if n <= 0:
                 continue
-            h = np.full(n, k + 1, dtype=np.uint64)
+            inside = np.flatnonzero(self.at[:n] == self.at[span:])
+            h = np.full(len(inside), k + 1, dtype=np.uint64)
             for step, offset in enumerate(shape):
-                h = (h ^ flat[offset : offset + n]) * _PRIMES[step]
+                h = (h ^ self.flat[inside + offset]) * _PRIMES[step]
                 h ^= h >> np.uint64(29)
-            inside = at[:n] == at[span:]
-            features.append((h & _MASK)[inside].astype(np.int64))
-            owners.append(at[:n][inside])
-        return np.concatenate(features), np.concatenate(owners)
+            yield (h & _MASK).astype(np.int64), self.at[inside]
+
+
+def chunks(codes: pd.Series, counts: pd.Series) -> Iterator[Chunk]:
+    """The documents of a batch in their order, some CHUNK_WORDS words at a time (a longer one alone)."""
+    own, other, words = [], [], 0
+    for c, n in zip(codes, counts):
+        if own and words + len(c) // 4 > CHUNK_WORDS:
+            yield Chunk(own, other)
+            own, other, words = [], [], 0
+        own.append(c)
+        other.append(n)
+        words += len(c) // 4
+    if own:
+        yield Chunk(own, other)
+
+
+def features_of(codes: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(feature numbers, sentence numbers) of one document."""
+    parts = list(Chunk([codes], [counts]).features())
+    none = np.empty(0, dtype=np.int64)
+    return np.concatenate([none, *[f for f, _ in parts]]), np.concatenate([none, *[s for _, s in parts]])
 
 
 class Ftrl:
@@ -149,21 +183,24 @@ class Ftrl:
         return at[w != 0], w[w != 0].astype(np.float32)
 
 
-def _documents(texts: list[str | None], labels: list[float]) -> list[tuple[list[np.ndarray], float]]:
+Words = tuple[bytes, bytes]
+
+
+def _documents(texts: list[Words], labels: list[float]) -> list[tuple[list[np.ndarray], float]]:
     """The features of each sentence of each labelled document that has words."""
-    make = Features()
     docs = []
-    for text, y in zip(texts, labels):
-        f, s = make.of(text)
+    for words, y in zip(texts, labels):
+        f, s = features_of(*words)
         if len(f):
             cuts = np.flatnonzero(np.diff(np.sort(s))) + 1
             docs.append(([np.unique(part) for part in np.split(f[np.argsort(s, kind="stable")], cuts)], y))
     return docs
 
 
-def positive_features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """The features that at least LEAST_POSITIVE positive documents have, and in how many."""
-    own = [np.unique(np.concatenate(parts)) for parts, _ in _documents(list(dict.fromkeys(texts)), [1.0] * len(texts))]
+def positive_features(texts: list[Words]) -> tuple[np.ndarray, np.ndarray]:
+    """The features that at least LEAST_POSITIVE positive documents have, and in how many; documents of
+    the same words count once."""
+    own = [np.unique(f) for words in dict.fromkeys(texts) if len(f := features_of(*words)[0])]
     if not own:
         return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
     at, n = np.unique(np.concatenate(own), return_counts=True)
@@ -179,16 +216,17 @@ def _log_tail(n: np.ndarray, mean: np.ndarray) -> np.ndarray:
     return np.where(rest > 0.1, np.minimum(bound, 0), 0.0)
 
 
-def fit(texts: list[str | None], labels: list[float], corpus: dict[int, int], corpus_docs: int) -> Ftrl:
-    """The model of labelled documents. corpus says in how many of all corpus_docs documents each
-    of the positive_features occurs. Documents without words are ignored; without a positive or a
+def fit(texts: list[Words], labels: list[float], corpus: tuple[np.ndarray, np.ndarray], corpus_docs: int) -> Ftrl:
+    """The model of labelled documents. corpus says of features, in their order, in how many of all
+    corpus_docs documents each occurs; it has all positive_features that occur. Documents without words are ignored; without a positive or a
     negative document the model gives every document a low score."""
     docs = _documents(texts, labels)
     if not any(y >= 0.5 for _, y in docs) or not any(y < 0.5 for _, y in docs):
         return Ftrl()
     at, n = positive_features([t for t, y in zip(texts, labels) if y >= 0.5])
     positives = sum(y >= 0.5 for _, y in docs)
-    everywhere = np.array([corpus.get(int(f), 0) for f in at], dtype=float)
+    place = np.minimum(np.searchsorted(corpus[0], at), max(len(corpus[0]) - 1, 0))
+    everywhere = np.where(corpus[0][place] == at, corpus[1][place], 0).astype(float) if len(corpus[0]) else np.zeros(len(at))
     lift = np.log((n - 0.5) / (positives + 1)) - np.log((np.maximum(everywhere, n) + 1) / (corpus_docs + 1))
     gain = np.zeros(2**BITS, dtype=np.float32)
     gain[at] = np.maximum(lift, 0)
@@ -237,78 +275,96 @@ class Scorer:
         self.dense = np.zeros(2**BITS, dtype=np.float32)
         self.dense[at] = weights
         self.bias = bias
-        self.features = Features()
 
-    def score(self, text: str | None) -> float:
-        f, s = self.features.of(text)
-        if not len(f):
-            return 0.0
+    def scores(self, chunk: Chunk) -> np.ndarray:
+        """The score of each document: that of its worst sentence; 0 for documents without words."""
+        pairs = []
+        for f, s in chunk.features():
+            some = self.dense[f] != 0
+            pairs.append(s[some] << BITS | f[some])
         # a feature counts once in a sentence
-        pair = np.unique(s * np.int64(2**BITS) + f)
-        sums = np.bincount(pair >> BITS, weights=self.dense[pair & (2**BITS - 1)])
-        return float(1 / (1 + np.exp(-np.clip(self.bias + sums.max(), -35, 35))))
+        pair = np.unique(np.concatenate(pairs)) if pairs else np.empty(0, dtype=np.int64)
+        sums = np.bincount(pair >> BITS, weights=self.dense[pair & (2**BITS - 1)], minlength=len(chunk.doc_of))
+        worst = np.full(chunk.docs, -np.inf)
+        np.maximum.at(worst, chunk.doc_of, sums)
+        return np.where(np.isfinite(worst), 1 / (1 + np.exp(-np.clip(self.bias + worst, -35, 35))), 0.0)
+
+
+_WORDS = T.StructType([T.StructField("codes", T.BinaryType()), T.StructField("counts", T.BinaryType())])
+_reader = Reader()
 
 
-def train(documents: DataFrame, labels: DataFrame, *, key: str, text: str, label: str) -> tuple[np.ndarray, np.ndarray, float]:
-    """The sparse weights (coordinates, weights, bias) of a model fitted on labelled documents.
+@F.pandas_udf(_WORDS)
+def _read_words(texts: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([_reader.read(t) for t in texts], columns=["codes", "counts"])
+
+
+def train(words: DataFrame, labels: DataFrame, *, key: str, label: str) -> tuple[np.ndarray, np.ndarray, float]:
+    """The sparse weights (coordinates, weights, bias) of a model fitted on labelled documents (_k, codes, counts).
 
     A document's label is the mean of its judgements, null ones ignored; a tie is no label. At most
     MOST_LABELLED documents are fitted, in one task; only weights that are not zero come back.
     """
     judged = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("_k")).agg(F.avg(F.col(label).cast("double")).alias("_y"))
     judged = judged.filter(F.col("_y") != 0.5).orderBy(F.xxhash64("_k"), "_k").limit(MOST_LABELLED)
-    rows = materialize(documents.select(F.col(key).alias("_k"), F.col(text).alias("_t")).join(F.broadcast(judged), "_k"))
-    n = documents.count()
+    rows = materialize(words.join(F.broadcast(judged), "_k").select("_k", "codes", "counts", "_y"))
+    n = words.count()
 
     def gather(batches: Iterator[pd.DataFrame]) -> pd.DataFrame | None:
         own = [b for b in batches if len(b)]
-        return pd.concat(own).sort_values("_k", kind="stable") if own else None
+        return pd.concat(own) if own else None
+
+    def told(data: pd.DataFrame) -> tuple[list[Words], list[float]]:
+        data = data[data["_y"].notna()].sort_values("_k", kind="stable")
+        return list(zip(data["codes"], data["counts"])), data["_y"].tolist()
 
     def shared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         data = gather(batches)
         if data is not None:
-            yield pd.DataFrame({"at": positive_features(data["_t"].tolist())[0]})
+            yield pd.DataFrame({"at": positive_features(told(data)[0])[0]})
 
     wanted = np.sort(rows.filter("_y > 0.5").repartition(1).mapInPandas(shared, "at long").toPandas()["at"].to_numpy())
-    counts = _corpus_counts(documents.select(F.col(text).alias("_t")), wanted)
+    counts = _corpus_counts(words.select("codes", "counts"), wanted)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         data = gather(batches)
-        if data is not None:
-            model = fit(data["_t"].tolist(), data["_y"].tolist(), counts, n)
+        if data is not None and data["_y"].notna().any():
+            corpus = data[data["_at"].notna()].sort_values("_at")
+            model = fit(*told(data), (corpus["_at"].to_numpy(dtype=np.int64), corpus["_n"].to_numpy(dtype=np.int64)), n)
             at, weights = model.sparse()
             yield pd.DataFrame({"at": np.append(at, -1), "w": np.append(weights.astype("float64"), model.bias)})
 
-    found = rows.repartition(1).mapInPandas(run, "at long, w double").toPandas()
+    # the counts meet the labelled documents in the one task that fits, as rows
+    both = rows.unionByName(counts.select(F.col("at").alias("_at"), F.col("n").alias("_n")), allowMissingColumns=True)
+    found = both.repartition(1).mapInPandas(run, "at long, w double").toPandas()
     bias = found.loc[found["at"] < 0, "w"]
     own = found[found["at"] >= 0]
     return own["at"].to_numpy(), own["w"].to_numpy(dtype=np.float32), float(bias.iloc[0]) if len(bias) else -3.0
 
 
-def _corpus_counts(texts: DataFrame, wanted: np.ndarray) -> dict[int, int]:
-    """In how many of all texts each wanted feature occurs. Each task sums its own; what comes back
-    is one number for each wanted feature, of which there are at most 2 ** BITS."""
-    if not len(wanted):
-        return {}
-    sent = texts.sparkSession.sparkContext.broadcast(wanted)
+def _corpus_counts(words: DataFrame, wanted: np.ndarray) -> DataFrame:
+    """(at, n): in how many of all documents each wanted feature occurs. Each task sums its own. wanted
+    holds at most 2 ** BITS numbers, those of features that labelled documents share."""
+    sent = words.sparkSession.sparkContext.broadcast(wanted)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = sent.value
         place = np.full(2**BITS, -1, dtype=np.int32)
         place[own] = np.arange(len(own), dtype=np.int32)
-        make, sums = Features(), np.zeros(len(own), dtype=np.int64)
+        sums = np.zeros(len(own), dtype=np.int64)
         for b in batches:
-            for text in b["_t"]:
-                f, _ = make.of(text)
-                at = place[f]
-                at = at[at >= 0]
-                if len(at):
-                    sums[np.unique(at)] += 1
+            for chunk in chunks(b["codes"], b["counts"]):
+                pairs = []
+                for f, s in chunk.features():
+                    at = place[f]
+                    some = at >= 0
+                    pairs.append(chunk.doc_of[s[some]] * len(own) + at[some])
+                if pairs:
+                    sums += np.bincount(np.unique(np.concatenate(pairs)) % max(len(own), 1), minlength=len(own))
         some = np.flatnonzero(sums)
         yield pd.DataFrame({"at": own[some], "n": sums[some]})
 
-    total = texts.mapInPandas(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
-    return dict(zip(total["at"].tolist(), total["n"].tolist()))
+    return words.mapInPandas(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n"))
 
 
 _scorers: dict = {}
@@ -317,19 +373,24 @@ _scorers: dict = {}
 def score_documents(documents: DataFrame, labels: DataFrame, *, key: str, text: str, label: str, keep: list[str] | None = None) -> DataFrame:
     """Rows (key, keep, score): the probability that a document itself has abusive content.
 
-    Null, empty and blank texts score 0; whole texts are read; repeated rows are kept; without
-    usable labels all scores are low; an empty table gives an empty result.
+    Texts are read once: the codes of their words, with key and keep, are written to scratch, and
+    counts, model and scores come from these. Null, empty and blank texts score 0; whole texts are
+    read; repeated rows are kept; without usable labels all scores are low; an empty table gives an
+    empty result.
     """
     spark = documents.sparkSession
-    model = spark.sparkContext.broadcast(train(documents, labels, key=key, text=text, label=label))
+    kept = {f"_keep{i}": c for i, c in enumerate(keep or [])}
+    words = documents.select(F.col(key).alias("_k"), *[F.col(c).alias(new) for new, c in kept.items()], _read_words(F.col(text)).alias("w"))
+    words = materialize(words.select("_k", *kept, "w.codes", "w.counts"))
+    model = spark.sparkContext.broadcast(train(words, labels, key=key, label=label))
     name = (spark.sparkContext.applicationId, id(model))
 
     @F.pandas_udf(T.DoubleType())
-    def score(texts: pd.Series) -> pd.Series:
+    def score(codes: pd.Series, counts: pd.Series) -> pd.Series:
         if name not in _scorers:
             _scorers.clear()
             _scorers[name] = Scorer(*model.value)
-        scorer = _scorers[name]
-        return pd.Series([scorer.score(t) for t in texts], dtype="float64")
+        parts = [_scorers[name].scores(chunk) for chunk in chunks(codes, counts)]
+        return pd.Series(np.concatenate(parts) if parts else [], dtype="float64")
 
-    return documents.select(F.col(key), *(keep or []), score(F.col(text)).alias("score"))
+    return words.select(F.col("_k").alias(key), *[F.col(new).alias(c) for new, c in kept.items()], score("codes", "counts").alias("score"))

@@ -163,11 +163,29 @@ def test_disguises_are_undone():
 
 
 def test_features_stay_in_their_sentence():
-    f = abuse.Features()
-    one, at = f.of("a b. c d.")
+    r = abuse.Reader()
+    one, at = abuse.features_of(*r.read("a b. c d."))
     assert set(at.tolist()) == {0, 1}
-    assert set(one.tolist()) == set(f.of("a b.")[0].tolist()) | set(f.of("c d.")[0].tolist())
-    assert len(f.of(None)[0]) == len(f.of("  ")[0]) == 0
+    assert set(one.tolist()) == set(abuse.features_of(*r.read("a b."))[0].tolist()) | set(abuse.features_of(*r.read("c d."))[0].tolist())
+    assert r.read(None) == r.read("  ") == r.read("") == (b"", b"") and len(abuse.features_of(b"", b"")[0]) == 0
+
+
+def test_chunks_give_what_single_documents_give(monkeypatch):
+    texts = ["a b c. d e f g a b.", None, "", "x y", "a b c", "b c d. e f. g"] * 3
+    r = abuse.Reader()
+    words = [r.read(t) for t in texts]
+    rng = np.random.default_rng(3)
+    scorer = abuse.Scorer(np.arange(2**abuse.BITS), rng.normal(size=2**abuse.BITS), -1.0)
+    alone = np.concatenate([scorer.scores(abuse.Chunk([c], [n])) for c, n in words])
+    for most in (1, 7, 10**6):
+        monkeypatch.setattr(abuse, "CHUNK_WORDS", most)
+        got = np.concatenate([scorer.scores(c) for c in abuse.chunks([w[0] for w in words], [w[1] for w in words])])
+        assert np.allclose(got, alone) and got[1] == got[2] == 0.0
+    for (c, n), score in zip(words, alone):
+        f, s = abuse.features_of(c, n)
+        if len(f):
+            sums = [scorer.dense[np.unique(f[s == i])].sum() for i in range(s.max() + 1)]
+            assert abs(score - 1 / (1 + np.exp(1.0 - max(sums)))) < 1e-5
 
 
 def _made(n, seed):
