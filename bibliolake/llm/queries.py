@@ -70,6 +70,18 @@ def p4_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mapped(spark, sf_dir).filter(F.col("entry") == reflist.NONE).groupBy("journal_raw").agg(F.count(F.lit(1)).alias("papers"))
 
 
+def p4_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All entries within the distance of each value that was typed freely, with the edits to each."""
+    papers = table(spark, sf_dir, "papers").filter(~F.coalesce(F.col("journal_match_status") == "matched", F.lit(False)))
+    return reflist.near_entries(papers, "journal_raw", table(spark, sf_dir, "journals"), "journal_id", "formal_title", "aliases")
+
+
+def p4_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values that mean several entries alike, and so none, with these entries."""
+    ties = _mapped(spark, sf_dir).filter(F.size("candidates") > 1)
+    return ties.groupBy("journal_raw", F.array_join("candidates", "|").alias("journal_ids")).agg(F.count(F.lit(1)).alias("papers"))
+
+
 def p5_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of records of one journal from different indexes with their confidence."""
     fields = {f: f for f in ("title", "formal_title", "aliases", "issn", "eissn", "publisher")} | {"title": "source_title"}
@@ -202,6 +214,8 @@ QUERIES = {
     "p2_unified": p2_unified,
     "p4_found": p4_found,
     "p4_unmatched": p4_unmatched,
+    "p4_near": p4_near,
+    "p4_ties": p4_ties,
     "p5_found": p5_found,
     "p5_links": p5_links,
     "p6_found": p6_found,

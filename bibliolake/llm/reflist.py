@@ -10,15 +10,15 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections import OrderedDict
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from bibliolake.common import join_by_counted_key, materialize, release
 from bibliolake.llm.unify import canonical
 
 # Filling words of titles, marks around a title that are no part of it.
@@ -226,20 +226,29 @@ class Entries:
                     best[ident] = min(k, best.get(ident, k))
         return [((2 + k) * RANKS, i) for i, k in best.items()]
 
+    def near(self, value: str | None) -> list[tuple[str, int]]:
+        """All entries with a title or alias within the distance that the value's length allows, with the
+        least distance of each, from 0; of the value's forms that without labels and imprints counts."""
+        best: dict[str, int] = {}
+        if value and value.strip():
+            key = joined(_TOKEN.findall(bare(folded(value))))
+            for k, _, ident in self.within(key, most_edits(key)) if key else ():
+                best[ident] = min(k, best.get(ident, k))
+        return sorted(best.items(), key=lambda x: (x[1], x[0]))
+
     def _mistyped(self, tokens: tuple[str, ...], path: str) -> bool:
         """Whether the words that path lacks are unknown ones: a known other word makes another name."""
         return all(t in path or t not in self.words or t in FILLING or len(t) < 3 for t in tokens)
 
 
 _RESULT = T.StructType([T.StructField("level", T.IntegerType()), T.StructField("ids", T.ArrayType(T.StringType()))])
-_built: OrderedDict = OrderedDict()
+_built: dict = {}
 
 
 def _entries(block) -> tuple[Entries, dict]:
     """The trie of a broadcast block, built once in each Python worker, with its cache of results."""
     if block.id not in _built:
-        while len(_built) > 1:
-            _built.popitem(last=False)
+        _built.clear()  # a pass needs one block
         _built[block.id] = (Entries(block.value, block.words), {})
     return _built[block.id]
 
@@ -250,6 +259,7 @@ class _Block:
     def __init__(self, spark, rows: list, known: Broadcast | None = None) -> None:
         self.broadcast = spark.sparkContext.broadcast(rows)
         self.known = known
+        self.last = True
         self.id = (spark.sparkContext.applicationId, id(self.broadcast), len(rows), hash(str(rows[:3])))
 
     @property
@@ -282,50 +292,96 @@ def _matcher(block: _Block):
     return match
 
 
+_NEAR = T.ArrayType(T.StructType([T.StructField("entry", T.StringType()), T.StructField("edits", T.IntegerType())]))
+
+
+def _searcher(block: _Block):
+    @F.pandas_udf(_NEAR)
+    def search(values: pd.Series) -> pd.Series:
+        entries, _ = _entries(block)
+        return pd.Series([entries.near(v) for v in values])
+
+    return search
+
+
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def _words(titles: pd.Series, aliases: pd.Series) -> pd.Series:
     rows = ([t, *(a if a is not None else [])] for t, a in zip(titles, aliases))
     return pd.Series([sorted({w for name in names if name and name.strip() for w in _TOKEN.findall(folded(name))}) for names in rows])
 
 
+def _blocks(reference: DataFrame, ref_key: str, ref_title: str, ref_aliases: str) -> Iterator[_Block]:
+    """The reference in blocks of about BLOCK_ENTRIES entries, one at a time: a block's broadcast is
+    dropped before the next one is made. The distinct words of the whole list stay beside them."""
+    spark = reference.sparkSession
+    ref = reference.filter(F.col(ref_key).isNotNull()).select(
+        F.col(ref_key).cast("string").alias("_i"), F.col(ref_title).alias("_t"), F.col(ref_aliases).alias("_a")
+    )
+    n = max(1, -(-ref.count() // BLOCK_ENTRIES))
+    known = spark.sparkContext.broadcast([r[0] for r in ref.select(F.explode(_words("_t", "_a"))).distinct().toLocalIterator()]) if n > 1 else None
+    for i in range(n):
+        part = ref if n == 1 else ref.filter(F.pmod(F.xxhash64("_i"), F.lit(n)) == i)
+        block = _Block(spark, sorted((r[0], r[1], list(r[2] or [])) for r in part.toLocalIterator()), known)
+        block.last = i + 1 == n
+        yield block
+        if not block.last:
+            block.broadcast.unpersist()
+
+
 def map_to_list(
     df: DataFrame, key: str, value: str, reference: DataFrame, ref_key: str, ref_title: str, ref_aliases: str
 ) -> DataFrame:
-    """Rows (key, value, entry, level): each row of df with the entry that its value means.
+    """Rows (key, value, entry, level, candidates): each row of df with the entry that its value means.
 
     entry is 'none' if the value is null, empty, blank or names no entry, or if several entries are
-    equally near; level says how the entry was found (see Entries.look_up) and is null for 'none'.
-    Row by row without a shuffle, so no value can be hot; repeated rows come out as often as they
-    are there. The reference is read in blocks of at most BLOCK_ENTRIES entries, each broadcast on
-    its own beside the distinct words of the whole list, so a longer list costs more passes and only
-    its vocabulary more memory; how it is split changes no result. Entries without a key are
-    ignored, as are null and blank titles and aliases; other columns are ignored; an empty table
-    or list gives no rows or only 'none'.
+    equally near, which candidates then names; level says how the entry was found (see
+    Entries.look_up) and is null for 'none'. candidates is null where nothing was found. Repeated
+    rows come out as often as they are there. A list of up to BLOCK_ENTRIES entries is broadcast and
+    looked up row by row without a shuffle, so no value can be hot. A longer one is read in blocks:
+    one pass over the distinct values for each, whose best finds are written and merged, then a join
+    of the rows that broadcasts the finds of hot values. However it is split, the result is the
+    same. Entries without a key are ignored, as are null and blank titles and aliases; other columns
+    are ignored; an empty table or list gives no rows or only 'none'.
     """
-    spark = df.sparkSession
-    ref = reference.filter(F.col(ref_key).isNotNull()).select(
-        F.col(ref_key).cast("string").alias("_i"), F.col(ref_title).alias("_t"), F.col(ref_aliases).alias("_a")
-    )
-    blocks = max(1, -(-ref.count() // BLOCK_ENTRIES))
     found = df.select(F.col(key).alias("_k"), F.col(value).alias("_v"))
-    columns = []
-    known = None
-    if blocks > 1:
-        known = spark.sparkContext.broadcast([r[0] for r in ref.select(F.explode(_words("_t", "_a"))).distinct().toLocalIterator()])
-    for i in range(blocks):
-        part = ref if blocks == 1 else ref.filter(F.pmod(F.xxhash64("_i"), F.lit(blocks)) == i)
-        rows = sorted((r[0], r[1], list(r[2] or [])) for r in part.toLocalIterator())
-        found = found.withColumn(f"_m{i}", _matcher(_Block(spark, rows, known))("_v"))
-        columns.append(f"_m{i}")
-    if blocks == 1:
-        level, ids = F.col("_m0.level"), F.col("_m0.ids")
+    best: DataFrame | None = None
+    for block in _blocks(reference, ref_key, ref_title, ref_aliases):
+        match = _matcher(block)
+        if best is None and block.last:
+            mapped = found.withColumn("_m", match("_v")).select("_k", "_v", F.col("_m.level").alias("level"), F.col("_m.ids").alias("ids"))
+            break
+        if best is None:
+            counted = found.filter(F.col("_v").isNotNull()).groupBy("_v").agg(F.count(F.lit(1)).alias("_n"))
+            best = materialize(counted.select("_v", "_n", F.lit(None).cast("int").alias("level"), F.array().cast("array<string>").alias("ids")))
+        low = F.least("level", "_m.level")
+
+        def kept(level: str, ids: str, low: Column = low) -> Column:
+            return F.when(F.col(level) == low, F.col(ids)).otherwise(F.array().cast("array<string>"))
+
+        merged = best.withColumn("_m", match("_v")).select("_v", "_n", low.alias("level"), F.array_distinct(F.concat(kept("level", "ids"), kept("_m.level", "_m.ids"))).alias("ids"))
+        following = materialize(merged)
+        release(best)
+        best = following
     else:
-        level = F.least(*[F.col(f"{c}.level") for c in columns])
-        ids = F.array_distinct(F.flatten(F.array(*[F.when(F.col(f"{c}.level") == level, F.col(f"{c}.ids")).otherwise(F.array().cast("array<string>")) for c in columns])))
-    one = F.coalesce(F.size(ids) == 1, F.lit(False))
-    return found.select(
+        nothing = found.filter(F.col("_v").isNull()).select("_k", "_v", F.lit(None).cast("int").alias("level"), F.array().cast("array<string>").alias("ids"))
+        mapped = join_by_counted_key(found.filter(F.col("_v").isNotNull()), best, ["_v"], "_n").select("_k", "_v", "level", "ids").unionByName(nothing)
+    one = F.coalesce(F.size("ids") == 1, F.lit(False))
+    return mapped.select(
         F.col("_k").alias(key),
         F.col("_v").alias(value),
-        F.when(one, ids[0]).otherwise(F.lit(NONE)).alias("entry"),
-        F.when(one, F.floor(level / RANKS).cast("int")).alias("level"),
+        F.when(one, F.col("ids")[0]).otherwise(F.lit(NONE)).alias("entry"),
+        F.when(one, F.floor(F.col("level") / RANKS).cast("int")).alias("level"),
+        F.when(F.size("ids") > 0, F.array_sort("ids")).alias("candidates"),
     )
+
+
+def near_entries(df: DataFrame, value: str, reference: DataFrame, ref_key: str, ref_title: str, ref_aliases: str) -> DataFrame:
+    """Rows (value, entry, edits): all entries within the length-dependent distance of each distinct
+    value, by title or alias, whichever entry the value means. Values without one give no row."""
+    asked = materialize(df.select(F.col(value).alias(value)).filter(F.col(value).isNotNull()).distinct())
+    out: DataFrame | None = None
+    for block in _blocks(reference, ref_key, ref_title, ref_aliases):
+        hits = asked.select(value, F.explode(_searcher(block)(value)).alias("_h")).select(value, "_h.entry", "_h.edits")
+        hits = hits if block.last and out is None else materialize(hits)
+        out = hits if out is None else out.unionByName(hits)
+    return out
