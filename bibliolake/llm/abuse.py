@@ -43,8 +43,8 @@ LEAST_POSITIVE, LIFT_POWER, LEAST_LIFT, CHANCE = 2, 0.66, 1.5, 3e-3
 #: Word distances of a feature: n-grams of one to four words, pairs that skip one or two.
 SHAPES = ((0,), (0, 1), (0, 1, 2), (0, 1, 2, 3), (0, 2), (0, 3))
 
-_MASK = np.uint64(2**BITS - 1)
-_PRIMES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], dtype=np.uint64)
+#: Odd multipliers of 32 bits that spread a hash, and one for each shape.
+_SPREAD, _SHAPE = np.uint32(0x9E3779B1), np.array([0x85EBCA6B, 0xC2B2AE35, 0x27D4EB2F, 0x165667B1, 0xD6E8FEB9, 0x2545F491], dtype=np.uint32)
 
 # Signs that stand for letters, in words that have letters too.
 SIGNS = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "€": "e"})
@@ -53,26 +53,42 @@ _SENTENCE = re.compile(r"[。！？；]+|[.?!…]+(?=\s)|[:;]-?[()](?=\s)|[\r\n]
 _SPACED = re.compile(r"(?<!\w)[^\W\d_](?:([ \-.*])[^\W\d_])(?:\1[^\W\d_])+(?!\w)")
 _SEPARATORS = re.compile(r"[ \-.*]")
 _MASKED = re.compile(r"(?<=[^\W\d_])(?:[#*%]+|_{2,})(?=[^\W\d_])")
+_MASKS = re.compile(r"[#*%]|__")
 _STRETCHED = re.compile(r"([^\W\d_])\1\1+")
 _HAN_GAP = re.compile(r"(?<=[㐀-鿿])[\s*\-_.·、~|/+#]+(?=[㐀-鿿])")
-_WORD = re.compile(r"[㐀-鿿]|[^\W_㐀-鿿](?:[^\W_㐀-鿿]|['*@$€!]+(?=[^\W_㐀-鿿]))*|[@$]+[^\W_㐀-鿿]+")
+_WORD = re.compile(r"[㐀-鿿]|[^\W_㐀-鿿]+(?:['*@$€!]+[^\W_㐀-鿿]+)*|[@$]+[^\W_㐀-鿿]+")
+_PLAIN_WORD = re.compile(r"[a-z0-9]+(?:['*@$!]+[a-z0-9]+)*|[@$]+[a-z0-9]+")
 
 
 def _read(word: str) -> str:
-    """A word that is not letters only: a number as 0, else its signs as the letters that they stand for."""
+    """A word as it is read: stretched letters once, a number as 0, signs as the letters that they stand for."""
+    word = _STRETCHED.sub(r"\1", word)
+    if word.isalpha():
+        return word
     if word.isdigit():
         return "0"
-    plain = word.translate(SIGNS)
-    return plain if _STRETCHED.search(plain) is None else _STRETCHED.sub(r"\1", plain)
+    return _STRETCHED.sub(r"\1", word.translate(SIGNS))
+
+
+def _written(text: str) -> list[list[str]]:
+    """The words of each sentence of a whole text as they are written, put together where they are taken
+    apart. In plain ASCII no Han character can be, which saves two searches."""
+    if text.isascii():
+        text = text.lower()
+    else:
+        text = _HAN_GAP.sub("", canonical(text)).casefold()
+    text = _SPACED.sub(lambda m: _SEPARATORS.sub("", m.group()), text)
+    if _MASKS.search(text):
+        text = _MASKED.sub("*", text)
+    if text.isascii():
+        return [words for sentence in _SENTENCE.split(text) if (words := _PLAIN_WORD.findall(sentence))]
+    text = _STRETCHED.sub(r"\1", text)  # Han characters are words of their own
+    return [words for sentence in _SENTENCE.split(text) if (words := _WORD.findall(sentence))]
 
 
 def sentences(text: str) -> list[list[str]]:
     """The words of each sentence of a whole text, disguises undone."""
-    text = _HAN_GAP.sub("", canonical(text)).casefold()
-    text = _SPACED.sub(lambda m: _SEPARATORS.sub("", m.group()), text)
-    text = _STRETCHED.sub(r"\1", _MASKED.sub("*", text))
-    found = [_WORD.findall(sentence) for sentence in _SENTENCE.split(text)]
-    return [[w if w.isalpha() else _read(w) for w in words] for words in found if words]
+    return [[_read(w) for w in words] for words in _written(text)]
 
 
 class Reader:
@@ -84,7 +100,7 @@ class Reader:
     def read(self, text: str | None) -> tuple[bytes, bytes]:
         """(codes of all words, numbers of words of each sentence), 32 bits each; empty for null, empty
         and blank texts."""
-        parts = sentences(text) if text and not text.isspace() else []
+        parts = _written(text) if text and not text.isspace() else []
         known, out = self.codes, []
         for words in parts:
             for w in words:
@@ -92,7 +108,7 @@ class Reader:
                 if c is None:
                     if len(known) > 500_000:
                         known.clear()
-                    c = known[w] = zlib.crc32(w.encode("utf-8", "replace"))
+                    c = known[w] = zlib.crc32(_read(w).encode("utf-8", "replace"))
                 out.append(c)
         return np.array(out, dtype=np.uint32).tobytes(), np.array([len(p) for p in parts], dtype=np.uint32).tobytes()
 
@@ -106,24 +122,31 @@ class Chunk:
 
     def __init__(self, codes: list[bytes], counts: list[bytes]) -> None:
         self.docs = len(codes)
-        self.flat = np.frombuffer(b"".join(codes), dtype=np.uint32).astype(np.uint64) * np.uint64(0x9E3779B1)
+        self.flat = np.frombuffer(b"".join(codes), dtype=np.uint32) * _SPREAD
         sizes = np.frombuffer(b"".join(counts), dtype=np.uint32)
         self.doc_of = np.repeat(np.arange(self.docs), [len(c) // 4 for c in counts])
-        self.at = np.repeat(np.arange(len(sizes)), sizes)
+        self.at = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
 
     def features(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(feature numbers, sentence numbers), a shape at a time; none reaches beyond its sentence."""
+        hashes: dict[tuple[int, ...], np.ndarray] = {}
         for k, shape in enumerate(SHAPES):
             span = shape[-1]
             n = len(self.flat) - span
             if n <= 0:
                 continue
-            inside = np.flatnonzero(self.at[:n] == self.at[span:])
-            h = np.full(len(inside), k + 1, dtype=np.uint64)
-            for step, offset in enumerate(shape):
-                h = (h ^ self.flat[inside + offset]) * _PRIMES[step]
-                h ^= h >> np.uint64(29)
-            yield (h & _MASK).astype(np.int64), self.at[inside]
+            # a shape goes on from the hash of all its offsets but the last
+            h = self.flat[:n] if span == 0 else hashes[shape[:-1]][:n] * _SPREAD ^ self.flat[span:]
+            h = h ^ h >> np.uint32(15)
+            hashes[shape] = h
+            h = h * _SHAPE[k]
+            h ^= h >> np.uint32(13)
+            h &= np.uint32(2**BITS - 1)
+            if span == 0:
+                yield h, self.at
+            else:
+                inside = self.at[:n] == self.at[span:]
+                yield h[inside], self.at[:n][inside]
 
 
 def chunks(codes: pd.Series, counts: pd.Series) -> Iterator[Chunk]:
@@ -144,7 +167,7 @@ def features_of(codes: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
     """(feature numbers, sentence numbers) of one document."""
     parts = list(Chunk([codes], [counts]).features())
     none = np.empty(0, dtype=np.int64)
-    return np.concatenate([none, *[f for f, _ in parts]]), np.concatenate([none, *[s for _, s in parts]])
+    return np.concatenate([none, *[f.astype(np.int64) for f, _ in parts]]), np.concatenate([none, *[s for _, s in parts]])
 
 
 class Ftrl:
@@ -280,8 +303,8 @@ class Scorer:
         """The score of each document: that of its worst sentence; 0 for documents without words."""
         pairs = []
         for f, s in chunk.features():
-            some = self.dense[f] != 0
-            pairs.append(s[some] << BITS | f[some])
+            some = np.flatnonzero(self.dense[f])
+            pairs.append(s[some].astype(np.int64) << BITS | f[some])
         # a feature counts once in a sentence
         pair = np.unique(np.concatenate(pairs)) if pairs else np.empty(0, dtype=np.int64)
         sums = np.bincount(pair >> BITS, weights=self.dense[pair & (2**BITS - 1)], minlength=len(chunk.doc_of))
@@ -357,7 +380,7 @@ def _corpus_counts(words: DataFrame, wanted: np.ndarray) -> DataFrame:
                 pairs = []
                 for f, s in chunk.features():
                     at = place[f]
-                    some = at >= 0
+                    some = np.flatnonzero(at >= 0)
                     pairs.append(chunk.doc_of[s[some]] * len(own) + at[some])
                 if pairs:
                     sums += np.bincount(np.unique(np.concatenate(pairs)) % max(len(own), 1), minlength=len(own))
