@@ -306,7 +306,7 @@ class Scorer:
             some = np.flatnonzero(self.dense[f])
             pairs.append(s[some].astype(np.int64) << BITS | f[some])
         # a feature counts once in a sentence
-        pair = np.unique(np.concatenate(pairs)) if pairs else np.empty(0, dtype=np.int64)
+        pair = pd.unique(np.concatenate(pairs)) if pairs else np.empty(0, dtype=np.int64)
         sums = np.bincount(pair >> BITS, weights=self.dense[pair & (2**BITS - 1)], minlength=len(chunk.doc_of))
         worst = np.full(chunk.docs, -np.inf)
         np.maximum.at(worst, chunk.doc_of, sums)
@@ -383,7 +383,7 @@ def _corpus_counts(words: DataFrame, wanted: np.ndarray) -> DataFrame:
                     some = np.flatnonzero(at >= 0)
                     pairs.append(chunk.doc_of[s[some]] * len(own) + at[some])
                 if pairs:
-                    sums += np.bincount(np.unique(np.concatenate(pairs)) % max(len(own), 1), minlength=len(own))
+                    sums += np.bincount(pd.unique(np.concatenate(pairs)) % max(len(own), 1), minlength=len(own))
         some = np.flatnonzero(sums)
         yield pd.DataFrame({"at": own[some], "n": sums[some]})
 
