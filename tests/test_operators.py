@@ -261,7 +261,7 @@ def test_plan_token_changes_with_any_part(spark):
     for part, other in (("page_size", F.lit(20)), ("scope_id", F.lit("t")), ("catalog_version", F.lit("v2")), ("topic_field", F.lit("SU")), ("source_category", F.lit(None).cast(df.schema["source_category"].dataType)), ("expression", F.lit("x"))):
         assert one != expressions.plan_token(df.withColumn(part, other), ["g"]).first().token, part
     mine = expressions.user_plan(spark, "SU %= 'a' AND LY='b'").first()
-    assert (mine.index, mine.total, mine.journals, mine.expression) == (1, 1, [], "SU %= 'a' AND LY='b'")
+    assert (mine["index"], mine.total, mine.journals, mine.expression) == (1, 1, [], "SU %= 'a' AND LY='b'")
     for bad in ("YE=2000 AND TI='x'", "plain"):
         with pytest.raises(ValueError):
             expressions.user_plan(spark, bad)
